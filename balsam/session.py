@@ -19,6 +19,7 @@ def get_spark(master: str | None = None, app: str = "balsam",
         b = b.master(master)
     spark = (
         b.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
