@@ -27,12 +27,25 @@ def l2norm(a: Column) -> Column:
     return F.sqrt(vsum(F.transform(a, lambda v: v * v)))
 
 
+def _bcast(value: Column, like: Column) -> Column:
+    """A scalar repeated to the length of ``like``: lets a lambda see a per-row
+    scalar as its own argument instead of re-evaluating an outer expression."""
+    return F.array_repeat(value, F.size(like))
+
+
+def scale(a: Column, s: Column) -> Column:
+    """a / s element-wise for a per-row scalar s."""
+    return F.zip_with(a, _bcast(s, a), lambda v, d: v / d)
+
+
 def softmax(logits: Column) -> Column:
     """Numerically stable softmax of an array column."""
-    m = F.array_max(logits)
-    ex = F.transform(logits, lambda v: F.exp(v - m))
-    s = vsum(ex)
-    return F.transform(ex, lambda v: v / s)
+    ex = F.zip_with(logits, _bcast(F.array_max(logits), logits), lambda v, m: F.exp(v - m))
+    return _normalise_sum(ex)
+
+
+def _normalise_sum(ex: Column) -> Column:
+    return scale(ex, vsum(ex))
 
 
 def argmax(a: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from balsam.functions import text as T
-from balsam.functions.vectors import l2norm
+from balsam.functions.vectors import l2norm, scale
 
 
 def mask_text(df: DataFrame, columns: list[str], mask_entities: bool = True,
@@ -80,8 +80,7 @@ def embed_text(df: DataFrame, text_col: str, key: str, dim: int = 64,
                         lambda i: F.coalesce(F.element_at(F.col("__m"), i.cast("long")), F.lit(0.0)))
     vec = packed.select(key, dense.alias("__raw"))
     norm = l2norm(F.col("__raw"))
-    vec = vec.select(key, F.when(norm > 0, F.transform("__raw", lambda v: v / norm))
-                     .otherwise(F.col("__raw")).alias(out))
+    vec = vec.select(key, F.when(norm > 0, scale(F.col("__raw"), norm)).otherwise(F.col("__raw")).alias(out))
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (df.select(key).join(vec, key, "left")
             .select(key, F.coalesce(F.col(out), zeros).alias(out)))
