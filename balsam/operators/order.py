@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from balsam.session import cut_lineage
+
 _PID, _MID = "__pid", "__mid"
 
 
@@ -43,9 +45,12 @@ def positions(df: DataFrame, order_cols: list, out: str = "pos",
     ties are numbered in an unspecified but valid order.
     """
     n = _n_parts(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
+    # Materialised once (reliable checkpoint): range bounds come from a seeded
+    # sample per exchange, so two separately planned exchanges of the same rows
+    # may cut them differently; every later branch must read the same partitions.
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn(_PID, F.spark_partition_id())
+                         .withColumn(_MID, F.monotonically_increasing_id()))
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"))
     offs = _partition_offsets(counts, ["n"])
@@ -86,9 +91,10 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str],
                 pdf[o] = cs[c].astype("int64" if is_int else "float64")
             yield pdf
 
-    local = ranged.mapInPandas(_cumsum, schema)
-    totals = ranged.groupBy(_PID).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
-                                        for c in value_cols])
+    # one materialisation feeds both the offsets and the rows (see positions())
+    local = cut_lineage(ranged.mapInPandas(_cumsum, schema))
+    totals = local.groupBy(_PID).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
+                                       for c in value_cols])
     offs = _partition_offsets(totals, value_cols)
     res = local.join(F.broadcast(offs), _PID)
     for o, c, t in zip(out_cols, value_cols, out_types):
