@@ -34,7 +34,8 @@ def dedupe_exact(df: DataFrame, text_col: str, key: str) -> DataFrame:
 def minhash_signature(df: DataFrame, text_col: str, key: str, num_hashes: int = 16,
                       shingle: int = 3) -> DataFrame:
     """(key, shingles array<long>, sig array<long>) over word shingles of the whole text."""
-    toks = T.word_tokens(F.col(text_col))
+    df = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
+    toks = F.col("__toks")
     grams = ngrams_of(toks, shingle)
     # texts shorter than one shingle contribute their whole token run
     grams = F.when(F.size(grams) > 0, grams).otherwise(F.array(F.array_join(toks, " ")))
@@ -96,8 +97,12 @@ def terms(text: Column, ngrams: tuple[int, ...] = (1, 2)) -> Column:
 
 def tfidf(df: DataFrame, text_col: str, key: str, ngrams: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(key, term, tf, idf, tfidf); idf = ln((N + 1) / (df + 1)) as pyspark.ml's IDF."""
-    tf = (df.select(key, F.explode(F.filter(terms(F.col(text_col), ngrams), lambda t: t.isNotNull()))
-                    .alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # tokens as a column first: referenced by every n-gram order, evaluated once
+    toks = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
+    grams = [ngrams_of(F.col("__toks"), n) for n in ngrams]
+    all_terms = F.flatten(F.array(*grams)) if len(grams) > 1 else grams[0]
+    tf = (toks.select(key, F.explode(all_terms).alias("term"))
+          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.agg(F.count(F.lit(1)).alias("__N"))
     idf = attach(dfreq, n_docs).select("term", F.log((F.col("__N") + 1) / (F.col("df") + 1)).alias("idf"))

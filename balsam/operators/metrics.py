@@ -47,17 +47,27 @@ def _safe_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
+def class_stats(df: DataFrame, y: str = "target", pred: str = "prediction",
+                group_cols: list[str] | None = None) -> DataFrame:
+    """(group..., label, support, predicted, tp) in ONE aggregation: every row adds a
+    record for its true label and one for its predicted label, so the label set is
+    the union of both and map-side combine leaves one row per class per task."""
+    g = _keys(group_cols)
+    yt, yp = F.col(y).cast("int"), F.col(pred).cast("int")
+    roles = F.array(
+        F.struct(yt.alias("label"), F.lit(1).alias("s"), F.lit(0).alias("p"), (yt == yp).cast("int").alias("t")),
+        F.struct(yp.alias("label"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("t")))
+    return (df.select(*g, F.explode(roles).alias("__r"))
+            .groupBy(*g, F.col("__r.label").alias("label"))
+            .agg(F.sum("__r.s").cast("long").alias("support"), F.sum("__r.p").cast("long").alias("predicted"),
+                 F.sum("__r.t").cast("long").alias("tp")))
+
+
 def classification_report(df: DataFrame, y: str = "target", pred: str = "prediction",
                           group_cols: list[str] | None = None) -> DataFrame:
     """Per class: precision, recall, f1, support; zero denominators give 0."""
     g = _keys(group_cols)
-    cm = confusion_matrix(df, y, pred, g)
-    long = (cm.select(*g, F.col("y_true").alias("label"), F.col("n").alias("support"),
-                      F.lit(0).cast("long").alias("predicted"),
-                      F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"))
-            .unionByName(cm.select(*g, F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"),
-                                   F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp"))))
-    per = long.groupBy(*g, "label").agg(*[F.sum(c).cast("long").alias(c) for c in ("support", "predicted", "tp")])
+    per = class_stats(df, y, pred, g)
     return per.select(*g, "label",
                       _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
                       _safe_div(F.col("tp"), F.col("support")).alias("recall"),
