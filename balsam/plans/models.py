@@ -20,7 +20,7 @@ from balsam.operators.prep import FunctionTransformer, PopulationScaler, class_w
 from balsam.operators.text import mask_text
 from balsam.plans.registry import query
 from balsam.plans.sql import E, W, split_flags
-from balsam.session import scratch_path
+from balsam.session import cut_lineage, scratch_path
 from balsam.sources.tables import embedding_set, labelled_documents, table
 
 SEED = "42"
@@ -99,7 +99,8 @@ def _text_pipeline():
 
 
 def _text_model(spark, sf):
-    w = mask_text(labelled_documents(spark, sf), ["text"])
+    # masked once, read by the split, both fit passes and the scoring
+    w = cut_lineage(mask_text(labelled_documents(spark, sf), ["text"]))
     train, test = split.train_test(w, test_size=0.4, seed=SEED)
     data = class_weights(train.withColumn("label", F.col("target").cast("double")), "target", "weight")
     return _text_pipeline().fit(data), train, test
