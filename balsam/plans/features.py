@@ -319,3 +319,31 @@ FROM orders GROUP BY ALL""")
 def q_class_by_period(spark, sf):
     o = table(spark, sf, "orders", "o_orderdate", "o_orderstatus")
     return o.groupBy(F.year("o_orderdate").alias("year"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("missing_text_sensitivity", f"""WITH s AS {_WS},
+tr AS (SELECT target AS cls, count(*) AS n FROM s WHERE NOT is_test GROUP BY target),
+pr AS (SELECT cls, sum(n) OVER (ORDER BY cls) / sum(n) OVER () AS cum FROM tr),
+pl AS (SELECT length(s.text) < 1000 AS short_text, s.target,
+        CAST(coalesce((SELECT min(cls) FROM pr WHERE pr.cum > {U('baseline', 's.id')}),
+        (SELECT max(cls) FROM pr)) AS INTEGER) AS prediction FROM s WHERE is_test)
+SELECT short_text, round(f1_macro, 6) AS f1_macro, round(recall_macro, 6) AS recall_macro, n
+FROM {macro_sql('(SELECT * FROM pl)', ['short_text'])}""")
+def q_missing_text_sensitivity(spark, sf):
+    """Macro metrics on the test part split by scarce (short) versus full text."""
+    w = labelled_documents(spark, sf).select("id", "target", (F.length("text") < 1000).alias("short_text"))
+    train, test = split.train_test(w, test_size=0.4, seed=SEED)
+    p = baseline_stratified(train, test, seed="baseline")
+    m = M.macro_metrics(p, "target", "prediction", ["short_text"])
+    return m.select("short_text", _r("f1_macro"), _r("recall_macro"), "n")
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """Macro-F1 drop per permuted embedding coordinate, all coordinates in one pass."""
+    from balsam.operators import train as TR
+    e = embedding_set(spark, sf)
+    tr, te = split.train_test(e, test_size=0.4, seed=SEED)
+    model = TR.fit_pipeline(tr, "lr")
+    dims = int(e.select(F.max(F.size("x"))).first()[0])
+    return FT.permutation_importance(model, te, dims, seed=SEED)
