@@ -15,11 +15,28 @@ from pyspark.sql import functions as F
 from balsam.operators.order import running_totals
 
 
+def _literal(v):
+    """Python value (scalar, Row, list) -> literal Column."""
+    from pyspark.sql import Row
+    if isinstance(v, Row):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
+    if isinstance(v, (list, tuple)):
+        return F.array(*[_literal(x) for x in v])
+    return F.lit(v)
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row aggregate to every row (broadcast equi-join
-    on a constant key; the small side is a single row by construction)."""
-    return (df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one"))
+    """Append the values of a one-row aggregate to every row as literals.
+
+    The aggregate is collected (one row by construction, checked), so no join —
+    in particular no nested-loop / cartesian join — appears in the plan."""
+    rows = one_row.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("attach() expects a one-row DataFrame")
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    vals = rows[0].asDict(recursive=False) if rows else {c: None for c in one_row.columns}
+    return df.select("*", *[(_literal(v) if v is not None else F.lit(None)).cast(types[c]).alias(c)
+                            for c, v in vals.items()])
 
 
 def _keys(group_cols) -> list[str]:
