@@ -119,6 +119,11 @@ def grid_search(train: DataFrame, name: str, dim: int, k: int = 3, fast: bool =
     """Inner search: stratified folds as ``foldCol``, macro-F1 scoring, refit of the
     best point on all rows. Returns (CrossValidatorModel, best param dict)."""
     est, grid = make_estimator(name, dim, fast)
+    if len(grid) <= 1:
+        # one candidate: nothing to choose, the refit on all rows is the result
+        point = grid[0] if grid else {}
+        model = est.copy(point).fit(to_ml(train))
+        return _Single(model), {p.name: v for p, v in point.items()}
     folded = stratified_kfold(train, k=k, seed=seed + ":inner")
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MacroEvaluator(),
                         numFolds=k, foldCol="fold", parallelism=parallelism, seed=SEED)
@@ -129,6 +134,14 @@ def grid_search(train: DataFrame, name: str, dim: int, k: int = 3, fast: bool =
     return m, params
 
 
+class _Single:
+    """Stand-in for a CrossValidatorModel when the grid has a single point."""
+
+    def __init__(self, model):
+        self.bestModel = model
+        self.avgMetrics = [float("nan")]
+
+
 def _width(df: DataFrame) -> int:
     return int(df.select(F.max(F.size("x"))).first()[0])
 
