@@ -17,6 +17,7 @@ from balsam.functions import text as T
 from balsam.functions.random import uniform
 from balsam.operators.metrics import attach
 from balsam.operators.order import running_totals
+from balsam.session import cut_lineage
 
 
 # ------------------------------------------------------------------ J1 dedupe
@@ -54,7 +55,8 @@ def dedupe_near(df: DataFrame, text_col: str, key: str, threshold: float = 0.7,
     of shingle sets) and dropped when similar enough. Exact copies go first.
     """
     base = dedupe_exact(df, text_col, key)
-    sig = minhash_signature(base, text_col, key, num_hashes, shingle).cache()
+    # materialised once (reliable checkpoint): it feeds three branches of the plan
+    sig = cut_lineage(minhash_signature(base, text_col, key, num_hashes, shingle))
     bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[F.col("sig")[b * band_rows + r]
                                                                    for r in range(band_rows)]).alias("h"))
                       for b in range(num_hashes // band_rows)])
@@ -270,13 +272,15 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, replicates: int = 50, seed
 
 # ------------------------------------------------------------------ J20
 
-def schema_audit(df: DataFrame) -> DataFrame:
-    """Per column: type, null count, distinct count (exact), min and max as text."""
+def schema_audit(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Per column: type, null count, distinct count, min and max as text; one pass.
+    ``approx`` uses HyperLogLog++ distinct counts (no per-column distinct shuffle),
+    the sensible choice on very large tables."""
     aggs = []
     for f in df.schema.fields:
         c = F.col(f.name)
         aggs += [F.sum(c.isNull().cast("long")).alias(f"{f.name}__nulls"),
-                 F.countDistinct(c).alias(f"{f.name}__distinct"),
+                 (F.approx_count_distinct(c) if approx else F.countDistinct(c)).alias(f"{f.name}__distinct"),
                  F.min(c).cast("string").alias(f"{f.name}__min"), F.max(c).cast("string").alias(f"{f.name}__max")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),

@@ -81,7 +81,7 @@ def _prep(df: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "x",
-        exclude_self: bool = True, broadcast_cap_bytes: int = 256 << 20,
+        exclude_self: bool = True, broadcast_cap_bytes: int = 64 << 20,
         block_rows: int = 2048) -> DataFrame:
     """Exact kNN of every query row among ``refs``."""
     spark = queries.sparkSession

@@ -169,10 +169,9 @@ def borderline_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", *
     spark = df.sparkSession
     mino, _, n_min, n_maj = minority_majority(df)
     G = n_maj - n_min
-    danger = danger_set(df, m, mino, **knn_kw).select("id", "x").cache()
+    danger = _cut(danger_set(df, m, mino, **knn_kw).select("id", "x"))
     n_d = danger.count()
     if n_d == 0:
-        danger.unpersist()
         return _with_lineage(df)
     minority = df.where(F.col("target") == mino).select("id", "x")
     nn = knn(danger, minority, k, **knn_kw)
@@ -199,8 +198,9 @@ def svm_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", out_step
     sv = raw.where(vector_to_array("rawPrediction")[1] <= 1.0).select("id", "x")
     share = _majority_share(df, sv, m, mino, **knn_kw)
     sv = sv.join(share, "id").where(F.col("n_maj") < m)  # drop noise
-    danger = sv.where(F.col("n_maj") * 2 >= m).select("id", "x").cache()
-    safe = sv.where(F.col("n_maj") * 2 < m).select("id", "x").cache()
+    sv = _cut(sv)
+    danger = sv.where(F.col("n_maj") * 2 >= m).select("id", "x")
+    safe = sv.where(F.col("n_maj") * 2 < m).select("id", "x")
     n_dg, n_sf = danger.count(), safe.count()
     minority = df.where(F.col("target") == mino).select("id", "x")
     n_first = int(fraction * (G + 1))
