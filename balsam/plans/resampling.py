@@ -100,7 +100,7 @@ _ADASYN = f"""WITH {_BASE},
 {_nn_sql('nnall', 'mino', 'e', K)},
 sh AS (SELECT q AS id, count(*) FILTER (WHERE nt <> 1) AS m FROM nnall GROUP BY q),
 gi AS (SELECT id, CAST(round_even((SELECT nmaj - nmin FROM cnt)::DOUBLE * m / sum(m) OVER (), 0) AS BIGINT) AS gi FROM sh),
-off AS (SELECT id, gi, sum(gi) OVER (ORDER BY id) - gi AS cum FROM gi),
+off AS (SELECT id, gi, CAST(sum(gi) OVER (ORDER BY id) - gi AS BIGINT) AS cum FROM gi),
 rws AS (SELECT id AS base_id, cum + unnest(range(gi)) AS g FROM off WHERE gi > 0),
 syn AS (SELECT -(d.g + 1) AS id, {_lerp_sql()} AS x, 1 AS target, d.base_id, nn.n AS nn_id, d.step
   FROM (SELECT g, base_id, CAST(floor({U(SEED + ':n', 'g')} * {K}) + 1 AS BIGINT) AS rk, {U(SEED + ':s', 'g')} AS step FROM rws) d
