@@ -128,3 +128,60 @@ def encode_sequences(df: DataFrame, text_col: str, key: str, vocab: DataFrame,
             .select(key, input_ids.cast("array<int>").alias("input_ids"),
                     mask.cast("array<int>").alias("attention_mask"),
                     F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")))
+
+
+# ---------------------------------------------------------------- user encoder hook
+
+_ENCODERS: dict = {}
+
+
+def hashing_encoder(dim: int = 64):
+    """numpy twin of :func:`embed_text` (same tokens, md5 buckets and signs): the
+    default model for :func:`embed_with`, and a check that the hook is exact."""
+    import hashlib
+
+    import numpy as np
+    import regex
+
+    split_re = regex.compile(r"[^\p{L}\p{N}]+")
+
+    def encode(texts):
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for tok in split_re.split((t or "").lower()):
+                if tok:
+                    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                    out[i, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) < 8 else -1.0
+            n = np.sqrt((out[i] ** 2).sum())
+            if n > 0:
+                out[i] /= n
+        return out
+    return encode
+
+
+def embed_with(df: DataFrame, text_col: str, key: str, factory=None, dim: int = 64,
+               out: str = "embedding", batch_size: int = 32) -> DataFrame:
+    """Embed text with a user-supplied model inside ``mapInPandas``.
+
+    ``factory()`` returns ``encode(list[str]) -> ndarray[n, dim]``; it is called
+    once per Python worker (cached) and fed Arrow batches of ``batch_size`` rows,
+    as the reference encodes in batches of 32. The work stays partitioned; the
+    model never sees the whole corpus at once."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    factory = factory or (lambda: hashing_encoder(dim))
+    schema = StructType([df.schema[key], StructField(out, ArrayType(DoubleType()), False)])
+    fid = id(factory)
+
+    def run(batches):
+        enc = _ENCODERS.get(fid)
+        if enc is None:
+            enc = _ENCODERS[fid] = factory()
+        for b in batches:
+            texts = b[text_col].tolist()
+            for s in range(0, len(texts), batch_size):
+                chunk = texts[s:s + batch_size]
+                vecs = enc(chunk)
+                yield b.iloc[s:s + batch_size][[key]].assign(**{out: [list(map(float, v)) for v in vecs]})
+
+    return df.select(key, text_col).mapInPandas(run, schema)

@@ -97,3 +97,14 @@ def test_leakage_scan_full_table(spark):
     assert r["taliban"]["n_hits"] == 1 and r["taliban"]["first_key"] == 1
     assert r["isis"]["n_hits"] == 1 and r["isis"]["first_key"] == 2
     assert r["isis"]["n_rows"] == 4
+
+
+def test_encoder_hook_equals_jvm_encoder(spark):
+    from balsam.operators.text import embed_text, embed_with
+    df = spark.createDataFrame([(1, "The cat, the Hat!"), (2, ""), (3, "Élan vital; élan")], "k long, t string")
+    a = {r["k"]: r["embedding"] for r in embed_text(df, "t", "k", dim=16).collect()}
+    b = {r["k"]: r["embedding"] for r in embed_with(df, "t", "k", dim=16, batch_size=2).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
+    assert a[2] == [0.0] * 16
