@@ -70,7 +70,15 @@ def to_ml(df: DataFrame, weight: bool = True) -> DataFrame:
     """(id, x, target) -> + features vector, label double, balanced weight."""
     out = df.withColumn("features", array_to_vector(F.col("x").cast("array<double>"))) \
             .withColumn("label", F.col("target").cast("double"))
-    return class_weights(out, "target", "weight") if weight else out
+    return add_weights(out) if weight else out
+
+
+def add_weights(df: DataFrame) -> DataFrame:
+    """Balanced class weights plus positive-class weights 1 and 3 (the reference's
+    ``scale_pos_weight`` grid, expressed as alternative ``weightCol`` columns)."""
+    out = class_weights(df, "target", "weight")
+    return (out.withColumn("w_pos1", F.lit(1.0))
+            .withColumn("w_pos3", F.when(F.col("target") == 1, F.lit(3.0)).otherwise(F.lit(1.0))))
 
 
 def make_estimator(name: str, dim: int, fast: bool = True):
@@ -88,13 +96,13 @@ def make_estimator(name: str, dim: int, fast: bool = True):
         return est, g.build()
     if name == "gbt":
         est = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, subsamplingRate=0.8,
-                            featureSubsetStrategy="0.8")
+                            featureSubsetStrategy="0.8", weightCol="w_pos1")
         g = ParamGridBuilder()
         if fast:
             g = g.addGrid(est.maxIter, [10]).addGrid(est.maxDepth, [3]).addGrid(est.stepSize, [0.1])
         else:
             g = (g.addGrid(est.maxIter, [200]).addGrid(est.maxDepth, [3, 6, 9])
-                 .addGrid(est.stepSize, [0.01, 0.1]))
+                 .addGrid(est.stepSize, [0.01, 0.1]).addGrid(est.weightCol, ["w_pos1", "w_pos3"]))
         return est, g.build()
     if name == "mlpc":
         est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", seed=SEED,
@@ -265,4 +273,4 @@ def fit_pipeline(train: DataFrame, name: str = "lr", fast: bool = True) -> Pipel
     est = est.copy(grid[0]) if grid else est
     p = Pipeline(stages=[PopulationScaler(inputCol="x", outputCol="x"),
                          ArrayToVector(inputCol="x", outputCol="features"), est])
-    return p.fit(class_weights(train.withColumn("label", F.col("target").cast("double")), "target", "weight"))
+    return p.fit(add_weights(train.withColumn("label", F.col("target").cast("double"))))
