@@ -78,9 +78,8 @@ def _model_query(name):
     def fn(spark, sf):
         train, test = _e_split(spark, sf)
         model = TR.fit_pipeline(train, name)
-        return S.predict_proba(model, test, ["id", "target"]).select("id", "target", "prediction", "score") \
-            if name != "svm" else S.predict_proba(model, test, ["id", "target"]).select(
-                "id", "target", "prediction", "score")
+        # probability[1] where the model has probabilities, the margin for the SVM (I12)
+        return S.predict_proba(model, test, ["id", "target"]).select("id", "target", "prediction", "score")
     fn.__doc__ = f"Fit scaler + {name} on the training part, score the test part."
     return fn
 
