@@ -50,8 +50,13 @@ def stratified_split(df: DataFrame, id_col: str = "id", target: str = "target",
     return lowest_per_group(keyed, target, "__u", id_col, quota, out).drop("__u")
 
 
-def train_test(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+def train_test(df: DataFrame, materialize: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
+    """(train, test) parts. The flagged split is checkpointed once (shared folder) so
+    the two parts and everything fitted on them do not each re-run the selection."""
     flagged = stratified_split(df, **kw)
+    if materialize:
+        from balsam.session import cut_lineage
+        flagged = cut_lineage(flagged)
     out = kw.get("out", "is_test")
     return flagged.where(~F.col(out)).drop(out), flagged.where(F.col(out)).drop(out)
 
