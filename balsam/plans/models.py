@@ -45,12 +45,20 @@ def q_standard_scale(spark, sf):
             .select("id", F.col("dim").cast("int"), F.round("value", 6).alias("value")))
 
 
-@query("preprocess_chain")
+@query("preprocess_chain", f"""WITH s AS {split_flags(E, 0.4, SEED)},
+st AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM
+        (SELECT unnest(range(len(x))) AS i, unnest(x) AS v FROM s WHERE NOT is_test) GROUP BY i),
+z AS (SELECT id, target, list(CASE WHEN sd > 0 THEN (v - mu) / sd ELSE v - mu END ORDER BY i) AS x FROM
+        (SELECT id, target, unnest(range(len(x))) AS i, unnest(x) AS v FROM s WHERE is_test) JOIN st USING (i)
+      GROUP BY id, target)
+SELECT id, target, round(x[1], 6) AS x0, round(x[2] * x[2] + x[1], 6) AS x1_sq_plus_x0 FROM z""")
 def q_preprocess_chain(spark, sf):
-    """Ordered chain: population scaler -> SQL step, fitted on train, applied to test."""
+    """Ordered chain fitted on train, applied to test: population scaler, then a SQL
+    step that reads the scaled values (order matters: the SQL sees scaled x)."""
     train, test = _e_split(spark, sf)
     chain = Pipeline(stages=[PopulationScaler(inputCol="x", outputCol="x"),
-                             SQLTransformer(statement="SELECT id, target, x[0] AS x0, x[1] AS x1 FROM __THIS__")])
+                             SQLTransformer(statement="SELECT id, target, round(x[0], 6) AS x0, "
+                                                      "round(x[1] * x[1] + x[0], 6) AS x1_sq_plus_x0 FROM __THIS__")])
     return chain.fit(train).transform(test)
 
 

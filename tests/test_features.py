@@ -61,3 +61,26 @@ def test_bootstrap_and_calibration(spark):
     assert FT.brier(df, "v", "p").first()[0] >= 0
     assert 0 <= FT.ece(df, "v", "p").first()[0] <= 1
     assert FT.POISSON1_CDF[0] == pytest.approx(np.exp(-1))
+
+
+def test_hot_key_prefix_sums(spark):
+    """One user holds 40 % of the rows: the range-partitioned prefix counts must
+    still equal the per-user window definition."""
+    rng = np.random.default_rng(5)
+    base = dt.datetime(2024, 1, 1)
+    n = 2000
+    users = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 50, n))
+    secs = rng.choice(20 * 86400, n, replace=False)
+    rows = [(int(i), int(users[i]), base + dt.timedelta(seconds=int(secs[i]))) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, g long, ts timestamp_ntz").repartition(8)
+    got = {r["k"]: r["n_prior"] for r in FT.repeat_count(df, "g", "ts", "k", 3 * 86400).collect()}
+    by_user = {}
+    for k, g, t in rows:
+        by_user.setdefault(g, []).append(t)
+    for g in by_user:
+        by_user[g].sort()
+    import bisect
+    for k, g, t in rows:
+        ts = by_user[g]
+        want = bisect.bisect_left(ts, t) - bisect.bisect_left(ts, t - dt.timedelta(days=3))
+        assert got[k] == want
