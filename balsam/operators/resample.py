@@ -86,39 +86,69 @@ def expand_counts(df: DataFrame, count_col: str, out: str = "j", chunk: int = EX
     return c.select("*", F.explode(F.sequence(lo, hi)).alias(out)).drop("__c")
 
 
+def class_plan(df: DataFrame, target: str = "target") -> list[tuple[int, int, int, int]]:
+    """Library default strategy ('not majority'): every class other than the majority
+    (largest count, smallest label on ties) is brought up to the majority count.
+    Returns (class, n_c, G_c, offset) in class order; offsets give each class its own
+    range of synthetic indices g, so ids -(g+1) stay unique. Binary input gives one
+    entry with offset 0."""
+    c = _counts(df, target)
+    if len(c) < 2:
+        raise ValueError(f"at least two classes expected, got {sorted(c)}")
+    major = min(c, key=lambda lab: (-c[lab], lab))
+    plan, off = [], 0
+    for lab in sorted(c):
+        if lab == major:
+            continue
+        g = c[major] - c[lab]
+        plan.append((lab, c[lab], g, off))
+        off += g
+    return plan
+
+
+def _union(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    out = _with_lineage(base)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 # ------------------------------------------------------------------ methods
 
 def random_oversample(df: DataFrame, seed: str = "42") -> DataFrame:
-    """G = n_maj - n_min minority rows drawn with replacement (position by id)."""
+    """G_c = n_maj - n_c rows of each other class drawn with replacement (position by id)."""
     spark = df.sparkSession
-    mino, _, n_min, n_maj = minority_majority(df)
-    G = n_maj - n_min
-    base = _positioned(df.where(F.col("target") == mino))
-    draws = spark.range(G).withColumnRenamed("id", "g").select(
-        "g", F.floor(uniform(f"{seed}:b", F.col("g")) * n_min).cast("long").alias("pos"))
-    new = (draws.join(base, "pos")
-           .select((-(F.col("g") + 1)).cast("long").alias("id"), "x", F.lit(mino).alias("target"),
-                   F.col("id").alias("base_id"), F.lit(None).cast("long").alias("nn_id"),
-                   F.lit(None).cast("double").alias("step")))
-    return _with_lineage(df).unionByName(new)
+    parts = []
+    for cls, n_c, G, off in class_plan(df):
+        base = _positioned(df.where(F.col("target") == cls))
+        draws = spark.range(off, off + G).withColumnRenamed("id", "g").select(
+            "g", F.floor(uniform(f"{seed}:b", F.col("g")) * n_c).cast("long").alias("pos"))
+        parts.append(draws.join(base, "pos")
+                     .select((-(F.col("g") + 1)).cast("long").alias("id"), "x", F.lit(cls).alias("target"),
+                             F.col("id").alias("base_id"), F.lit(None).cast("long").alias("nn_id"),
+                             F.lit(None).cast("double").alias("step")))
+    return _union(df, parts)
 
 
 def smote(df: DataFrame, k: int = 5, seed: str = "42", **knn_kw) -> DataFrame:
-    """SMOTE: x = b + u (n - b), b a minority row, n one of its k minority neighbours."""
+    """SMOTE: x = b + u (n - b), b a row of the class, n one of its k neighbours in
+    the same class; G_c points per non-majority class."""
     spark = df.sparkSession
-    mino, _, n_min, n_maj = minority_majority(df)
-    if n_min <= k:
-        raise ValueError(f"smote needs more than k={k} minority rows, got {n_min}")
-    G = n_maj - n_min
-    minority = df.where(F.col("target") == mino).select("id", "x")
-    nn = knn(minority, minority, k, **knn_kw)
-    draws = _uniform_draws(spark, G, n_min, k, seed)
-    new = _synthetic_from_draws(draws, _positioned(minority), nn, minority, mino)
-    return _with_lineage(df).unionByName(new)
+    parts = []
+    for cls, n_c, G, off in class_plan(df):
+        if G <= 0:
+            continue
+        if n_c <= k:
+            raise ValueError(f"smote needs more than k={k} rows of class {cls}, got {n_c}")
+        members = df.where(F.col("target") == cls).select("id", "x")
+        nn = knn(members, members, k, **knn_kw)
+        draws = _uniform_draws(spark, G, n_c, k, seed, offset=off)
+        parts.append(_synthetic_from_draws(draws, _positioned(members), nn, members, cls))
+    return _union(df, parts)
 
 
 def _majority_share(df: DataFrame, queries: DataFrame, m: int, mino: int, **knn_kw) -> DataFrame:
-    """(id, n_maj): how many of the m nearest rows of the whole set are not minority."""
+    """(id, n_maj): how many of the m nearest rows of the whole set are of another class."""
     nn = knn(queries, df.select("id", "x"), m, **knn_kw)
     lab = df.select(F.col("id").alias("nn_id"), F.col("target").alias("nt"))
     return (nn.join(lab, "nn_id").groupBy("q_id")
@@ -127,34 +157,41 @@ def _majority_share(df: DataFrame, queries: DataFrame, m: int, mino: int, **knn_
 
 
 def adasyn(df: DataFrame, k: int = 5, seed: str = "42", **knn_kw) -> DataFrame:
-    """ADASYN: base i gets g_i = rint(G r_i / sum r) points, r_i the majority share of
-    its k nearest rows in the whole set; points as in SMOTE."""
-    mino, _, n_min, n_maj = minority_majority(df)
-    if n_min <= k:
-        raise ValueError(f"adasyn needs more than k={k} minority rows, got {n_min}")
-    G = n_maj - n_min
-    minority = df.where(F.col("target") == mino).select("id", "x")
-    share = _majority_share(df, minority, k, mino, **knn_kw)
-    tot = share.agg(F.sum("n_maj").alias("s")).first()["s"] or 0
-    if tot == 0:
-        raise RuntimeError("no neighbour belongs to the majority class: ADASYN is not applicable")
-    gi = share.select("id", F.rint(F.lit(float(G)) * F.col("n_maj") / F.lit(float(tot))).cast("long").alias("gi"))
-    off = running_totals(gi, [F.col("id")], ["gi"], ["cum"], inclusive=False)
-    rows = expand_counts(off, "gi", "j").select(F.col("id").alias("base_id"), (F.col("cum") + F.col("j")).alias("g"))
-    draws = rows.select("g", "base_id", (F.floor(uniform(f"{seed}:n", F.col("g")) * k) + 1).cast("int").alias("rk"),
-                        uniform(f"{seed}:s", F.col("g")).alias("step"))
-    nn = knn(minority, minority, k, **knn_kw)
-    nb = nn.select(F.col("q_id").alias("base_id"), F.col("rank").alias("rk"), "nn_id")
-    b = minority.select(F.col("id").alias("base_id"), F.col("x").alias("xb"))
-    p = minority.select(F.col("id").alias("nn_id"), F.col("x").alias("xn"))
-    new = (draws.join(b, "base_id").join(nb, ["base_id", "rk"]).join(p, "nn_id")
-           .select((-(F.col("g") + 1)).cast("long").alias("id"), lerp(F.col("xb"), F.col("xn"), F.col("step")).alias("x"),
-                   F.lit(mino).cast("int").alias("target"), "base_id", "nn_id", "step"))
-    return _with_lineage(df).unionByName(new)
+    """ADASYN: base i of class c gets g_i = rint(G_c r_i / sum r) points, r_i the share
+    of other classes among its k nearest rows in the whole set; points as in SMOTE."""
+    parts = []
+    off = 0  # rounding makes a class's total differ from G_c: advance by the real count
+    for cls, n_c, G, _ in class_plan(df):
+        if G <= 0:
+            continue
+        if n_c <= k:
+            raise ValueError(f"adasyn needs more than k={k} rows of class {cls}, got {n_c}")
+        members = df.where(F.col("target") == cls).select("id", "x")
+        share = _majority_share(df, members, k, cls, **knn_kw)
+        tot = share.agg(F.sum("n_maj").alias("s")).first()["s"] or 0
+        if tot == 0:
+            raise RuntimeError(f"no neighbour of class {cls} rows belongs to another class: "
+                               "ADASYN is not applicable")
+        gi = share.select("id", F.rint(F.lit(float(G)) * F.col("n_maj") / F.lit(float(tot))).cast("long").alias("gi"))
+        cum = running_totals(gi, [F.col("id")], ["gi"], ["cum"], inclusive=False)
+        rows = expand_counts(cum, "gi", "j").select(
+            F.col("id").alias("base_id"), (F.lit(off) + F.col("cum") + F.col("j")).alias("g"))
+        off += int(cum.agg(F.sum("gi")).first()[0] or 0)
+        draws = rows.select("g", "base_id", (F.floor(uniform(f"{seed}:n", F.col("g")) * k) + 1).cast("int").alias("rk"),
+                            uniform(f"{seed}:s", F.col("g")).alias("step"))
+        nn = knn(members, members, k, **knn_kw)
+        nb = nn.select(F.col("q_id").alias("base_id"), F.col("rank").alias("rk"), "nn_id")
+        b = members.select(F.col("id").alias("base_id"), F.col("x").alias("xb"))
+        p = members.select(F.col("id").alias("nn_id"), F.col("x").alias("xn"))
+        parts.append(draws.join(b, "base_id").join(nb, ["base_id", "rk"]).join(p, "nn_id")
+                     .select((-(F.col("g") + 1)).cast("long").alias("id"),
+                             lerp(F.col("xb"), F.col("xn"), F.col("step")).alias("x"),
+                             F.lit(cls).cast("int").alias("target"), "base_id", "nn_id", "step"))
+    return _union(df, parts)
 
 
 def danger_set(df: DataFrame, m: int = 10, mino: int | None = None, **knn_kw) -> DataFrame:
-    """Minority rows with m/2 <= (majority among m nearest) < m: (id, x, n_maj)."""
+    """Rows of class ``mino`` with m/2 <= (other classes among m nearest) < m: (id, x, n_maj)."""
     if mino is None:
         mino = minority_majority(df)[0]
     minority = df.where(F.col("target") == mino).select("id", "x")
@@ -164,20 +201,22 @@ def danger_set(df: DataFrame, m: int = 10, mino: int | None = None, **knn_kw) ->
 
 
 def borderline_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", **knn_kw) -> DataFrame:
-    """Borderline-SMOTE 1: SMOTE from the danger rows towards their minority neighbours;
-    unchanged when no row is in danger."""
+    """Borderline-SMOTE 1: per non-majority class, SMOTE from its danger rows towards
+    their same-class neighbours; a class without danger rows is left unchanged."""
     spark = df.sparkSession
-    mino, _, n_min, n_maj = minority_majority(df)
-    G = n_maj - n_min
-    danger = _cut(danger_set(df, m, mino, **knn_kw).select("id", "x"))
-    n_d = danger.count()
-    if n_d == 0:
-        return _with_lineage(df)
-    minority = df.where(F.col("target") == mino).select("id", "x")
-    nn = knn(danger, minority, k, **knn_kw)
-    draws = _uniform_draws(spark, G, n_d, k, seed)
-    new = _synthetic_from_draws(draws, _positioned(danger), nn, minority, mino)
-    return _with_lineage(df).unionByName(new)
+    parts = []
+    for cls, n_c, G, off in class_plan(df):
+        if G <= 0:
+            continue
+        danger = _cut(danger_set(df, m, cls, **knn_kw).select("id", "x"))
+        n_d = danger.count()
+        if n_d == 0:
+            continue
+        members = df.where(F.col("target") == cls).select("id", "x")
+        nn = knn(danger, members, k, **knn_kw)
+        draws = _uniform_draws(spark, G, n_d, k, seed, offset=off)
+        parts.append(_synthetic_from_draws(draws, _positioned(danger), nn, members, cls))
+    return _union(df, parts)
 
 
 def svm_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", out_step: float = 0.5,

@@ -89,3 +89,25 @@ def test_unknown_resampler(spark):
     df, _, _ = _vecs(spark, n=50, pos=10)
     with pytest.raises(KeyError):
         RS.resample_by_name(df, "nope")
+
+
+@pytest.mark.parametrize("name", ["random_oversample", "smote", "adasyn", "borderline_smote"])
+def test_multiclass_not_majority(spark, name):
+    rng = np.random.default_rng(4)
+    sizes = {0: 150, 1: 40, 2: 25}
+    rows, i = [], 0
+    for c, n in sizes.items():
+        for _ in range(n):
+            rows.append((i, (rng.normal(size=6) + c).tolist(), c))
+            i += 1
+    df = spark.createDataFrame(rows, "id long, x array<double>, target int")
+    out = RS.resample_by_name(df, name, seed="9")
+    c = _counts(out)
+    assert c[0] == 150
+    for cls in (1, 2):
+        if name in ("random_oversample", "smote"):
+            assert c[cls] == 150
+        elif name == "adasyn":  # per-base rounding
+            assert abs(c[cls] - 150) <= sizes[cls] // 2
+    assert out.select("id").distinct().count() == out.count()
+    assert out.where("id < 0").select("target").distinct().count() >= 1
