@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from balsam.functions.random import uniform
 from balsam.functions.vectors import lerp
-from balsam.operators.knn import knn
+from balsam.operators.knn import knn as _knn_exact
+from balsam.operators.knn import knn_approx
 from balsam.operators.order import positions, running_totals
 
 _LINEAGE = ["base_id", "nn_id", "step"]
@@ -86,6 +87,16 @@ def expand_counts(df: DataFrame, count_col: str, out: str = "j", chunk: int = EX
     return c.select("*", F.explode(F.sequence(lo, hi)).alias(out)).drop("__c")
 
 
+def knn(queries: DataFrame, refs: DataFrame, k: int, approx: bool = False, **kw) -> DataFrame:
+    """Neighbour search used by every method: exact by default; ``approx=True``
+    switches to LSH candidates for sets too large for an exact all-pairs search
+    (e.g. ENN / Tomek over a very large resampled set)."""
+    if approx:
+        lsh_kw = {a: kw[a] for a in ("bucket_length", "num_tables", "seed") if a in kw}
+        return knn_approx(queries, refs, k, **lsh_kw)
+    return _knn_exact(queries, refs, k, **kw)
+
+
 def class_plan(df: DataFrame, target: str = "target") -> list[tuple[int, int, int, int]]:
     """Library default strategy ('not majority'): every class other than the majority
     (largest count, smallest label on ties) is brought up to the majority count.

@@ -111,3 +111,10 @@ def test_multiclass_not_majority(spark, name):
             assert abs(c[cls] - 150) <= sizes[cls] // 2
     assert out.select("id").distinct().count() == out.count()
     assert out.where("id < 0").select("target").distinct().count() >= 1
+
+
+def test_approximate_neighbours_option(spark):
+    df, X, y = _vecs(spark, n=200, d=4)
+    exact = {r["id"] for r in RS.edited_nn(df, 3).collect()}
+    approx = {r["id"] for r in RS.edited_nn(df, 3, approx=True, bucket_length=4.0, num_tables=6).collect()}
+    assert len(exact ^ approx) <= 0.25 * len(exact)
