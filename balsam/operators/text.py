@@ -71,19 +71,19 @@ def embed_text(df: DataFrame, text_col: str, key: str, dim: int = 64,
     Work: explode + one aggregation on (key, bucket) with map-side combine, so a
     long document shrinks to at most ``dim`` rows before the shuffle.
     """
-    toks = df.select(F.col(key), F.explode(T.word_tokens(F.col(text_col))).alias("__t"))
+    # explode_outer keeps documents without tokens (null token -> no cell), so no join
+    # back to the documents is needed for their all-zero vectors
+    toks = df.select(F.col(key), F.explode_outer(T.word_tokens(F.col(text_col))).alias("__t"))
     bucket, sign = _bucket_sign(F.col("__t"), dim)
     cells = (toks.select(key, bucket.alias("__b"), sign.alias("__s"))
              .groupBy(key, "__b").agg(F.sum("__s").alias("__v")))
-    packed = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__v"))).alias("__m"))
+    entries = F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__v")))
+    packed = cells.groupBy(key).agg(F.map_from_entries(entries).alias("__m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                         lambda i: F.coalesce(F.element_at(F.col("__m"), i.cast("long")), F.lit(0.0)))
     vec = packed.select(key, dense.alias("__raw"))
     norm = l2norm(F.col("__raw"))
-    vec = vec.select(key, F.when(norm > 0, scale(F.col("__raw"), norm)).otherwise(F.col("__raw")).alias(out))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return (df.select(key).join(vec, key, "left")
-            .select(key, F.coalesce(F.col(out), zeros).alias(out)))
+    return vec.select(key, F.when(norm > 0, scale(F.col("__raw"), norm)).otherwise(F.col("__raw")).alias(out))
 
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -112,22 +112,21 @@ def encode_sequences(df: DataFrame, text_col: str, key: str, vocab: DataFrame,
     ``max_length - 2`` are truncated, as the reference's tokenizer does.
     """
     body = max_length - 2
-    tok = df.select(key, F.posexplode(T.word_tokens(F.col(text_col))).alias("__p", "token"))
-    n_tok = tok.groupBy(key).agg(F.count(F.lit(1)).alias("n_tokens"))
-    kept = tok.where(F.col("__p") < body)
-    ids = (kept.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-           .select(key, "__p", F.coalesce("token_id", F.lit(UNK)).alias("__id"))
-           .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "__id"))).alias("__s")))
-    seq = F.transform(F.coalesce(F.col("__s"), F.array().cast("array<struct<__p:int,__id:int>>")),
-                      lambda s: s["__id"])
+    toks = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
+    tok = (toks.select(key, F.size("__toks").alias("__n"), F.posexplode_outer("__toks").alias("__p", "token"))
+           .where(F.col("__p").isNull() | (F.col("__p") < body)))
+    ids = (tok.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+           .groupBy(key).agg(F.first("__n").alias("n_tokens"),
+                             F.array_sort(F.collect_list(F.when(F.col("__p").isNotNull(), F.struct(
+                                 "__p", F.coalesce("token_id", F.lit(UNK)).alias("__id"))))).alias("__s")))
+    seq = F.transform(F.col("__s"), lambda s: s["__id"])
     n = F.size(seq)
     input_ids = F.concat(F.array(F.lit(CLS)), seq, F.array(F.lit(SEP)),
                          F.array_repeat(F.lit(PAD), F.lit(body) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), F.lit(body) - n))
-    return (df.select(key).join(ids, key, "left").join(n_tok, key, "left")
-            .select(key, input_ids.cast("array<int>").alias("input_ids"),
-                    mask.cast("array<int>").alias("attention_mask"),
-                    F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")))
+    return ids.select(key, input_ids.cast("array<int>").alias("input_ids"),
+                      mask.cast("array<int>").alias("attention_mask"),
+                      F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 # ---------------------------------------------------------------- user encoder hook
