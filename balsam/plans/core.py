@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from balsam.functions.random import uniform
 from balsam.functions.text import GROUP_NAME_PATTERNS, PROVINCE_NAMES
 from balsam.operators import clean, labels, split
 from balsam.operators.baselines import baseline_stratified
 from balsam.operators.metrics import macro_metrics
 from balsam.operators.text import mask_text
 from balsam.plans.registry import query
-from balsam.plans.sql import U, W, E, lits, mask_chain, mask_sequential, normalize_ws, split_flags
+from balsam.plans.sql import U, W, lits, mask_chain, normalize_ws, split_flags
 from balsam.session import scratch_path
 from balsam.sources import read_csv, write_csv
 from balsam.sources.csv import PANDAS_NA_TOKENS
-from balsam.sources.tables import embedding_set, labelled_documents, table
+from balsam.sources.tables import labelled_documents, table
 
 SEED = "42"
 R6 = 6

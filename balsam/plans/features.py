@@ -10,10 +10,10 @@ from balsam.operators import split
 from balsam.operators.baselines import baseline_majority, baseline_stratified
 from balsam.operators.knn import knn
 from balsam.operators.labels import curate_from_actors
-from balsam.operators.text import embed_text, mask_text
+from balsam.operators.text import embed_text
 from balsam.plans.evaluation import macro_sql
 from balsam.plans.registry import query
-from balsam.plans.sql import E, U, W, lits, normalize_ws, split_flags
+from balsam.plans.sql import E, U, W, normalize_ws, split_flags
 from balsam.plans.text_plans import _TOKS
 from balsam.sources.tables import embedding_set, labelled_documents, table
 
