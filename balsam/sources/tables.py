@@ -6,10 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _row_groups(paths: list[str]) -> int | None:
+    """Total parquet row groups of a few local files (footers only); None if unknown."""
+    try:
+        from urllib.parse import urlparse
+
+        import pyarrow.parquet as pq
+        total = 0
+        for p in paths:
+            u = urlparse(p)
+            if u.scheme not in ("", "file"):
+                return None
+            total += pq.ParquetFile(u.path if u.scheme else p).metadata.num_row_groups
+        return total
+    except Exception:  # noqa: BLE001 - unknown layout: leave the scan as it is
+        return None
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """A scan with fewer row groups than task slots runs its narrow work (regexes,
+    tokenising, hashing) on a few cores only; spread it round-robin. Large inputs
+    (many files / row groups, the cluster case) are returned untouched, so no
+    shuffle is added there. Filters and projections still push through."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= par:
+        return df
+    rg = _row_groups(files)
+    return df.repartition(par) if rg is not None and rg < par else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One parquet table; naming columns here keeps the scan pruned."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    return spread_small_input(df.select(*columns) if columns else df)
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str, target: str = "toxic") -> DataFrame:
