@@ -21,6 +21,8 @@ def spark():
          .config("spark.driver.memory", "4g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from balsam.session import ship_package
+    ship_package(s)
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="balsam-test-ckpt-"))
     yield s
