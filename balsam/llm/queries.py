@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import decontam
+from balsam.llm import decontam, minhash_odd
 from balsam.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at 0.8 of their 2-word shingles."""
+    found = minhash_odd.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                        shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id",
+                        (F.col("doc_id") == F.col("component_id")).alias("kept"))
