@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import decontam, minhash_odd
+from balsam.llm import decontam, minhash_odd, pii
 from balsam.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         shingle=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id",
                         (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base patterns, and names and secrets of the field."""
+    found = pii.find_pii(read(spark, sf_dir, "documents", "doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(
+        c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
