@@ -38,3 +38,20 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def held_out(key: Column) -> Column:
+    """True for the quarter of the keys that no classifier learns from."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int, key: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """(text, y) of at most ``limit`` labelled keys that are not held out, the same keys each
+    time: those with the smallest hashes. Of several labels of a key the largest holds; null
+    labels and null keys are left out. The ids are few by that limit, so they are broadcast."""
+    ids = labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull() & ~held_out(F.col(key))) \
+        .groupBy(key).agg(F.max(F.col(target).cast("int")).alias("y__")) \
+        .orderBy(F.xxhash64(key), key).limit(limit)
+    return docs.join(F.broadcast(ids), key) \
+        .select(F.col(text_col).alias("text"), F.col("y__").alias("y"), F.xxhash64(key).alias("h"))

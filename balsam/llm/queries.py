@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import decontam, minhash_odd, pii
-from balsam.llm.common import read
+from balsam.llm import decontam, minhash_odd, pii, quality, toxicity
+from balsam.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in pii.KINDS],
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return _scored(quality.score(docs, model), 0.7)
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return _scored(toxicity.score(docs, model), 0.3)
