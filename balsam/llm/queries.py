@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import decontam, minhash_odd, pii, quality, toxicity
+from balsam.llm import decontam, minhash_odd, pii, quality, spotsigs, toxicity
 from balsam.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
     return _scored(toxicity.score(docs, model), 0.3)
+
+
+@query("op10_spotsigs")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot signatures of every document, of its edited text, and their likeness."""
+    found = spotsigs.compare_with_next(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        spotsigs.as_text(F.col("sigs")).alias("fingerprint"),
+                        spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
+                        "near_edited", "near_next")
