@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import decontam, minhash_odd, pii, quality, spotsigs, toxicity
+from balsam.llm import (decontam, html_extract, minhash_odd, mixing, pii, quality, spotsigs, tokens,
+                        toxicity, warc)
 from balsam.llm.common import held_out, read
+from balsam.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +109,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spotsigs.as_text(F.col("sigs")).alias("fingerprint"),
                         spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
                         "near_edited", "near_next")
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return tokens.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extract.extract_text(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_mix_sources")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of its sources."""
+    return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "source"))
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return warc.read_archives(spark, path).select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
