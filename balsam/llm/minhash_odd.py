@@ -8,9 +8,11 @@
 3. Nodes that share a band key are paired with the smallest node of that key only. Pairs whose
    sketches put them far below the threshold go; the rest are confirmed on their full sets.
    Linked nodes merge into components.
-4. Nodes of one band key that are in different components and have not been compared with each
-   other (neither is the key's smallest) are compared in the same way. So every pair that
-   shares a key is either in one component or has been decided, without emitting all pairs.
+4. Keys whose nodes are in several components get another centre, which is compared with the
+   nodes of the other components only, one row for each node, as long as that links something
+   and more pairs are undecided than there are rows. Then the pairs of different components that
+   are left are compared. So every pair that shares a key ends in one component or has been
+   decided, and the pairs inside a large group are not emitted.
 
 With the defaults a pair at similarity 0.8 shares no key with probability (1 - 0.8^6)^48, about
 5e-7, and a sketch rejects such a pair at more than seven standard deviations from its mean.
@@ -175,45 +177,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
 
     limit = most_apart(bands * rows, percent)
     sketch = nodes.select("v", "sketch")
+    texts_of = kept(_node_texts(texts, nodes.join(member.select("v").distinct(), "v", "left_semi"), shingle),
+                    "odd-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the sketches and then the full sets."""
         near = pairs.join(sketch.select(F.col("v").alias("a"), F.col("sketch").alias("sa")), "a") \
             .join(sketch.select(F.col("v").alias("b"), F.col("sketch").alias("sb")), "b") \
             .filter(apart(F.col("sa"), F.col("sb")) <= limit).select("a", "b")
-        near = kept(near, "odd-pairs")
-        used = near.select(F.col("a").alias("v")).union(near.select(F.col("b").alias("v"))).distinct()
-        used = kept(nodes.join(used, "v").select("v", "key", "digest"), "odd-used")
-        wanted = used.filter("key is not null")
-        if used.count() <= MAX_BROADCAST:
-            wanted = F.broadcast(wanted)
-        found = texts.join(wanted, "key").select("v", "text", "digest")
-        lone = used.filter("key is null").select("v", "digest")
-        if not lone.isEmpty():  # nodes that only rows without a key have
-            found = found.union(texts.filter("key is null").mapInArrow(
-                _with_digest(shingle), "text string, digest binary")
-                .join(lone, "digest").select("v", "text", "digest"))
-        # rows of one key may have different texts
-        found = kept(found.mapInArrow(_of_digest(shingle), "v long, text string"), "odd-texts")
-        pair = near.join(found.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b") \
-            .join(found.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a") \
+        pair = near.join(texts_of.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b") \
+            .join(texts_of.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a") \
             .select("a", "b", "ta", "tb")
         return kept(pair.mapInArrow(_confirm(shingle, percent), "a long, b long").distinct(), "odd-links")
 
+    def undecided(label: DataFrame) -> DataFrame:
+        """(k, v, label) of the keys whose nodes are in several components."""
+        of = member.filter("size > 2").join(label, "v", "left") \
+            .select("k", "v", F.coalesce("label", "v").alias("label"))
+        several = of.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
+            .filter("lo < hi").select("k")
+        return kept(of.join(several, "k"), "odd-open")
+
     links = confirmed(member.filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct())
     label = components(links)
-    # what the smallest of a key could not decide
-    of = member.filter("size > 2 and v <> c").join(label, "v", "left") \
-        .select("k", "v", F.coalesce("label", "v").alias("label"))
-    open_keys = of.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
-        .filter("lo < hi").select("k")
-    of = kept(of.join(open_keys, "k"), "odd-open")
-    x = of.select("k", F.col("v").alias("a"), F.col("label").alias("la"))
-    y = of.select("k", F.col("v").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, "k").filter("la < lb").select("a", "b").distinct()
-    more = confirmed(rest)
-    if not more.isEmpty():
-        label = components(links.union(more))
+    while True:
+        of = undecided(label)
+        parts = of.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k") \
+            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        rows_, cross = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not cross:
+            break
+        x = of.select("k", F.col("v").alias("a"), F.col("label").alias("la"))
+        y = of.select("k", F.col("v").alias("b"), F.col("label").alias("lb"))
+        if cross > rows_:
+            # another centre of each key: one row per row of the key
+            seed += 1
+            centre = x.groupBy("k").agg(F.max_by(F.struct("a", "la"), F.xxhash64("a", F.lit(seed))).alias("x")) \
+                .select("k", "x.*")
+            more = confirmed(centre.join(y, "k").filter("la <> lb").select("a", "b").distinct())
+            if not more.isEmpty():
+                links = links.union(more)
+                label = components(links)
+                continue
+        # what is left: all pairs of different components, once
+        more = confirmed(x.join(y, "k").filter("la < lb").select("a", "b").distinct())
+        if not more.isEmpty():
+            label = components(links.union(more))
+        break
     of_node = nodes.select("v", "digest", "key").join(label, "v", "left") \
         .select("digest", "key", F.coalesce("label", "v").alias("label"))
     smallest = of_node.groupBy("label").agg(F.min("key").alias("component_id"))
@@ -223,6 +233,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
         F.coalesce("component_id", "key").alias("component_id"))
 
 
+def _node_texts(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(v, text): a text of each node. The ids go to the texts where they are few enough."""
+    wanted = nodes.filter("key is not null").select("v", "key", "digest")
+    if nodes.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    found = texts.join(wanted, "key").select("v", "text", "digest")
+    lone = nodes.filter("key is null").select("v", "digest")
+    if not lone.isEmpty():  # nodes that only rows without a key have
+        found = found.union(texts.filter("key is null").mapInArrow(
+            _with_digest(shingle), "text string, digest binary")
+            .join(lone, "digest").select("v", "text", "digest"))
+    # rows of one key may have different texts
+    return found.mapInArrow(_of_digest(shingle), "v long, text string")
+
+
 def _digest(u: np.ndarray) -> bytes:
     import hashlib
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
