@@ -53,5 +53,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int, k
     ids = labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull() & ~held_out(F.col(key))) \
         .groupBy(key).agg(F.max(F.col(target).cast("int")).alias("y__")) \
         .orderBy(F.xxhash64(key), key).limit(limit)
-    return docs.join(F.broadcast(ids), key) \
+    return docs.select(key, text_col).join(F.broadcast(ids), key) \
         .select(F.col(text_col).alias("text"), F.col("y__").alias("y"), F.xxhash64(key).alias("h"))

@@ -65,6 +65,12 @@ def _starts(w: str, length: int) -> Column:
         .otherwise(F.array().cast("array<int>"))
 
 
+def _hashes(w: str, length: int) -> Column:
+    """(pos, len, h) of all windows of ``length`` words."""
+    return F.transform(_starts(w, length), lambda i: F.struct(
+        i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(w, i + 1, length)).alias("h")))
+
+
 def _candidates(w: str, grams: NGrams) -> Column:
     """(pos, len) of the windows whose hash is in the set."""
     found = []
@@ -95,9 +101,7 @@ def _with_windows(docs: DataFrame, rid: str, w: str, grams: NGrams) -> DataFrame
             .select(rid, "n", F.explode_outer(hits).alias("s")).select(rid, "n", "s.*")
     # beyond the set's bound: all window hashes go by a shuffle, and the windows of the few that
     # match are fetched from their documents
-    all_h = F.concat(*[F.transform(_starts(w, k), lambda i, k=k: F.struct(
-        i.alias("pos"), F.lit(k).alias("len"), F.xxhash64(F.slice(w, i + 1, k)).alias("h")))
-        for k in grams.lengths])
+    all_h = F.concat(*[_hashes(w, k) for k in grams.lengths])
     hit = docs.select(rid, F.explode(all_h).alias("s")).select(rid, "s.*") \
         .join(grams.table.select("len", "h").distinct(), ["len", "h"], "left_semi") \
         .groupBy(rid).agg(F.collect_list(F.struct("pos", "len")).alias("c"))
@@ -153,17 +157,14 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10,
         marked = marked.withColumn(c, F.when(F.size(c) > 0, _covered(sure)).otherwise(
             F.array().cast("array<int>")))
     else:
-        rid = free_name(docs, "rid__")
-        base = docs.withColumn(rid, F.xxhash64(F.col(text_col)))
-        texts = base.select(rid, text_col).dropDuplicates([rid, text_col]) \
-            .select(F.struct(rid, text_col).alias("id"), once(words(F.col(text_col))).alias("w"))
+        texts = docs.select(F.col(text_col).alias("t")).dropDuplicates() \
+            .select(F.struct("t").alias("id"), once(words(F.col("t"))).alias("w"))
         rows = _with_windows(texts, "id", "w", grams).filter("window is not null") \
             .join(grams.table.select("len", "window").distinct(), ["len", "window"], "left_semi")
         spans = rows.groupBy("id").agg(F.collect_set(F.struct("pos", "len")).alias("spans")) \
-            .select(F.col(f"id.{rid}").alias("r"), F.col(f"id.{text_col}").alias("t"),
-                    _covered(F.col("spans")).alias(c))
-        marked = base.join(spans, (F.col(rid) == F.col("r")) & (F.col(text_col) == F.col("t")), "left") \
-            .drop("r", "t", rid).withColumn(w, words(F.col(text_col))) \
+            .select(F.col("id.t").alias(w), _covered(F.col("spans")).alias(c))
+        marked = docs.join(spans, F.col(text_col) == F.col(w), "left") \
+            .withColumn(w, words(F.col(text_col))) \
             .withColumn(c, F.coalesce(c, F.array().cast("array<int>")))
     share = F.size(c) / F.greatest(F.size(w), F.lit(1))
     kept = marked.filter(share < drop_at)

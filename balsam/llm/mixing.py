@@ -25,8 +25,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from balsam.llm.common import free_name
-
 NONE = "(none)"
 #: Rows of a hash range, about; one range is sorted in one task.
 RANGE = 5_000
@@ -102,18 +100,19 @@ def target_weights(counts: Mapping[str, int], given: Mapping[str, float] | None,
 def mix(docs: DataFrame, source_col: str = "source", key: str = "doc_id",
         weights: Mapping[str, float] | None = None, temperature: float = 2.0, block_rows: int = 64,
         period: int = 1000, seed: int = 17) -> DataFrame:
-    """``docs`` with block, release, deadline, slot and position (slot * block_rows + place in the
+    """``docs`` (their columns of these names give way) with block, release, deadline, slot and position (slot * block_rows + place in the
     block); the order of position is the mix. Without ``weights`` a source's weight is its number
     of rows to the power 1 / ``temperature``."""
     spark = docs.sparkSession
-    src, h, part, rank = (free_name(docs, x) for x in ("source__", "hash__", "range__", "rank__"))
-    named = docs.withColumn(src, F.coalesce(F.col(source_col).cast("string"), F.lit(NONE))) \
-        .withColumn(h, F.xxhash64(F.lit(seed), F.col(key)))
-    counts = {r[0]: r[1] for r in named.groupBy(src).count().collect()}
+    # the rows travel as one struct, so that no name of theirs meets one used here
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.col(key).alias("key"), F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("s"),
+                        F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
+    counts = {r[0]: r[1] for r in named.groupBy("s").count().collect()}
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()},
                   target_weights(counts, weights, temperature), period)
-    table = spark.createDataFrame(
-        [(s, n, max(1, n // RANGE)) for s, n in sorted(counts.items())], "s string, n long, ranges long")
+    ranges = spark.createDataFrame([(s, max(1, n // RANGE)) for s, n in sorted(counts.items())],
+                                   "s string, ranges long")
     firsts: dict[str, list] = {s: [] for s in counts}
     cells = []
     for i, p in enumerate(plan):
@@ -126,29 +125,24 @@ def mix(docs: DataFrame, source_col: str = "source", key: str = "doc_id",
     cell = spark.createDataFrame(cells, "s string, phase int, j long, t long")
 
     # ranks: rows in order of hash, counted by hash range and then inside each range
-    named = named.join(F.broadcast(table), F.col(src) == F.col("s")).drop("s")
-    share = F.shiftrightunsigned(F.col(h), 11).cast("double") / float(1 << 53)
-    named = named.withColumn(part, F.floor(share * F.col("ranges")).cast("long"))
-    before = Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offset = named.groupBy(src, part).count().select(
-        F.col(src).alias("s"), F.col(part).alias("p"),
-        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(src, part).orderBy(h, key)
-    ranked = named.withColumn(rank, F.row_number().over(inside) - 1)
-    ranked = ranked.join(offset, (F.col(src) == F.col("s")) & (F.col(part) == F.col("p"))) \
-        .withColumn(rank, F.col("before") + F.col(rank)).drop("s", "p", "before", "n", "ranges", part, h)
-
-    placed = ranked.withColumn("block", F.floor(F.col(rank) / block_rows).cast("long")) \
-        .join(F.broadcast(of_source), F.col(src) == F.col("s")).drop("s")
+    share = F.shiftrightunsigned(F.col("h"), 11).cast("double") / float(1 << 53)
+    named = named.join(F.broadcast(ranges), "s") \
+        .withColumn("part", F.floor(share * F.col("ranges")).cast("long")).drop("ranges")
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = named.groupBy("s", "part").count().select(
+        "s", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("s", "part").orderBy("h", "key")
+    ranked = named.withColumn("inside", F.row_number().over(inside) - 1).join(offset, ["s", "part"]) \
+        .select("row", "s", (F.col("before") + F.col("inside")).alias("rank"))
+
     last = F.element_at(F.filter("f", lambda x: x["first"] <= F.col("block")), -1)
-    placed = placed.withColumn("f", last).withColumn("q", F.col("block") - F.col("f.first")) \
-        .withColumn("j", F.expr("q % f.per")).withColumn("round", F.expr("q div f.per"))
-    cell = cell.select(F.col("s"), F.col("phase").alias("cp"), F.col("j").alias("cj"), "t")
-    placed = placed.join(F.broadcast(cell), (F.col(src) == F.col("s")) & (F.col("f.phase") == F.col("cp"))
-                         & (F.col("j") == F.col("cj")))
-    return placed.select(
-        *docs.columns, "block",
-        F.expr("f.start + q * f.period div f.per").alias("release"),
-        F.expr("f.start - (-(q + 1) * f.period) div f.per + CASE WHEN ((q + 1) * f.period) % f.per = 0 THEN 0 ELSE 1 END").alias("deadline"),
-        F.expr("f.start + round * f.period + t").alias("slot"),
-        (F.expr("f.start + round * f.period + t") * block_rows + F.col(rank) % block_rows).alias("position"))
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long")) \
+        .join(F.broadcast(of_source), "s").withColumn("f", last).withColumn("q", F.col("block") - F.col("f.first")) \
+        .withColumn("phase", F.col("f.phase")).withColumn("j", F.expr("q % f.per")) \
+        .join(F.broadcast(cell), ["s", "phase", "j"])
+    new = ("block", "release", "deadline", "slot", "position")
+    return placed.withColumn("slot", F.expr("f.start + q div f.per * f.period + t")).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new],
+        "block", F.expr("f.start + q * f.period div f.per").alias("release"),
+        F.expr("f.start + ((q + 1) * f.period + f.per - 1) div f.per").alias("deadline"),
+        "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))

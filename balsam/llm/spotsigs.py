@@ -35,6 +35,8 @@ el los las del y por con para es se su al no
 CHAIN = 3
 #: Neighbours in the order of keys are found in groups of about so many rows.
 GROUP = 2_000
+#: Up to so many groups their first keys go to all executors instead of shuffling the texts for them.
+MAX_BROADCAST = 1_000_000
 
 
 def signatures(w: str) -> Column:
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "signatures
     """``docs`` with the column ``out``: the sorted signatures of the whole text."""
     w = free_name(docs, "words__")
     return docs.select("*", once(words(F.col(text_col))).alias(w)) \
-        .select(*docs.columns, once(signatures(w)).alias(out))
+        .select(*[c for c in docs.columns if c != out], once(signatures(w)).alias(out))
 
 
 def grouped_by_order(docs: DataFrame, key: str, group: int = GROUP) -> DataFrame:
@@ -90,6 +92,8 @@ def grouped_by_order(docs: DataFrame, key: str, group: int = GROUP) -> DataFrame
     whole = Window.partitionBy()
     first = first.select("k", "g__", F.lead("g__").over(order).alias("up"), F.min("g__").over(whole).alias("low"))
     guests = first.select("k", F.coalesce("up", "low").alias("to"))
+    if n // group <= MAX_BROADCAST:  # a row per group
+        guests = F.broadcast(guests)
     guest = docs.join(guests, docs[key].eqNullSafe(F.col("k"))).select(*docs.columns, F.col("to").alias("g__"))
     return own.withColumn("guest__", F.lit(False)).unionByName(guest.withColumn("guest__", F.lit(True)))
 
