@@ -1,21 +1,22 @@
 """Near-duplicate groups: MinHash bands propose pairs, odd sketches screen them, full sets decide.
 
 1. One pass over the texts gives each document its number of distinct word shingles, a 128-bit
-   digest of the sorted set, ``bands`` keys made of ``rows`` MinHash samples each, and an odd
-   sketch: a bitmap in which every sample flips one bit. The XOR of two bitmaps holds the samples
-   in which two documents differ, so its population count estimates high similarities closely.
+   digest of the sorted set, ``bands`` keys made of ``rows`` MinHash values each, and an odd
+   sketch: the MinHash samples of one permutation (the smallest hash of each of many bins) flip
+   one bit each of a bitmap. The XOR of two bitmaps holds the samples in which two documents
+   differ, so its population count tells how many these are. Small sets have more bins than
+   members, which makes the estimate nearly exact; large ones have fewer bins than members.
 2. Equal sets become one node; a text copied any number of times is one row from here on.
-3. Nodes that share a band key are paired with the smallest node of that key only. Pairs whose
-   sketches put them far below the threshold go; the rest are confirmed on their full sets.
-   Linked nodes merge into components.
-4. Keys whose nodes are in several components get another centre, which is compared with the
-   nodes of the other components only, one row for each node, as long as that links something
-   and more pairs are undecided than there are rows. Then the pairs of different components that
-   are left are compared. So every pair that shares a key ends in one component or has been
-   decided, and the pairs inside a large group are not emitted.
+3. Nodes that share a band key are paired with one node of that key only, that with the most
+   neighbours. Pairs with more differing samples than a pair at the threshold has, by several
+   standard deviations, go; the rest are confirmed on their full sets. Linked nodes merge.
+4. Where a key still has nodes of several components, those outside its largest component are
+   compared with the others of the key, under the same screen and each pair in the first key
+   that it shares. So every pair that shares a key ends in one component or has been decided, and
+   the pairs inside a large group are never made.
 
 With the defaults a pair at similarity 0.8 shares no key with probability (1 - 0.8^6)^48, about
-5e-7, and a sketch rejects such a pair at more than seven standard deviations from its mean.
+5e-7.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole word sequence as its one shingle; equal keys
@@ -34,7 +35,11 @@ from pyspark.sql import functions as F
 from balsam.llm.components import components
 from balsam.session import scratch_path
 
-BITS = 1024
+BITS = 2048
+#: Bins of the permutation for sets of at most ``SMALL`` shingles, and for larger ones.
+SMALL, FINE, COARSE = 1_000, 16_384, 1_024
+#: Standard deviations by which a screened pair may exceed the threshold's expectation.
+MARGIN = 5.0
 #: Words remembered by a task; the memory bound of the cache, without effect on results.
 CACHE = 400_000
 #: Up to so many node ids go to all executors instead of shuffling the texts for them.
@@ -82,7 +87,23 @@ def _longs(x: np.ndarray) -> pa.Array:
                                     pa.array(flat.ravel(), pa.int64()))
 
 
-def _sketcher(shingle: int, bands: int, rows: int, seed: int):
+def _sketch(u: np.ndarray, bins: int) -> np.ndarray:
+    """Bit places of the samples of a sorted set: the smallest hash of each bin."""
+    b = u >> np.uint64(64 - bins.bit_length() + 1)
+    first = u[np.append(True, b[1:] != b[:-1])]
+    return ((first * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)
+
+
+def _bitmaps(sets: list[np.ndarray], bins: int, wanted: list[bool]) -> pa.Array:
+    """A parity bitmap of 64-bit words for each wanted set, null for the others."""
+    at = [_sketch(u, bins) if w else np.empty(0, np.int64) for u, w in zip(sets, wanted)]
+    flat = np.concatenate([x + i * BITS for i, x in enumerate(at)])
+    odd = (np.bincount(flat, minlength=len(sets) * BITS) & 1).astype(np.uint8)
+    out = np.packbits(odd.reshape(len(sets), BITS), axis=1).view(np.int64)
+    return pa.array([r if w else None for r, w in zip(out, wanted)], pa.list_(pa.int64()))
+
+
+def _sketcher(shingle: int, percent: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         k = bands * rows
@@ -90,28 +111,20 @@ def _sketcher(shingle: int, bands: int, rows: int, seed: int):
         add = rng.integers(0, 2**32, k, dtype=np.uint32)
         poly = rng.integers(0, 2**63, rows, dtype=np.uint64) | np.uint64(1)
         salt = rng.integers(0, 2**63, bands, dtype=np.uint64)
-        place = rng.integers(0, 2**63, k, dtype=np.uint64)
         cache = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                sets = [_shingles(t, shingle, cache) for t in texts]
-                full = np.array([len(s) > 0 for s in sets], bool)
+                sets = [_shingles(t, shingle, cache) for t in part.column(1).to_pylist()]
                 m = np.array([_samples(s, mul, add) for s in sets], np.uint32).astype(np.uint64)
                 keys = (m.reshape(len(sets), bands, rows) * poly).sum(axis=2, dtype=np.uint64) + salt
                 keys ^= keys >> np.uint64(31)
-                bit = ((m + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ place)
-                bit = ((bit * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(54)).astype(np.int64)
-                odd = np.bincount((bit + np.arange(len(sets))[:, None] * BITS).ravel(),
-                                  minlength=len(sets) * BITS) & 1
-                odd = np.packbits(odd.astype(np.uint8).reshape(len(sets), BITS), axis=1)
-                digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([d if f else None for d, f in zip(digests, full)], pa.binary()),
-                     _longs(keys), _longs(odd)],
-                    names=["key", "n", "digest", "bands", "sketch"])
+                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), _longs(keys),
+                     _bitmaps(sets, FINE, [0 < len(s) <= SMALL for s in sets]),
+                     _bitmaps(sets, COARSE, [100 * len(s) > percent * SMALL for s in sets])],
+                    names=["key", "n", "digest", "bands", "fine", "coarse"])
     return run
 
 
@@ -133,18 +146,28 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def apart(a: Column, b: Column) -> Column:
-    """Bits in which two odd sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
-                       F.lit(0), lambda s, x: s + x)
-
-
-def most_apart(samples: int, percent: int) -> int:
-    """XOR bits above which a pair is rejected: those of a similarity lower than the threshold by
-    eight standard errors of its MinHash estimate."""
-    j = percent / 100
-    j = max(0.0, j - 8 * float(np.sqrt(max(j * (1 - j), 0.01) / samples)))
-    return int(np.ceil(BITS / 2 * (1 - np.exp(-4 * samples * (1 - j) / BITS))))
+def screened(a: str, b: str, percent: int) -> Column:
+    """Whether two rows (n, cls, sk) can be at the threshold. ``cls`` 0 is the fine sketch, that
+    both small sets have; 1 the coarse one, for the other pairs."""
+    t = percent / 100
+    n = lambda x: F.col(f"{x}.n").cast("double")
+    bins = F.when(F.col(f"{a}.cls") == 0, FINE).otherwise(COARSE).cast("double")
+    xor = [F.bit_count(F.get(f"{a}.sk", F.lit(i)).bitwiseXOR(F.get(f"{b}.sk", F.lit(i)))) for i in range(BITS // 64)]
+    differ = xor[0]
+    for x in xor[1:]:
+        differ = differ + x
+    union = (n(a) + n(b)) / (1 + t)
+    filled = lambda m: bins * (1 - F.exp(-m / bins))
+    both = filled(union)
+    mean = F.greatest(filled(n(a)) + filled(n(b)) - 2 * t * both, F.lit(0.0))
+    x = 4 * mean / BITS
+    spread = 4 * t * (1 - t) * both * F.greatest(1 - both / union, F.lit(0.0)) + BITS / 4 * (F.exp(x) - 1 - x)
+    most = mean + MARGIN * F.sqrt(spread) + 1
+    # the count of odd bits that so many differing samples leave
+    bits = BITS / 2 * (1 - F.exp(-2 * most / BITS))
+    small = (F.col(f"{a}.n") <= SMALL) & (F.col(f"{b}.n") <= SMALL)
+    return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) \
+        & ((F.col(f"{a}.cls") == 0) | ~small) & (differ <= bits)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -164,66 +187,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     rows_of = kept(texts.mapInArrow(
-        _sketcher(shingle, bands, rows, seed),
-        f"key {kind}, n long, digest binary, bands array<long>, sketch array<long>"), "odd-rows")
+        _sketcher(shingle, percent, bands, rows, seed),
+        f"key {kind}, n long, digest binary, bands array<long>, fine array<long>, coarse array<long>"), "odd-rows")
     nodes = kept(rows_of.filter("digest is not null").groupBy("digest")
-                 .agg(F.min("key").alias("key"), F.first("bands").alias("bands"),
-                      F.first("sketch").alias("sketch"))
+                 .agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                      F.first("fine").alias("fine"), F.first("coarse").alias("coarse"))
                  .withColumn("v", F.monotonically_increasing_id()), "odd-nodes")
-    member = nodes.select(F.explode("bands").alias("k"), "v")
-    shared = kept(member.groupBy("k").agg(F.min("v").alias("c"), F.count(F.lit(1)).alias("size"))
-                  .filter("size > 1"), "odd-keys")
+    sketch = nodes.select("v", "n", F.posexplode(F.array("fine", "coarse")).alias("cls", "sk")).filter("sk is not null")
+    member = nodes.select(F.posexplode("bands").alias("band", "k"), "v")
+    shared = kept(member.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "odd-keys")
     member = kept(member.join(shared, "k"), "odd-members")
-
-    limit = most_apart(bands * rows, percent)
-    sketch = nodes.select("v", "sketch")
     texts_of = kept(_node_texts(texts, nodes.join(member.select("v").distinct(), "v", "left_semi"), shingle),
                     "odd-texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the sketches and then the full sets."""
-        near = pairs.join(sketch.select(F.col("v").alias("a"), F.col("sketch").alias("sa")), "a") \
-            .join(sketch.select(F.col("v").alias("b"), F.col("sketch").alias("sb")), "b") \
-            .filter(apart(F.col("sa"), F.col("sb")) <= limit).select("a", "b")
+    def confirmed(near: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the full sets link."""
         pair = near.join(texts_of.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b") \
             .join(texts_of.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a") \
             .select("a", "b", "ta", "tb")
-        return kept(pair.mapInArrow(_confirm(shingle, percent), "a long, b long").distinct(), "odd-links")
-
-    def undecided(label: DataFrame) -> DataFrame:
-        """(k, v, label) of the keys whose nodes are in several components."""
-        of = member.filter("size > 2").join(label, "v", "left") \
-            .select("k", "v", F.coalesce("label", "v").alias("label"))
-        several = of.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
-            .filter("lo < hi").select("k")
-        return kept(of.join(several, "k"), "odd-open")
-
-    links = confirmed(member.filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct())
+        return kept(pair.mapInArrow(_confirm(shingle, percent), "a long, b long"), "odd-links")
+
+    # each key's node with the most neighbours, against the others
+    degree = member.groupBy("v").agg(F.sum("size").alias("degree"))
+    centre = member.join(degree, "v").groupBy("k").agg(F.max_by("v", F.struct("degree", "v")).alias("c"))
+    pairs = member.join(centre, "k").filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
+    near = pairs.join(sketch.select(F.col("v").alias("a"), F.struct("n", "cls", "sk").alias("x")), "a") \
+        .join(sketch.select(F.col("v").alias("b"), F.struct("n", "cls", "sk").alias("y")), "b") \
+        .filter((F.col("x.cls") == F.col("y.cls")) & screened("x", "y", percent)).select("a", "b")
+    links = confirmed(near)
     label = components(links)
-    while True:
-        of = undecided(label)
-        parts = of.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k") \
-            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        rows_, cross = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not cross:
-            break
-        x = of.select("k", F.col("v").alias("a"), F.col("label").alias("la"))
-        y = of.select("k", F.col("v").alias("b"), F.col("label").alias("lb"))
-        if cross > rows_:
-            # another centre of each key: one row per row of the key
-            seed += 1
-            centre = x.groupBy("k").agg(F.max_by(F.struct("a", "la"), F.xxhash64("a", F.lit(seed))).alias("x")) \
-                .select("k", "x.*")
-            more = confirmed(centre.join(y, "k").filter("la <> lb").select("a", "b").distinct())
-            if not more.isEmpty():
-                links = links.union(more)
-                label = components(links)
-                continue
-        # what is left: all pairs of different components, once
-        more = confirmed(x.join(y, "k").filter("la < lb").select("a", "b").distinct())
-        if not more.isEmpty():
-            label = components(links.union(more))
-        break
+
+    # keys with nodes of several components: those outside the largest against the others
+    of = member.filter("size > 2").join(label, "v", "left") \
+        .select("k", "band", "v", F.coalesce("label", "v").alias("label"))
+    major = of.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k") \
+        .agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("parts")) \
+        .filter("parts > 1").select("k", "major")
+    of = kept(of.join(major, "k"), "odd-open")
+    full = of.join(sketch.join(nodes.select("v", "bands"), "v"), "v")
+    x = full.filter("label <> major").select("k", F.col("cls").alias("xc"), "band", F.col("v").alias("a"),
+                                             F.col("label").alias("la"), F.struct("n", "cls", "sk", "bands").alias("x"))
+    y = full.select("k", F.col("cls").alias("yc"), "major", F.col("v").alias("b"), F.col("label").alias("lb"),
+                    F.struct("n", "cls", "sk", "bands").alias("y"))
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("band") + 1
+    rest = x.join(y, (x["k"] == y["k"]) & (F.col("xc") == F.col("yc")) & (F.col("la") != F.col("lb"))
+                  & ((F.col("lb") == F.col("major")) | (F.col("la") < F.col("lb"))) & screened("x", "y", percent)
+                  & first).select("a", "b")
+    more = confirmed(rest)
+    if not more.isEmpty():
+        label = components(links.union(more))
     of_node = nodes.select("v", "digest", "key").join(label, "v", "left") \
         .select("digest", "key", F.coalesce("label", "v").alias("label"))
     smallest = of_node.groupBy("label").agg(F.min("key").alias("component_id"))

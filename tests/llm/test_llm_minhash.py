@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from balsam.llm import minhash_odd as M
 
@@ -83,15 +84,24 @@ def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_odd_sketch_estimates_similarity(spark):
-    rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
-    text = lambda x: " ".join(map(str, x))
-    rows = [(1, text(a)), (2, text(np.append(a[:900], rng.integers(0, 2**63, 100, dtype=np.uint64))))]
-    d = spark.createDataFrame(rows, "k long, t string")
-    s = {r["key"]: r["sketch"] for r in d.mapInArrow(
-        M._sketcher(1, 48, 6, 3), "key long, n long, digest binary, bands array<long>, sketch array<long>").collect()}
-    z = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(s[1], s[2]))
-    differ = -M.BITS / 2 * np.log(1 - 2 * z / M.BITS) / 2
-    assert abs((1 - differ / 288) - 900 / 1100) < 0.08
-    assert z <= M.most_apart(288, 80)
+@pytest.mark.parametrize("size", [12, 150, 900, 1100, 6000])
+def test_screen_keeps_pairs_at_the_threshold_and_drops_far_ones(spark, size):
+    rng = np.random.default_rng(size)
+    rows, want = [], {}
+    for i in range(300):
+        share = [0.8, 0.85, 0.5][i % 3]
+        u = rng.integers(0, 2**63, size, dtype=np.uint64)
+        c, d = int(np.ceil(share * size)), size - int(np.ceil(share * size))
+        cut = c + (d // 2 if i % 2 else 0)
+        a, b = np.sort(u[:cut]), np.sort(np.concatenate([u[:c], u[cut:]]))
+        full = [len(a), len(b)]
+        for side, x in zip("xy", (a, b)):
+            cls = 0 if max(full) <= M.SMALL else 1
+            bits = np.bincount(M._sketch(np.sort(x << np.uint64(1)), [M.FINE, M.COARSE][cls]), minlength=M.BITS) & 1
+            rows.append((i, side, len(x), cls, np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()))
+        want[i] = share >= 0.8
+    d = spark.createDataFrame(rows, "i long, side string, n long, cls int, sk array<long>")
+    s = F.struct("n", "cls", "sk")
+    got = d.filter("side = 'x'").select("i", s.alias("x")).join(d.filter("side = 'y'").select("i", s.alias("y")), "i") \
+        .select("i", M.screened("x", "y", 80).alias("ok")).collect()
+    assert {r["i"]: r["ok"] for r in got} == want
