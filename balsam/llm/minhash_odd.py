@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from balsam.llm.components import components
 from balsam.session import scratch_path
 
-BITS = 2048
+BITS = 4096
 #: Bins of the permutation for sets of at most ``SMALL`` shingles, and for larger ones.
-SMALL, FINE, COARSE = 1_000, 16_384, 1_024
+SMALL, FINE, COARSE = 1_000, 65_536, 2_048
 #: Standard deviations by which a screened pair may exceed the threshold's expectation.
 MARGIN = 5.0
 #: Words remembered by a task; the memory bound of the cache, without effect on results.
@@ -91,7 +91,7 @@ def _sketch(u: np.ndarray, bins: int) -> np.ndarray:
     """Bit places of the samples of a sorted set: the smallest hash of each bin."""
     b = u >> np.uint64(64 - bins.bit_length() + 1)
     first = u[np.append(True, b[1:] != b[:-1])]
-    return ((first * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)
+    return ((first * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
 
 
 def _bitmaps(sets: list[np.ndarray], bins: int, wanted: list[bool]) -> pa.Array:
