@@ -27,8 +27,8 @@ def normalised_text(c: Column) -> Column:
 
 
 def dedupe_exact(df: DataFrame, text_col: str, key: str) -> DataFrame:
-    """Keep the smallest key per normalised text (aggregation, no window)."""
-    keep = df.groupBy(normalised_text(F.col(text_col)).alias("__t")).agg(F.min(key).alias(key))
+    """Keep the smallest key per normalised text; the shuffle carries a 256-bit digest of it."""
+    keep = df.groupBy(F.sha2(normalised_text(F.col(text_col)), 256).alias("__t")).agg(F.min(key).alias(key))
     return df.join(keep.select(key), key, "left_semi")
 
 
@@ -50,9 +50,9 @@ def dedupe_near(df: DataFrame, text_col: str, key: str, threshold: float = 0.7,
                 num_hashes: int = 16, band_rows: int = 2, shingle: int = 3) -> DataFrame:
     """Near-copy removal with MinHash bands, no pair enumeration.
 
-    Rows sharing a band value form a candidate group; each row is compared only
-    with its group's smallest key (one pair per row, verified by exact Jaccard
-    of shingle sets) and dropped when similar enough. Exact copies go first.
+    Rows sharing a band value form a candidate group; each row is compared with the smallest key
+    of every group it is in (at most one pair per band, verified by exact Jaccard of shingle
+    sets) and dropped when any of them is similar enough. Exact copies go first.
     """
     base = dedupe_exact(df, text_col, key)
     # materialised once (reliable checkpoint): it feeds three branches of the plan
@@ -62,13 +62,12 @@ def dedupe_near(df: DataFrame, text_col: str, key: str, threshold: float = 0.7,
                       for b in range(num_hashes // band_rows)])
     bk = sig.select(key, F.explode(bands).alias("bb")).select(key, "bb.b", "bb.h")
     reps = bk.groupBy("b", "h").agg(F.min(key).alias("__rep"))
-    cand = (bk.join(reps, ["b", "h"]).groupBy(key).agg(F.min("__rep").alias("__rep"))
-            .where(F.col("__rep") != F.col(key)))
+    cand = bk.join(reps, ["b", "h"]).where(F.col("__rep") != F.col(key)).select(key, "__rep").distinct()
     s = sig.select(key, "shingles")
     r = sig.select(F.col(key).alias("__rep"), F.col("shingles").alias("__rs"))
     pairs = cand.join(s, key).join(r, "__rep")
     jac = F.size(F.array_intersect("shingles", "__rs")) / F.size(F.array_union("shingles", "__rs"))
-    dup = pairs.where(jac >= threshold).select(key)
+    dup = pairs.where(jac >= threshold).select(key).distinct()
     return base.join(dup, key, "left_anti")
 
 
@@ -103,11 +102,13 @@ def tfidf(df: DataFrame, text_col: str, key: str, ngrams: tuple[int, ...] = (1,
     toks = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
     grams = [ngrams_of(F.col("__toks"), n) for n in ngrams]
     all_terms = F.flatten(F.array(*grams)) if len(grams) > 1 else grams[0]
-    tf = (toks.select(key, F.explode(all_terms).alias("term"))
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # counted once and written: both sides of the join read it, and as both are plain shuffles
+    # then, adaptive execution can split the partitions of frequent terms
+    tf = cut_lineage(toks.select(key, F.explode(all_terms).alias("term"))
+                     .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.agg(F.count(F.lit(1)).alias("__N"))
-    idf = attach(dfreq, n_docs).select("term", F.log((F.col("__N") + 1) / (F.col("df") + 1)).alias("idf"))
+    idf = cut_lineage(attach(dfreq, n_docs).select("term", F.log((F.col("__N") + 1) / (F.col("df") + 1)).alias("idf")))
     return tf.join(idf, "term").select(key, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
@@ -152,19 +153,24 @@ def value_buckets(df: DataFrame, col: str, splits: list[float], out: str = "buck
 
 # ------------------------------------------------------------------ J5 period join
 
-def period_join(df: DataFrame, ts_col: str, periods: DataFrame, max_days: int = 100_000) -> DataFrame:
+def period_join(df: DataFrame, ts_col: str, periods: DataFrame) -> DataFrame:
     """Attach the periods (name, start, end) whose [start, end) holds ``ts_col``.
 
-    Range join made an equi-join: each period is expanded to its days (bounded by
-    ``max_days`` in total, checked), broadcast, joined on the day, then the exact
-    bounds are applied."""
-    days = periods.select("*", F.explode(F.sequence(F.to_date("start"), F.date_sub(F.to_date("end"), 0)))
-                          .alias("__day"))
-    n = days.count()
-    if n > max_days:
-        raise ValueError(f"period table expands to {n} days (> {max_days})")
-    j = df.withColumn("__day", F.to_date(ts_col)).join(F.broadcast(days), "__day")
-    return j.where((F.col(ts_col) >= F.col("start")) & (F.col(ts_col) < F.col("end"))).drop("__day")
+    Range join made an equi-join: a period belongs to the level whose bins (2^level days) are the
+    smallest that are not shorter than it, and lies in one or two bins of that level, whatever
+    its length. A row looks into its one bin of each level that occurs (a few dozen at most), and
+    the exact bounds are applied to what it finds."""
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    bin_of = lambda d, level: F.floor(d / F.pow(F.lit(2.0), level)).cast("long")
+    p = periods.withColumn("__level", F.ceil(F.log2(F.greatest(day("end") - day("start") + 1, F.lit(1)))).cast("int"))
+    levels = sorted(r[0] for r in p.select("__level").distinct().collect() if r[0] is not None)
+    if not levels:
+        return df.join(p.drop("__level").limit(0), F.lit(True))
+    p = p.select("*", F.explode(F.array_distinct(F.array(bin_of(day("start"), F.col("__level")),
+                                                         bin_of(day("end"), F.col("__level"))))).alias("__bin"))
+    rows = df.select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("__level"))
+    j = rows.withColumn("__bin", bin_of(day(ts_col), F.col("__level"))).join(p, ["__level", "__bin"])
+    return j.where((F.col(ts_col) >= F.col("start")) & (F.col(ts_col) < F.col("end"))).drop("__level", "__bin")
 
 
 # ------------------------------------------------------------------ J7 prior centroid
@@ -181,25 +187,16 @@ def prior_centroid_distance(df: DataFrame, class_col: str, order_cols: list, key
                             out: str = "dist_prior_centroid") -> DataFrame:
     """Distance from each row to the mean point of the earlier rows of its class.
 
-    Prefix sums in the total order (class, order..., key) are range-partitioned,
-    so a dominant class still spreads over all tasks; the per-class start offsets
-    come from the (tiny) class-total table."""
+    Prefix sums in the total order (class, order..., key) are range-partitioned, so a dominant
+    class still spreads over all tasks, and begin anew at each class."""
     base = df.withColumn("__one", F.lit(1).cast("long"))
     cum = running_totals(base, [F.col(class_col), *order_cols, F.col(key)], [y_col, x_col, "__one"],
-                         ["__cy", "__cx", "__cn"], inclusive=False)
-    tot = base.groupBy(class_col).agg(F.sum(y_col).alias("__ty"), F.sum(x_col).alias("__tx"),
-                                      F.sum("__one").alias("__tn"))
-    w = Window.orderBy(class_col).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(class_col, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c + "o")
-                                  for c in ("__ty", "__tx", "__tn")])
-    j = cum.join(F.broadcast(off), class_col)
-    n = F.col("__cn") - F.col("__tno")
-    my = (F.col("__cy") - F.col("__tyo")) / n
-    mx = (F.col("__cx") - F.col("__txo")) / n
+                         ["__cy", "__cx", "__cn"], inclusive=False, group_col=class_col)
+    n = F.col("__cn")
+    my, mx = F.try_divide("__cy", n), F.try_divide("__cx", n)
     d = (haversine_km(F.col(y_col), F.col(x_col), my, mx) if metric == "haversine"
          else F.sqrt((F.col(y_col) - my) ** 2 + (F.col(x_col) - mx) ** 2))
-    return j.withColumn(out, F.when(n > 0, d)).withColumn("n_prior", n).drop(
-        "__one", "__cy", "__cx", "__cn", "__tyo", "__txo", "__tno")
+    return cum.withColumn(out, F.when(n > 0, d)).withColumn("n_prior", n).drop("__one", "__cy", "__cx", "__cn")
 
 
 # ------------------------------------------------------------------ J9 repeat rate
@@ -208,20 +205,23 @@ def repeat_count(df: DataFrame, group_col: str, ts_col: str, key: str, seconds:
                  out: str = "n_prior") -> DataFrame:
     """Number of earlier rows of the same group with ts - seconds <= t < ts.
 
-    Each row adds a probe at ts - seconds; one prefix count over the total order
-    (group, time, probe first, key) gives, for row and probe, the rows before them;
-    the difference is the window count. No per-group window, no pairs."""
+    Each row adds two probes, at ts and at ts - seconds, which come before the rows of their
+    time; one prefix count over the total order (group, time, probe first, key) gives the rows
+    before each, and their difference is the window's count. Rows of one time do not count for
+    each other. No per-group window, no pairs."""
     t = F.col(ts_col)
-    real = df.select(F.col(key).alias("__k"), F.col(group_col).alias("__g"), t.alias("__t"),
-                     F.lit(1).alias("__kind"), F.lit(1).cast("long").alias("__one"))
-    probe = df.select(F.col(key).alias("__k"), F.col(group_col).alias("__g"),
-                      (t - F.expr(f"INTERVAL {int(seconds)} SECONDS")).alias("__t"),
-                      F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__one"))
-    cum = running_totals(real.unionByName(probe), [F.col("__g"), F.col("__t"), F.col("__kind"), F.col("__k")],
+    common = [F.col(key).alias("__k"), F.col(group_col).alias("__g")]
+    one = lambda n: F.lit(n).cast("long").alias("__one")
+    real = df.select(*common, t.alias("__t"), F.lit(2).alias("__kind"), one(1))
+    at = df.select(*common, t.alias("__t"), F.lit(1).alias("__kind"), one(0))
+    before = df.select(*common, (t - F.expr(f"INTERVAL {int(seconds)} SECONDS")).alias("__t"),
+                       F.lit(0).alias("__kind"), one(0))
+    cum = running_totals(real.unionByName(at).unionByName(before),
+                         [F.col("__g"), F.col("__t"), F.col("__kind"), F.col("__k")],
                          ["__one"], ["__c"], inclusive=False)
-    r = cum.where(F.col("__kind") == 1).select("__k", F.col("__c").alias("__cr"))
-    p = cum.where(F.col("__kind") == 0).select("__k", F.col("__c").alias("__cp"))
-    cnt = r.join(p, "__k").select(F.col("__k").alias(key), (F.col("__cr") - F.col("__cp")).alias(out))
+    sign = F.when(F.col("__kind") == 1, F.col("__c")).otherwise(-F.col("__c"))
+    cnt = cum.where(F.col("__kind") < 2).groupBy("__k").agg(F.sum(sign).alias(out)) \
+        .withColumnRenamed("__k", key)
     return df.join(cnt, key)
 
 
@@ -250,22 +250,23 @@ POISSON1_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for
 
 
 def poisson1(u: Column) -> Column:
-    """Inverse-CDF draw of Poisson(1) from a uniform."""
-    e = F.lit(len(POISSON1_CDF))
-    for i in reversed(range(len(POISSON1_CDF))):
-        e = F.when(u < F.lit(POISSON1_CDF[i]), F.lit(i)).otherwise(e)
-    return e
+    """Inverse-CDF draw of Poisson(1) from a uniform: the number of cumulative probabilities that
+    ``u`` has passed."""
+    return F.size(F.filter(F.array(*[F.lit(p) for p in POISSON1_CDF]), lambda p: p <= u))
 
 
 def bootstrap_ci(df: DataFrame, key: str, value: str, replicates: int = 50, seed: str = "42",
                  alpha: float = 0.05) -> DataFrame:
     """Poisson-bootstrap of a weighted mean: per replicate r, weight u(seed, key:r) ->
     Poisson(1); mean over replicates and the (alpha/2, 1-alpha/2) percentiles."""
-    rep = df.select(F.col(key), F.col(value).cast("double").alias("__v"),
-                    F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    w = poisson1(uniform(seed, F.concat_ws(":", F.col(key).cast("string"), F.col("replicate").cast("string"))))
-    per = (rep.withColumn("__w", w).groupBy("replicate")
-           .agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("stat")))
+    rows = df.select(F.col(key).cast("string").alias("__k"), F.col(value).cast("double").alias("__v"))
+    # all replicates in one pass: rows are aggregated as they are, not repeated
+    draw = lambda r: poisson1(uniform(seed, F.concat(F.col("__k"), F.lit(":"), r.cast("string"))))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), draw)
+    ws = rows.select("__v", F.explode(F.array(weights)).alias("w"))  # a generated column is evaluated once
+    w = lambda r: F.get("w", F.lit(r))
+    sums = ws.agg(*[(F.sum(w(r) * F.col("__v")) / F.sum(w(r))).alias(f"s{r}") for r in range(replicates)])
+    per = sums.select(F.explode(F.array(*[F.col(f"s{r}") for r in range(replicates)])).alias("stat"))
     return per.agg(F.avg("stat").alias("mean"), F.percentile("stat", alpha / 2).alias("lo"),
                    F.percentile("stat", 1 - alpha / 2).alias("hi"), F.count(F.lit(1)).alias("replicates"))
 
@@ -273,22 +274,32 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, replicates: int = 50, seed
 # ------------------------------------------------------------------ J20
 
 def schema_audit(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Per column: type, null count, distinct count, min and max as text; one pass.
-    ``approx`` uses HyperLogLog++ distinct counts (no per-column distinct shuffle),
-    the sensible choice on very large tables."""
+    """Per column: type, null count, distinct count, min and max as text. Nulls, bounds and, with
+    ``approx``, HyperLogLog++ distinct counts take one pass; exact distinct counts come from one
+    aggregation of (column, value)."""
+    fields = df.schema.fields
     aggs = []
-    for f in df.schema.fields:
+    for f in fields:
         c = F.col(f.name)
         aggs += [F.sum(c.isNull().cast("long")).alias(f"{f.name}__nulls"),
-                 (F.approx_count_distinct(c) if approx else F.countDistinct(c)).alias(f"{f.name}__distinct"),
                  F.min(c).cast("string").alias(f"{f.name}__min"), F.max(c).cast("string").alias(f"{f.name}__max")]
-    one = df.agg(*aggs)
+        if approx:
+            aggs.append(F.approx_count_distinct(c).alias(f"{f.name}__distinct"))
     rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
                      F.col(f"{f.name}__nulls").cast("long").alias("nulls"),
-                     F.col(f"{f.name}__distinct").cast("long").alias("distinct"),
+                     *([F.col(f"{f.name}__distinct").cast("long").alias("distinct")] if approx else []),
                      F.col(f"{f.name}__min").alias("min"), F.col(f"{f.name}__max").alias("max"))
-            for f in df.schema.fields]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+            for f in fields]
+    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    if approx:
+        return out
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value")) for f in fields])).alias("s"))
+    distinct = cells.select("s.*").where("value is not null").groupBy("column", F.xxhash64("value").alias("h"),
+                                                                      F.md5("value").alias("m")).count() \
+        .groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    return out.join(distinct, "column", "left").select(
+        "column", "type", "nulls", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"), "min", "max")
 
 
 # ------------------------------------------------------------------ J18 permutation importance

@@ -1,41 +1,46 @@
-"""Exact k-nearest neighbours on Spark (F0) and an approximate variant (F0b).
+"""k-nearest neighbours on Spark: exact (F0) and approximate (F0b).
 
-Output: (q_id, rank, nn_id, d2) with rank 1..k, ordered by (squared distance,
-neighbour id); a query's own id is excluded when ``exclude_self``.
+Output: (q_id, rank, nn_id, d2) with rank 1..k, ordered by (squared distance, neighbour id); a
+query's own id is excluded when ``exclude_self``. Ids keep their type; any type that orders will do.
 
-Exact search is O(|Q|·|R|·d) by definition; the plan bounds memory and output:
+The reference rows are put into cells around pivots (``cells`` reference rows, about the square
+root of their number, at most 1,024; they go to the tasks, the rows never do). A cell knows the
+smallest and the largest distance to its pivot.
 
-* reference side under ``broadcast_cap_bytes`` (checked from its row count and
-  width, e.g. the minority class or an undersampled set): it is shipped once to
-  every executor and the queries stay where they are (``mapInPandas``);
-* otherwise rows are hashed into query blocks and reference blocks, each
-  (query block, reference block) pair is one bounded group of an
-  ``applyInPandas``; each query row travels once per reference block and each
-  reference row once per query block; per pair only the top k per query leaves
-  the task, and a second, bounded group-by per query merges the candidates.
+* Exact search first looks into the query's nearest cells until they hold more than k rows. The
+  k-th distance found bounds the rest: by the triangle inequality a cell whose ring around its
+  pivot is farther than that cannot hold a neighbour and is not visited. On data with clusters
+  that leaves a small part of all pairs; on data without any, all of them.
+* Approximate search visits the nearest cells only. How many is measured on a fixed number of
+  queries against the exact search, so that their recall reaches ``recall``.
 
-Distances are recomputed from differences (never ||a||²+||b||²-2ab) so ties and
-near-ties rank the same as a direct evaluation.
+A visit joins a query with a cell. Cells of more than ``block_rows`` rows, and visits of more than
+that to one cell, are split by a hash of the id, so each task sees two bounded blocks however
+popular a cell is. Only the k best of a block leave a task.
+
+``strategy="broadcast"`` of :func:`knn` is for a caller who knows that the reference side is
+small: it goes whole to every task and the queries stay where they are.
+
+Distances are recomputed from differences (never ||a||^2 + ||b||^2 - 2ab), so ties and near ties
+rank the same as a direct evaluation.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-OUT_SCHEMA = StructType([
-    StructField("q_id", LongType(), False),
-    StructField("rank", IntegerType(), False),
-    StructField("nn_id", LongType(), False),
-    StructField("d2", DoubleType(), False),
-])
+from balsam.session import cut_lineage
 
-_TENSOR_BUDGET = 1 << 24  # doubles per difference tensor (~128 MB)
+_TENSOR_BUDGET = 1 << 23  # doubles of a difference tensor (64 MB)
+MAX_CELLS = 1_024
+#: Queries on which the approximate search measures its recall.
+SAMPLE_QUERIES = 200
 
 
 def _stack(col) -> np.ndarray:
@@ -44,119 +49,224 @@ def _stack(col) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col])
 
 
+def _distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
+    """Squared distances, from differences, in pieces of bounded size."""
+    out = np.empty((len(Q), len(R)))
+    step = max(1, _TENSOR_BUDGET // max(1, R.size))
+    for s in range(0, len(Q), step):
+        diff = Q[s:s + step, None, :] - R[None, :, :]
+        out[s:s + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    return out
+
+
 def topk_block(qid: np.ndarray, Q: np.ndarray, rid: np.ndarray, R: np.ndarray,
                k: int, exclude_self: bool) -> pd.DataFrame:
-    """Exact top-k of each query row against one reference block."""
-    m, n = len(qid), len(rid)
-    if m == 0 or n == 0:
-        return pd.DataFrame({c: [] for c in OUT_SCHEMA.names})
-    d = Q.shape[1]
-    step = max(1, _TENSOR_BUDGET // max(1, n * d))
-    out_q, out_r, out_n, out_d = [], [], [], []
-    for s in range(0, m, step):
-        e = min(m, s + step)
-        diff = Q[s:e, None, :] - R[None, :, :]
-        d2 = np.einsum("ijk,ijk->ij", diff, diff)
+    """Exact top k of each query row against one block of reference rows."""
+    names = ["q_id", "rank", "nn_id", "d2"]
+    if len(qid) == 0 or len(rid) == 0:
+        return pd.DataFrame({c: [] for c in names})
+    order = np.argsort(rid, kind="stable")  # then the place of a column orders like its id
+    rid, R = rid[order], R[order]
+    parts = []
+    step = max(1, _TENSOR_BUDGET // max(1, len(rid)))
+    for s in range(0, len(qid), step):
+        d2 = _distances(Q[s:s + step], R)
         if exclude_self:
-            d2[qid[s:e, None] == rid[None, :]] = np.inf
-        kk = min(k, n)
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        for i in range(e - s):
-            cand = np.nonzero(d2[i] <= kth[i])[0]
-            cand = cand[np.isfinite(d2[i, cand])]
-            order = cand[np.lexsort((rid[cand], d2[i, cand]))][:kk]
-            out_q.append(np.full(len(order), qid[s + i], dtype=np.int64))
-            out_r.append(np.arange(1, len(order) + 1, dtype=np.int32))
-            out_n.append(rid[order].astype(np.int64))
-            out_d.append(d2[i, order])
-    if not out_q:
-        return pd.DataFrame({c: [] for c in OUT_SCHEMA.names})
-    return pd.DataFrame({"q_id": np.concatenate(out_q), "rank": np.concatenate(out_r),
-                         "nn_id": np.concatenate(out_n), "d2": np.concatenate(out_d)})
-
-
-def _prep(df: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias(f"{prefix}_id"),
-                     F.col(vec_col).cast("array<double>").alias(f"{prefix}_x"))
+            d2[qid[s:s + step, None] == rid[None, :]] = np.inf
+        kk = min(k, len(rid))
+        at = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+        d = np.take_along_axis(d2, at, axis=1)
+        kth = d.max(axis=1)
+        for i in np.flatnonzero((d2 <= kth[:, None]).sum(axis=1) > kk):  # ties at the edge
+            at[i] = np.flatnonzero(d2[i] <= kth[i])[np.argsort(d2[i][d2[i] <= kth[i]], kind="stable")[:kk]]
+            d[i] = d2[i][at[i]]
+        by = np.lexsort((at, d), axis=1)
+        at, d = np.take_along_axis(at, by, axis=1), np.take_along_axis(d, by, axis=1)
+        ok = np.isfinite(d)
+        rank = np.broadcast_to(np.arange(1, kk + 1, dtype=np.int32), d.shape)
+        parts.append(pd.DataFrame({"q_id": np.repeat(qid[s:s + step], kk)[ok.ravel()], "rank": rank[ok],
+                                   "nn_id": rid[at[ok]], "d2": d[ok]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _prep(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q_id").orderBy("d2", "nn_id")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select("q_id", F.col("rank").cast("int").alias("rank"), "nn_id", "d2")
+
+
+class CellIndex:
+    """Reference rows in cells around pivots."""
+
+    def __init__(self, refs: DataFrame, cells: int | None = None, block_rows: int = 2048):
+        self.block_rows = block_rows
+        self.n = refs.count()
+        self.kind = refs.schema["id"].dataType.simpleString()
+        m = max(1, min(cells or math.isqrt(self.n), MAX_CELLS))
+        rows = refs.orderBy(F.xxhash64("id"), "id").limit(m).select("x").collect()  # m rows
+        self.pivots = np.unique(_stack([r[0] for r in rows]), axis=0) if rows else np.zeros((0, 0))
+        self.refs = cut_lineage(self._near(refs))
+        got = self.refs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dp").alias("lo"),
+                                            F.max("dp").alias("hi")).collect()  # a row per cell
+        self.size, self.lo, self.hi = (np.zeros(len(self.pivots)) for _ in range(3))
+        for r in got:
+            self.size[r["cell"]], self.lo[r["cell"]], self.hi[r["cell"]] = r["n"], r["lo"], r["hi"]
+
+    def _near(self, df: DataFrame) -> DataFrame:
+        pivots = self.pivots
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                d = np.sqrt(_distances(_stack(b["x"]), pivots)) if len(b) else np.zeros((0, 1))
+                cell = d.argmin(axis=1).astype(np.int32)
+                yield pd.DataFrame({"id": b["id"], "x": b["x"], "cell": cell, "dp": d[np.arange(len(b)), cell]})
+
+        return df.mapInPandas(run, f"id {self.kind}, x array<double>, cell int, dp double")
+
+    def _visits(self, queries: DataFrame, choose, extra: str = "") -> DataFrame:
+        """(id, x, cell): the cells that ``choose`` names for each row of a batch, given the
+        distances to the pivots."""
+        pivots = self.pivots
+        kind = queries.schema["id"].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    row, cell = np.nonzero(choose(np.sqrt(_distances(_stack(b["x"]), pivots)), b))
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[row], "x": b["x"].to_numpy()[row],
+                                        "cell": cell.astype(np.int32)})
+
+        return queries.mapInPandas(run, f"id {kind}, x array<double>, cell int")
+
+    def search(self, visits: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """The k best of each visited block: (q_id, rank, nn_id, d2)."""
+        spark = visits.sparkSession
+        visits = cut_lineage(visits)
+        popular = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # a row per cell
+        plan = spark.createDataFrame(
+            [(c, max(1, math.ceil(self.size[c] / self.block_rows)), math.ceil(v / self.block_rows))
+             for c, v in sorted(popular.items())], "cell int, blocks int, chunks int")
+        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        kind = visits.schema["id"].dataType.simpleString()
+        q = visits.join(F.broadcast(plan), "cell").select("cell", part("chunks").alias("chunk"), each("blocks").alias("block"),
+                                                          F.col("id").alias("q_id"), F.lit(None).cast(self.kind).alias("r_id"), "x")
+        r = self.refs.join(F.broadcast(plan), "cell").select("cell", part("blocks").alias("block"), each("chunks").alias("chunk"),
+                                                             F.lit(None).cast(kind).alias("q_id"), F.col("id").alias("r_id"), "x")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            is_ref = pdf["r_id"].notna().to_numpy()
+            qs, rs = pdf[~is_ref], pdf[is_ref]
+            ids = lambda s, t: s.to_numpy(np.int64) if t in ("bigint", "int") else s.to_numpy(object)
+            return topk_block(ids(qs["q_id"], kind), _stack(qs["x"]), ids(rs["r_id"], self_kind), _stack(rs["x"]), k, exclude_self)
+
+        self_kind = self.kind
+        return q.unionByName(r).groupBy("cell", "block", "chunk").applyInPandas(
+            run, f"q_id {kind}, rank int, nn_id {self.kind}, d2 double")
+
+    def first_visits(self, queries: DataFrame, k: int) -> DataFrame:
+        size = self.size
+
+        def choose(d, _):
+            order = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            out = np.zeros(d.shape, bool)
+            np.put_along_axis(out, order, before <= k, axis=1)
+            return out & (size > 0)
+
+        return self._visits(queries, choose)
+
+    def other_visits(self, queries: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+        """Cells beyond the first ones that can hold a row within each query's bound."""
+        size, lo, hi = self.size, self.lo, self.hi
+        rows = queries.join(bounds, queries["id"] == bounds["q_id"], "left").select("id", "x", "bound")
+
+        def choose(d, b):
+            order = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            first = np.zeros(d.shape, bool)
+            np.put_along_axis(first, order, before <= k, axis=1)
+            bound = b["bound"].fillna(np.inf).to_numpy()[:, None]
+            least = np.maximum(np.maximum(d - hi, lo - d), 0)
+            return ~first & (size > 0) & (least <= bound * (1 + 1e-9) + 1e-9)
+
+        return self._visits(rows, choose)
+
+    def nearest_visits(self, queries: DataFrame, probes: int) -> DataFrame:
+        size = self.size
+
+        def choose(d, _):
+            order = np.argsort(np.where(size > 0, d, np.inf), axis=1, kind="stable")[:, :probes]
+            out = np.zeros(d.shape, bool)
+            np.put_along_axis(out, order, True, axis=1)
+            return out & (size > 0)
+
+        return self._visits(queries, choose)
+
+    def exact(self, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        near = cut_lineage(_best(self.search(self.first_visits(queries, k), k, exclude_self), k))
+        bounds = near.where(F.col("rank") == k).select("q_id", F.sqrt("d2").alias("bound"))
+        more = self.search(self.other_visits(queries, bounds, k), k, exclude_self)
+        return _best(near.unionByName(more), k)
+
+    def pairs(self, visits: DataFrame) -> int:
+        """Distances that ``visits`` ask for."""
+        return int(sum(self.size[r["cell"]] * r["count"] for r in visits.groupBy("cell").count().collect()))
+
+
+def _empty(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    q, r = queries.schema["id"].dataType.simpleString(), refs.schema["id"].dataType.simpleString()
+    return queries.sparkSession.createDataFrame([], f"q_id {q}, rank int, nn_id {r}, d2 double")
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "x",
-        exclude_self: bool = True, broadcast_cap_bytes: int = 64 << 20,
+        exclude_self: bool = True, strategy: str = "cells", cells: int | None = None,
         block_rows: int = 2048) -> DataFrame:
     """Exact kNN of every query row among ``refs``."""
-    spark = queries.sparkSession
-    q = _prep(queries, id_col, vec_col, "q")
-    r = _prep(refs, id_col, vec_col, "r")
-    stats = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("r_x")).alias("d")).first()
-    n_r, dim = int(stats["n"]), int(stats["d"] or 0)
-    if n_r == 0:
-        return spark.createDataFrame([], OUT_SCHEMA)
-    if n_r * max(dim, 1) * 8 <= broadcast_cap_bytes:
+    q, r = _prep(queries, id_col, vec_col), _prep(refs, id_col, vec_col)
+    if strategy == "broadcast":
         return _knn_broadcast(q, r, k, exclude_self)
-    return _knn_blocked(q, r, k, exclude_self, n_r, block_rows)
+    if strategy != "cells":
+        raise ValueError(f"strategy is 'cells' or 'broadcast', not {strategy!r}")
+    index = CellIndex(r, cells, block_rows)
+    return index.exact(q, k, exclude_self) if index.n else _empty(q, r)
 
 
 def _knn_broadcast(q: DataFrame, r: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     spark = q.sparkSession
-    pdf = r.toPandas()  # bounded by the size check in knn()
-    rid = pdf["r_id"].to_numpy(np.int64)
-    R = _stack(pdf["r_x"])
-    bc = spark.sparkContext.broadcast((rid, R))
+    pdf = r.toPandas()  # small by the caller's word
+    if not len(pdf):
+        return _empty(q, r)
+    bc = spark.sparkContext.broadcast((pdf["id"].to_numpy(), _stack(pdf["x"])))
 
-    def fn(batches):
-        rid_b, R_b = bc.value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield topk_block(b["q_id"].to_numpy(np.int64), _stack(b["q_x"]), rid_b, R_b, k, exclude_self)
-
-    return q.mapInPandas(fn, OUT_SCHEMA)
-
-
-def _knn_blocked(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, n_r: int,
-                 block_rows: int) -> DataFrame:
-    n_q = q.count()
-    bq = max(1, math.ceil(n_q / block_rows))
-    br = max(1, math.ceil(n_r / block_rows))
-    qb = q.select("*", F.pmod(F.xxhash64("q_id"), F.lit(bq)).alias("qb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("rb"))
-    rb = r.select("*", F.pmod(F.xxhash64("r_id"), F.lit(br)).alias("rb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    both = (qb.select("qb", "rb", F.col("q_id").alias("id"), F.col("q_x").alias("x"), F.lit(0).alias("side"))
-            .unionByName(rb.select("qb", "rb", F.col("r_id").alias("id"), F.col("r_x").alias("x"),
-                                   F.lit(1).alias("side"))))
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, rs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        return topk_block(qs["id"].to_numpy(np.int64), _stack(qs["x"]),
-                          rs["id"].to_numpy(np.int64), _stack(rs["x"]), k, exclude_self)
-
-    cand = both.groupBy("qb", "rb").applyInPandas(fn, OUT_SCHEMA)
-    if br == 1:
-        return cand
-    w = Window.partitionBy("q_id").orderBy("d2", "nn_id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("q_id", F.col("rank").cast("int"), "nn_id", "d2"))
+                yield topk_block(b["id"].to_numpy(), _stack(b["x"]), *bc.value, k, exclude_self)
+
+    return q.mapInPandas(run, _empty(q, r).schema)
 
 
 def knn_approx(queries: DataFrame, refs: DataFrame, k: int = 5, id_col: str = "id",
-               vec_col: str = "x", exclude_self: bool = True, bucket_length: float = 2.0,
-               num_tables: int = 3, threshold: float = 1e9, seed: int = 42) -> DataFrame:
-    """Approximate kNN with random-projection LSH (``approxSimilarityJoin``).
-
-    Candidates come from shared hash buckets only, so work grows with bucket
-    occupancy rather than |Q|·|R|; recall is measured against :func:`knn`.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(id_col).cast("long").alias("id"), array_to_vector(vec_col).alias("v"))
-    rv = refs.select(F.col(id_col).cast("long").alias("id"), array_to_vector(vec_col).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(rv)
-    pairs = lsh.approxSimilarityJoin(qv, rv, threshold, distCol="dist").select(
-        F.col("datasetA.id").alias("q_id"), F.col("datasetB.id").alias("nn_id"), (F.col("dist") ** 2).alias("d2"))
-    if exclude_self:
-        pairs = pairs.where(F.col("q_id") != F.col("nn_id"))
-    w = Window.partitionBy("q_id").orderBy("d2", "nn_id")
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("q_id", F.col("rank").cast("int"), "nn_id", "d2"))
+               vec_col: str = "x", exclude_self: bool = True, recall: float = 0.95,
+               cells: int | None = None, block_rows: int = 2048) -> DataFrame:
+    """Approximate kNN: each query visits its nearest cells only. Their number is the smallest
+    power of two that reaches ``recall`` on ``SAMPLE_QUERIES`` queries. A query that sees fewer
+    than k rows in its cells has fewer neighbours."""
+    q, r = _prep(queries, id_col, vec_col), _prep(refs, id_col, vec_col)
+    index = CellIndex(r, cells, block_rows)
+    if not index.n:
+        return _empty(q, r)
+    sample = cut_lineage(q.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE_QUERIES))
+    truth = cut_lineage(index.exact(sample, k, exclude_self)).select("q_id", "nn_id")
+    total, probes = truth.count(), 1
+    while probes < len(index.pivots):
+        found = _best(index.search(index.nearest_visits(sample, probes), k, exclude_self), k)
+        if found.join(truth, ["q_id", "nn_id"], "left_semi").count() >= recall * total:
+            break
+        probes *= 2
+    return _best(index.search(index.nearest_visits(q, probes), k, exclude_self), k)

@@ -95,24 +95,31 @@ def presence_flag(c: Column) -> Column:
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str] | None = None,
-            max_categories: int = 1000, drop_source: bool = True) -> DataFrame:
+            drop_source: bool = True) -> DataFrame:
     """``get_dummies``: one int column ``{column}_{value}`` per sorted category.
 
-    Categories are discovered with one aggregation (bounded: raises above
-    ``max_categories``) unless given. A null row is all zeros.
+    Categories are discovered with one aggregation unless given; there is a column for each, so
+    their number is that of the result's columns. For a column with very many values use
+    :func:`one_hot_vector`. A null row is all zeros.
     """
     if categories is None:
-        vals = (df.where(F.col(column).isNotNull()).select(column).distinct()
-                .limit(max_categories + 1).collect())
-        if len(vals) > max_categories:
-            raise ValueError(f"more than {max_categories} categories in {column}")
-        categories = sorted(r[0] for r in vals)
+        categories = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
     cols = [F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}")
             for v in categories]
     out = df.select("*", *cols)
     return out.drop(column) if drop_source else out
 
 
+def one_hot_vector(df: DataFrame, column: str, out: str = "one_hot") -> DataFrame:
+    """The same encoding as one sparse vector (place in order of value), for any number of values;
+    a null row is all zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    index = StringIndexer(inputCol=column, outputCol="__index", handleInvalid="keep", stringOrderType="alphabetAsc")
+    encode = OneHotEncoder(inputCol="__index", outputCol=out, dropLast=True)
+    return Pipeline(stages=[index, encode]).fit(df).transform(df).drop("__index")
+
+
 def curate_from_actors(df: DataFrame, actor_cols: list[str], policy: dict[str, int],
                        target: str = "target") -> DataFrame:
     """Label from several actor columns: keep rows whose mapped labels agree.

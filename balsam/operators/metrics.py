@@ -222,9 +222,9 @@ def best_fold(fold_metrics: DataFrame, model_col: str = "model", fold_col: str =
 
 def best_model(results: DataFrame, metric: str = "cv_score", model_col: str = "model",
                order_col: str | None = None) -> DataFrame:
-    """First maximum of ``metric`` (ties: earliest row by ``order_col``, else model name)."""
-    tie = F.col(order_col) if order_col else F.col(model_col)
-    return results.orderBy(F.desc_nulls_last(metric), tie).limit(1)
+    """First maximum of ``metric`` (ties: earliest by ``order_col`` if given, then model name)."""
+    ties = [F.col(order_col)] if order_col else []
+    return results.orderBy(F.desc_nulls_last(metric), *ties, F.col(model_col)).limit(1)
 
 
 def compare_models(results: DataFrame, metric: str = "cv_score", model_col: str = "model"):

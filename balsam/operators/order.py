@@ -24,10 +24,10 @@ from balsam.session import cut_lineage
 _PID, _MID = "__pid", "__mid"
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _by_range(df: DataFrame, n: int | None, order_cols: list) -> DataFrame:
+    """Rows dealt by order; the number of partitions is Spark's unless given."""
+    dealt = df.repartitionByRange(n, *order_cols) if n else df.repartitionByRange(*order_cols)
+    return dealt.sortWithinPartitions(*order_cols).withColumn(_PID, F.spark_partition_id())
 
 
 def _partition_offsets(counts: DataFrame, value_cols: list[str]) -> DataFrame:
@@ -44,12 +44,10 @@ def positions(df: DataFrame, order_cols: list, out: str = "pos",
     ``order_cols`` must define a total order (end with a unique key), otherwise
     ties are numbered in an unspecified but valid order.
     """
-    n = _n_parts(df, num_partitions)
     # Materialised once (reliable checkpoint): range bounds come from a seeded
     # sample per exchange, so two separately planned exchanges of the same rows
     # may cut them differently; every later branch must read the same partitions.
-    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                         .withColumn(_PID, F.spark_partition_id())
+    ranged = cut_lineage(_by_range(df, num_partitions, order_cols)
                          .withColumn(_MID, F.monotonically_increasing_id()))
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"))
@@ -61,16 +59,16 @@ def positions(df: DataFrame, order_cols: list, out: str = "pos",
 
 def running_totals(df: DataFrame, order_cols: list, value_cols: list[str],
                    out_cols: list[str] | None = None, inclusive: bool = True,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, group_col: str | None = None) -> DataFrame:
     """Prefix sums of ``value_cols`` in the total order of ``order_cols``.
 
-    ``inclusive`` adds the row's own value. Output columns are doubles for float
-    inputs and longs for integral inputs.
+    ``inclusive`` adds the row's own value. Output columns are doubles for float inputs and longs
+    for integral inputs. With ``group_col`` (which must lead the order) the sums begin anew at each
+    group, so a group with large sums costs the next one no digits; a group may still run over any
+    number of partitions.
     """
     out_cols = out_cols or [f"cum_{c}" for c in value_cols]
-    n = _n_parts(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn(_PID, F.spark_partition_id()))
+    ranged = _by_range(df, num_partitions, order_cols)
     types = {f.name: f.dataType for f in df.schema.fields}
     integral = [types[c].typeName() in ("integer", "long", "short", "byte") for c in value_cols]
     out_types = [LongType() if i else DoubleType() for i in integral]
@@ -78,13 +76,24 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str],
                         + [StructField(o, t, False) for o, t in zip(out_cols, out_types)])
 
     def _cumsum(batches):
-        carry = None
+        carry, last = None, None
         for pdf in batches:
+            if not len(pdf):
+                yield pdf.assign(**{o: [] for o in out_cols})
+                continue
             vals = pdf[value_cols].fillna(0)
-            cs = vals.cumsum()
+            if group_col is None:
+                cs, cont = vals.cumsum(), slice(None)
+            else:
+                g = pdf[group_col]
+                run = ((g != g.shift()) & ~(g.isna() & g.shift().isna())).cumsum()
+                cs = vals.groupby(run.to_numpy()).cumsum()
+                same = last is not None and (g.iloc[0] == last[0] or (g.isna().iloc[0] and last[1]))
+                cont = (run == run.iloc[0]).to_numpy() if same else slice(0, 0)
+                last = (g.iloc[-1], bool(g.isna().iloc[-1]))
             if carry is not None:
-                cs = cs + carry
-            carry = cs.iloc[-1].copy() if len(cs) else carry
+                cs.iloc[cont] = cs.iloc[cont] + carry
+            carry = cs.iloc[-1].copy()
             if not inclusive:
                 cs = cs - vals
             for o, c, is_int in zip(out_cols, value_cols, integral):
@@ -93,12 +102,20 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str],
 
     # one materialisation feeds both the offsets and the rows (see positions())
     local = cut_lineage(ranged.mapInPandas(_cumsum, schema))
-    totals = local.groupBy(_PID).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
-                                       for c in value_cols])
-    offs = _partition_offsets(totals, value_cols)
-    res = local.join(F.broadcast(offs), _PID)
+    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in value_cols]
+    if group_col is None:
+        res = local.join(F.broadcast(_partition_offsets(local.groupBy(_PID).agg(*sums), value_cols)), _PID)
+    else:
+        # only groups that run over several partitions have offsets: two rows a partition at most
+        totals = local.groupBy(_PID, F.col(group_col).alias("__group")).agg(*sums)
+        w = Window.partitionBy("__group").orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+        offs = totals.select(F.col(_PID).alias("__opid"), "__group", F.count(F.lit(1)).over(w).alias("__earlier"),
+                             *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}__off") for c in value_cols]) \
+            .filter("__earlier > 0").drop("__earlier")
+        res = local.join(F.broadcast(offs), (local[_PID] == F.col("__opid"))
+                         & local[group_col].eqNullSafe(F.col("__group")), "left").drop("__opid", "__group")
     for o, c, t in zip(out_cols, value_cols, out_types):
-        res = res.withColumn(o, (F.col(o) + F.col(f"{c}__off")).cast(t))
+        res = res.withColumn(o, (F.col(o) + F.coalesce(F.col(f"{c}__off"), F.lit(0))).cast(t))
     return res.drop(_PID, *[f"{c}__off" for c in value_cols])
 
 

@@ -1,6 +1,7 @@
 """Class rebalancing by synthetic or repeated minority rows (F1-F9).
 
-Input: (id long >= 0, x array<double>, target int), binary target. Output: the
+Input: (id long >= 0, x array<double>, target int); :func:`resample_by_name` takes ids of
+any type. Output: the
 input rows plus new rows with negative ids -(g+1), g = 0.. the synthetic index,
 and the lineage columns ``base_id``, ``nn_id``, ``step`` (null for input rows).
 
@@ -61,18 +62,28 @@ def _synthetic_from_draws(draws: DataFrame, bases: DataFrame, nn: DataFrame, poo
     step_scale 1.0 interpolates towards the neighbour; a negative scale moves
     away from it (x = b + scale * u * (n - b))."""
     b = bases.select(F.col("pos").alias("bpos"), F.col("id").alias("base_id"), F.col("x").alias("xb"))
-    nb = nn.select(F.col("q_id").alias("base_id"), F.col("rank").alias("rk"), "nn_id")
     p = pool.select(F.col("id").alias("nn_id"), F.col("x").alias("xn"))
     t = F.col("step") * F.lit(float(step_scale))
-    return (draws.join(b, "bpos").join(nb, ["base_id", "rk"]).join(p, "nn_id")
+    return (_drawn_neighbour(draws.join(b, "bpos"), nn).join(p, "nn_id")
             .select((-(F.col("g") + 1)).cast("long").alias("id"), lerp(F.col("xb"), F.col("xn"), t).alias("x"),
                     F.lit(minority).cast("int").alias("target"), "base_id", "nn_id", "step"))
 
 
+def _drawn_neighbour(draws: DataFrame, nn: DataFrame) -> DataFrame:
+    """Adds nn_id: the neighbour of ``base_id`` at rank floor(u * n) + 1 of the n that it has (k,
+    or fewer from an approximate search); a base without any is its own neighbour, so that no
+    draw is lost."""
+    near = nn.groupBy(F.col("q_id").alias("base_id")) \
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "nn_id"))), lambda s: s["nn_id"]).alias("near"))
+    at = F.floor(F.col("u") * F.size("near")).cast("int")
+    return draws.join(near, "base_id", "left") \
+        .withColumn("nn_id", F.coalesce(F.get("near", at), F.col("base_id"))).drop("near", "u")
+
+
 def _uniform_draws(spark, n: int, n_bases: int, k: int, seed: str, offset: int = 0) -> DataFrame:
     g = spark.range(offset, offset + n).withColumnRenamed("id", "g")
     return g.select("g", F.floor(uniform(f"{seed}:b", F.col("g")) * n_bases).cast("long").alias("bpos"),
-                    (F.floor(uniform(f"{seed}:n", F.col("g")) * k) + 1).cast("int").alias("rk"),
+                    uniform(f"{seed}:n", F.col("g")).alias("u"),
                     uniform(f"{seed}:s", F.col("g")).alias("step"))
 
 
@@ -89,11 +100,10 @@ def expand_counts(df: DataFrame, count_col: str, out: str = "j", chunk: int = EX
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, approx: bool = False, **kw) -> DataFrame:
     """Neighbour search used by every method: exact by default; ``approx=True``
-    switches to LSH candidates for sets too large for an exact all-pairs search
+    switches to the nearest cells only, for sets too large for an exact all-pairs search
     (e.g. ENN / Tomek over a very large resampled set)."""
     if approx:
-        lsh_kw = {a: kw[a] for a in ("bucket_length", "num_tables", "seed") if a in kw}
-        return knn_approx(queries, refs, k, **lsh_kw)
+        return knn_approx(queries, refs, k, **kw)
     return _knn_exact(queries, refs, k, **kw)
 
 
@@ -188,13 +198,12 @@ def adasyn(df: DataFrame, k: int = 5, seed: str = "42", **knn_kw) -> DataFrame:
         rows = expand_counts(cum, "gi", "j").select(
             F.col("id").alias("base_id"), (F.lit(off) + F.col("cum") + F.col("j")).alias("g"))
         off += int(cum.agg(F.sum("gi")).first()[0] or 0)
-        draws = rows.select("g", "base_id", (F.floor(uniform(f"{seed}:n", F.col("g")) * k) + 1).cast("int").alias("rk"),
+        draws = rows.select("g", "base_id", uniform(f"{seed}:n", F.col("g")).alias("u"),
                             uniform(f"{seed}:s", F.col("g")).alias("step"))
         nn = knn(members, members, k, **knn_kw)
-        nb = nn.select(F.col("q_id").alias("base_id"), F.col("rank").alias("rk"), "nn_id")
         b = members.select(F.col("id").alias("base_id"), F.col("x").alias("xb"))
         p = members.select(F.col("id").alias("nn_id"), F.col("x").alias("xn"))
-        parts.append(draws.join(b, "base_id").join(nb, ["base_id", "rk"]).join(p, "nn_id")
+        parts.append(_drawn_neighbour(draws.join(b, "base_id"), nn).join(p, "nn_id")
                      .select((-(F.col("g") + 1)).cast("long").alias("id"),
                              lerp(F.col("xb"), F.col("xn"), F.col("step")).alias("x"),
                              F.lit(cls).cast("int").alias("target"), "base_id", "nn_id", "step"))
@@ -253,13 +262,16 @@ def svm_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", out_step
     safe = sv.where(F.col("n_maj") * 2 < m).select("id", "x")
     n_dg, n_sf = danger.count(), safe.count()
     minority = df.where(F.col("target") == mino).select("id", "x")
-    n_first = int(fraction * (G + 1))
+    if n_dg + n_sf == 0:
+        raise RuntimeError("no support vector is left after noise removal: SVM-SMOTE is not applicable")
+    # all G points are made whichever set is empty
+    n_first = 0 if n_dg == 0 else G if n_sf == 0 else int(fraction * (G + 1))
     parts = [_with_lineage(df)]
-    if n_dg > 0:
+    if n_first > 0:
         nn = knn(danger, minority, k, **knn_kw)
         parts.append(_synthetic_from_draws(_uniform_draws(spark, n_first, n_dg, k, seed),
                                            _positioned(danger), nn, minority, mino, 1.0))
-    if n_sf > 0:
+    if G - n_first > 0:
         nn = knn(safe, minority, k, **knn_kw)
         parts.append(_synthetic_from_draws(_uniform_draws(spark, G - n_first, n_sf, k, seed + ":safe",
                                                           offset=n_first),
@@ -329,10 +341,20 @@ RESAMPLERS = {
 
 
 def resample_by_name(df: DataFrame, name: str, seed: str = "42", **kw) -> DataFrame:
-    """Dispatch by name; an unknown name raises KeyError."""
+    """Dispatch by name; an unknown name raises KeyError. Ids of another type than integers are
+    kept: the method works on their positions, and a new row's id is ``synthetic-{g}``."""
     if name not in RESAMPLERS:
         raise KeyError(f"unknown resampler {name!r}; known: {sorted(RESAMPLERS)}")
-    return RESAMPLERS[name](df, seed=seed, **kw)
+    if df.schema["id"].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return RESAMPLERS[name](df, seed=seed, **kw)
+    placed = _cut(positions(df.select("id", "x", "target"), [F.col("id")], "pos"))
+    out = RESAMPLERS[name](placed.select(F.col("pos").alias("id"), "x", "target"), seed=seed, **kw)
+    for c in ("id", *[c for c in ("base_id", "nn_id") if c in out.columns]):
+        names = placed.select(F.col("pos").alias(c), F.col("id").alias("name"))
+        out = out.join(names, c, "left")
+        new = F.concat(F.lit("synthetic-"), (-F.col(c) - 1).cast("string"))
+        out = out.withColumn(c, F.when(F.col(c) < 0, new).otherwise(F.col("name"))).drop("name")
+    return out
 
 
 def resample_summary(df: DataFrame, names: list[str] | None = None, seed: str = "42") -> DataFrame:

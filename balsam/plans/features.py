@@ -32,7 +32,14 @@ def q_dedupe_exact(spark, sf):
     return FT.dedupe_exact(d, "text", "doc_id").select("doc_id")
 
 
-@query("dedupe_near")
+@query("dedupe_near", f"""WITH base AS (SELECT doc_id, {_TOKS} AS ts FROM documents WHERE doc_id IN (
+  SELECT min(doc_id) FROM documents GROUP BY lower({normalize_ws('text')}))),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ts) < 3 THEN [array_to_string(ts, ' ')] ELSE
+  list_transform(range(len(ts) - 2), lambda i: ts[i + 1] || ' ' || ts[i + 2] || ' ' || ts[i + 3]) END) AS g FROM base),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+p AS (SELECT b.doc_id, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT doc_id FROM base WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE c >= 0.7 * (na + nb - c))""")
 def q_dedupe_near(spark, sf):
     """Exact copies, then MinHash-band near copies verified by Jaccard >= 0.7."""
     d = table(spark, sf, "documents", "doc_id", "text")
@@ -121,9 +128,10 @@ def q_value_buckets(spark, sf):
 
 
 @query("repeat_rate", """SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts
-  RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS n_prior FROM events""")
+  RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)
+  - count(*) OVER (PARTITION BY user_id, ts) AS BIGINT) AS n_prior FROM events""")
 def q_repeat_rate(spark, sf):
-    """Events of the same user in the preceding 24 hours."""
+    """Events of the same user in the preceding 24 hours, those of the same time left out."""
     ev = table(spark, sf, "events", "event_id", "user_id", "ts")
     return FT.repeat_count(ev, "user_id", "ts", "event_id", 86400).select("event_id", "n_prior")
 

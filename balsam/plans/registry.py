@@ -22,16 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from balsam.plans import core, text_plans, evaluation  # noqa: F401
-    try:
-        from balsam.plans import resampling  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from balsam.plans import models  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from balsam.plans import features  # noqa: F401
-    except ImportError:
-        pass
+    from balsam.plans import core, evaluation, features, models, resampling, text_plans  # noqa: F401

@@ -73,14 +73,14 @@ SELECT q AS q_id, CAST(rk AS INTEGER) AS rank, n AS nn_id FROM nn""")
 def q_knn_exact_blocked(spark, sf):
     """Same search forced through the blocked layout (reference side over the cap)."""
     e = embedding_set(spark, sf)
-    return knn(e, e, K, broadcast_cap_bytes=0, block_rows=128).select("q_id", "rank", "nn_id")
+    return knn(e, e, K, cells=5, block_rows=128).select("q_id", "rank", "nn_id")
 
 
 @query("knn_approx")
 def q_knn_approx(spark, sf):
     """LSH candidates, top 5 per row; checked for recall in the tests."""
     e = embedding_set(spark, sf)
-    return knn_approx(e, e, K, bucket_length=4.0, num_tables=4)
+    return knn_approx(e, e, K)
 
 
 @query("random_oversample", f"""WITH {_BASE},

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "balsam",
-              shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
+              shuffle_partitions: int | None = None, driver_memory: str = "8g") -> SparkSession:
     """Build (or reuse) a session with the settings the library is tuned for.
 
-    On a cluster only the master is left out; everything else is a session conf.
+    On a cluster only the master is left out; everything else is a session conf. The number of
+    shuffle partitions is Spark's unless given; adaptive execution merges small ones.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -21,7 +22,6 @@ def get_spark(master: str | None = None, app: str = "balsam",
         b.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "balsam",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
     return spark
@@ -37,15 +39,16 @@ def get_spark(master: str | None = None, app: str = "balsam",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when nothing is configured (local tests) a private
-    temporary folder is registered, so cluster runs always use the shared one.
+    Read from the session. Only a local master may leave it out and gets a private temporary
+    folder; on a cluster every host would have its own, so that is an error there.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
-        if not d:
-            d = tempfile.mkdtemp(prefix="balsam-ckpt-")
+        if not d and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts share")
+        d = d or tempfile.mkdtemp(prefix="balsam-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d

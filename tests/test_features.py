@@ -84,3 +84,51 @@ def test_hot_key_prefix_sums(spark):
         ts = by_user[g]
         want = bisect.bisect_left(ts, t) - bisect.bisect_left(ts, t - dt.timedelta(days=3))
         assert got[k] == want
+
+
+def test_near_copy_is_found_behind_a_chance_match(spark):
+    """B and C are copies; A has a smaller key and shares bands with C by chance only."""
+    import random
+    kept = 0
+    for i in range(12):
+        rnd = random.Random(i)
+        b = [f"w{rnd.randint(0, 10**6)}" for _ in range(60)]
+        c = list(b)
+        c[30] = "other"
+        a = b[:38] + [f"v{rnd.randint(0, 10**6)}" for _ in range(22)]
+        df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "k long, t string")
+        got = sorted(r["k"] for r in FT.dedupe_near(df, "t", "k", threshold=0.8).collect())
+        kept += 3 in got
+        assert 1 in got and 2 in got
+    assert kept == 0
+
+
+def test_rows_of_one_time_do_not_count_for_each_other(spark):
+    rows = [(1, 1, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:00"), (3, 1, "2024-01-01 12:00:00"),
+            (4, 1, "2024-01-02 00:00:00"), (5, 2, "2024-01-01 06:00:00")]
+    df = spark.createDataFrame(rows, "k long, g long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r["k"]: r["n_prior"] for r in FT.repeat_count(df, "g", "ts", "k", 86400).collect()}
+    assert got == {1: 0, 2: 0, 3: 2, 4: 3, 5: 0}
+
+
+def test_prior_centroid_after_a_class_with_large_sums(spark):
+    rows = [(i, "a", float(i), 1e15 + i, 1e15) for i in range(50)] + \
+        [(100 + i, "b", float(i), 0.1 * i, 0.01 * i) for i in range(20)] + [(200, None, 0.0, 1.0, 1.0), (201, None, 1.0, 4.0, 5.0)]
+    df = spark.createDataFrame(rows, "k long, c string, t double, y double, x double")
+    got = {r["k"]: r["dist_prior_centroid"]
+           for r in FT.prior_centroid_distance(df, "c", [F.col("t")], "k", "y", "x").collect()}
+    for i in range(1, 20):
+        my, mx = sum(0.1 * j for j in range(i)) / i, sum(0.01 * j for j in range(i)) / i
+        assert got[100 + i] == pytest.approx(((0.1 * i - my) ** 2 + (0.01 * i - mx) ** 2) ** 0.5, abs=1e-12)
+    assert got[100] is None and got[200] is None and got[201] == pytest.approx(5.0)
+
+
+def test_period_of_centuries(spark):
+    periods = spark.createDataFrame([("long", "1200-01-01", "2300-01-01"), ("day", "2024-01-01", "2024-01-02"), ("empty", "2024-01-01", "2024-01-01")],
+                                    "p string, s string, e string").select(
+        "p", F.col("s").cast("timestamp_ntz").alias("start"), F.col("e").cast("timestamp_ntz").alias("end"))
+    df = spark.createDataFrame([(1, "2024-01-01 23:59:59"), (2, "2024-01-02 00:00:00"), (3, "1100-01-01 00:00:00")], "k long, t string") \
+        .withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = sorted((r["k"], r["p"]) for r in FT.period_join(df, "t", periods).collect())
+    assert got == [(1, "day"), (1, "long"), (2, "long")]
+    assert FT.period_join(df, "t", periods.limit(0)).count() == 0

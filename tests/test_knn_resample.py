@@ -33,19 +33,80 @@ def _as_lists(df):
     return out
 
 
-def test_knn_exact_broadcast_and_blocked(spark):
+@pytest.mark.parametrize("options", [{}, {"strategy": "broadcast"}, {"cells": 1, "block_rows": 64}, {"cells": 40, "block_rows": 7}])
+def test_knn_exact(spark, options):
     df, X, _ = _vecs(spark)
-    ref = _brute(X, np.arange(len(X)), 5)
-    assert _as_lists(knn(df, df, 5)) == ref
-    assert _as_lists(knn(df, df, 5, broadcast_cap_bytes=0, block_rows=64)) == ref
+    X[250:] = X[:50]  # ties
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, x array<double>")
+    assert _as_lists(knn(df, df, 5, **options)) == _brute(X, np.arange(len(X)), 5)
+
+
+def test_knn_edges(spark):
+    df, X, _ = _vecs(spark, n=6, pos=2)
+    none = df.limit(0)
+    assert knn(df, none, 3).count() == 0 and knn(none, df, 3).count() == 0
+    assert knn(df, df, 9).count() == 6 * 5  # fewer rows than k
+    with pytest.raises(ValueError):
+        knn(df, df, 3, strategy="other")
+    names = df.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "x")
+    got = _as_lists(knn(names, names, 2))
+    assert got == {f"r{q}": [f"r{n}" for n in ns] for q, ns in _brute(X, np.arange(6), 2).items()}
+
+
+def test_knn_on_clusters_looks_at_few_pairs(spark):
+    from balsam.operators.knn import CellIndex, _prep
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(1500, 6)) * 0.05 + rng.integers(0, 20, (1500, 1)) * 3.0
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, x array<double>")
+    rows = _prep(df, "id", "x")
+    index = CellIndex(rows)
+    near = index.search(index.first_visits(rows, 5), 5, True)
+    bounds = near.groupBy("q_id", "rank").agg(F.min("d2").alias("d2")).where("rank = 5") \
+        .select("q_id", F.sqrt("d2").alias("bound"))
+    looked = index.pairs(index.first_visits(rows, 5)) + index.pairs(index.other_visits(rows, bounds, 5))
+    assert looked < 0.15 * len(X) ** 2
+    assert _as_lists(knn(df, df, 5)) == _brute(X, np.arange(len(X)), 5)
+
+
+def _recall(got, ref):
+    return sum(len(set(got.get(q, [])) & set(v)) for q, v in ref.items()) / sum(map(len, ref.values()))
 
 
 def test_knn_approx_recall(spark):
-    df, X, _ = _vecs(spark, n=200, d=4)
-    ref = _brute(X, np.arange(len(X)), 5)
-    got = _as_lists(knn_approx(df, df, 5, bucket_length=4.0, num_tables=6))
-    hit = sum(len(set(got.get(q, [])) & set(v)) for q, v in ref.items())
-    assert hit / (5 * len(ref)) > 0.5
+    for spread in (0.0, 2.0):  # without and with clusters
+        _, X, _ = _vecs(spark, n=1200, d=8)
+        X += np.random.default_rng(1).integers(0, 6, (1200, 1)) * spread
+        df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, x array<double>")
+        assert _recall(_as_lists(knn_approx(df, df, 5)), _brute(X, np.arange(len(X)), 5)) >= 0.9
+
+
+@pytest.mark.parametrize("n_maj", [0, 9])
+def test_svm_smote_makes_all_rows_whichever_set_is_empty(spark, monkeypatch, n_maj):
+    """All support vectors safe (no neighbour of the other class), or all in danger."""
+    df, X, y = _vecs(spark)
+    monkeypatch.setattr(RS, "_majority_share", lambda df, q, m, mino, **kw: q.select("id", F.lit(n_maj).alias("n_maj")))
+    c = _counts(RS.svm_smote(df, seed="2"))
+    assert c[0] == c[1] == (y == 0).sum()
+
+
+def test_approximate_neighbours_lose_no_draw(spark, monkeypatch):
+    """Bases with fewer than k neighbours, or none, still give their points."""
+    df, X, y = _vecs(spark)
+    real = RS._knn_exact
+    monkeypatch.setattr(RS, "knn_approx", lambda q, r, k, **kw: real(q, r, k).where("q_id % 3 <> 0 and rank <= 1 + q_id % 2"))
+    c = _counts(RS.smote(df, approx=True))
+    assert c[0] == c[1]
+
+
+@pytest.mark.parametrize("name", ["random_oversample", "smote", "adasyn", "smote_enn"])
+def test_string_keys(spark, name):
+    df, X, y = _vecs(spark)
+    names = df.withColumn("id", F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    out, want = RS.resample_by_name(names, name, seed="4"), RS.resample_by_name(df, name, seed="4")
+    assert _counts(out) == _counts(want)
+    own = {r["id"] for r in out.where("id like 'k%'").collect()}
+    assert own == {f"k{r['id']:04d}" for r in want.where("id >= 0").collect()}
+    assert out.where("id not like 'k%' and id not like 'synthetic-%'").count() == 0
 
 
 def _counts(df):
@@ -116,5 +177,5 @@ def test_multiclass_not_majority(spark, name):
 def test_approximate_neighbours_option(spark):
     df, X, y = _vecs(spark, n=200, d=4)
     exact = {r["id"] for r in RS.edited_nn(df, 3).collect()}
-    approx = {r["id"] for r in RS.edited_nn(df, 3, approx=True, bucket_length=4.0, num_tables=6).collect()}
+    approx = {r["id"] for r in RS.edited_nn(df, 3, approx=True).collect()}
     assert len(exact ^ approx) <= 0.25 * len(exact)
