@@ -27,6 +27,10 @@ _LINEAGE = ["base_id", "nn_id", "step"]
 EXPAND_CHUNK = 4096
 
 
+class NotApplicable(ValueError, RuntimeError):
+    """A method cannot work on these rows (too few of a class, no neighbour of another class)."""
+
+
 def _counts(df: DataFrame, target: str = "target") -> dict[int, int]:
     rows = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
     return {int(r[0]): int(r[1]) for r in rows}
@@ -160,7 +164,7 @@ def smote(df: DataFrame, k: int = 5, seed: str = "42", **knn_kw) -> DataFrame:
         if G <= 0:
             continue
         if n_c <= k:
-            raise ValueError(f"smote needs more than k={k} rows of class {cls}, got {n_c}")
+            raise NotApplicable(f"smote needs more than k={k} rows of class {cls}, got {n_c}")
         members = df.where(F.col("target") == cls).select("id", "x")
         nn = knn(members, members, k, **knn_kw)
         draws = _uniform_draws(spark, G, n_c, k, seed, offset=off)
@@ -186,12 +190,12 @@ def adasyn(df: DataFrame, k: int = 5, seed: str = "42", **knn_kw) -> DataFrame:
         if G <= 0:
             continue
         if n_c <= k:
-            raise ValueError(f"adasyn needs more than k={k} rows of class {cls}, got {n_c}")
+            raise NotApplicable(f"adasyn needs more than k={k} rows of class {cls}, got {n_c}")
         members = df.where(F.col("target") == cls).select("id", "x")
         share = _majority_share(df, members, k, cls, **knn_kw)
         tot = share.agg(F.sum("n_maj").alias("s")).first()["s"] or 0
         if tot == 0:
-            raise RuntimeError(f"no neighbour of class {cls} rows belongs to another class: "
+            raise NotApplicable(f"no neighbour of class {cls} rows belongs to another class: "
                                "ADASYN is not applicable")
         gi = share.select("id", F.rint(F.lit(float(G)) * F.col("n_maj") / F.lit(float(tot))).cast("long").alias("gi"))
         cum = running_totals(gi, [F.col("id")], ["gi"], ["cum"], inclusive=False)
@@ -263,7 +267,7 @@ def svm_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", out_step
     n_dg, n_sf = danger.count(), safe.count()
     minority = df.where(F.col("target") == mino).select("id", "x")
     if n_dg + n_sf == 0:
-        raise RuntimeError("no support vector is left after noise removal: SVM-SMOTE is not applicable")
+        raise NotApplicable("no support vector is left after noise removal: SVM-SMOTE is not applicable")
     # all G points are made whichever set is empty
     n_first = 0 if n_dg == 0 else G if n_sf == 0 else int(fraction * (G + 1))
     parts = [_with_lineage(df)]

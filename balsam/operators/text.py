@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from balsam.functions import text as T
-from balsam.functions.vectors import l2norm, scale
 
 
 def mask_text(df: DataFrame, columns: list[str], mask_entities: bool = True,
@@ -55,35 +56,15 @@ def leakage_scan(df: DataFrame, text_col: str, key: str,
                     "s.first_key"))
 
 
-def _bucket_sign(tok, dim: int):
-    h = F.md5(tok)
-    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return bucket, sign
-
-
-def embed_text(df: DataFrame, text_col: str, key: str, dim: int = 64,
+def embed_text(df: DataFrame, text_col: str, key: str, dim: int = 384,
                out: str = "embedding") -> DataFrame:
     """Feature-hashing sentence encoder -> (key, embedding array<double>[dim]).
 
-    Tokens are lower-cased letter/digit runs; each token adds +-1 to the bucket
-    md5(token) mod dim; the sum is L2-normalised (all zeros for empty text).
-    Work: explode + one aggregation on (key, bucket) with map-side combine, so a
-    long document shrinks to at most ``dim`` rows before the shuffle.
+    Tokens are lower-cased letter/digit runs; each token adds +-1 to the bucket md5(token) mod
+    dim; the sum is L2-normalised (all zeros for empty text). All tokens of a document are in one
+    row, so they are folded there and nothing is shuffled.
     """
-    # explode_outer keeps documents without tokens (null token -> no cell), so no join
-    # back to the documents is needed for their all-zero vectors
-    toks = df.select(F.col(key), F.explode_outer(T.word_tokens(F.col(text_col))).alias("__t"))
-    bucket, sign = _bucket_sign(F.col("__t"), dim)
-    cells = (toks.select(key, bucket.alias("__b"), sign.alias("__s"))
-             .groupBy(key, "__b").agg(F.sum("__s").alias("__v")))
-    entries = F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__v")))
-    packed = cells.groupBy(key).agg(F.map_from_entries(entries).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("__m"), i.cast("long")), F.lit(0.0)))
-    vec = packed.select(key, dense.alias("__raw"))
-    norm = l2norm(F.col("__raw"))
-    return vec.select(key, F.when(norm > 0, scale(F.col("__raw"), norm)).otherwise(F.col("__raw")).alias(out))
+    return embed_with(df, text_col, key, lambda: hashing_encoder(dim), out=out, name=f"hashing-{dim}")
 
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -113,8 +94,8 @@ def encode_sequences(df: DataFrame, text_col: str, key: str, vocab: DataFrame,
     """
     body = max_length - 2
     toks = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
-    tok = (toks.select(key, F.size("__toks").alias("__n"), F.posexplode_outer("__toks").alias("__p", "token"))
-           .where(F.col("__p").isNull() | (F.col("__p") < body)))
+    tok = toks.select(key, F.size("__toks").alias("__n"),
+                      F.posexplode_outer(F.slice("__toks", 1, body)).alias("__p", "token"))
     ids = (tok.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
            .groupBy(key).agg(F.first("__n").alias("n_tokens"),
                              F.array_sort(F.collect_list(F.when(F.col("__p").isNotNull(), F.struct(
@@ -132,55 +113,74 @@ def encode_sequences(df: DataFrame, text_col: str, key: str, vocab: DataFrame,
 # ---------------------------------------------------------------- user encoder hook
 
 _ENCODERS: dict = {}
+_TOKEN = re.compile(r"[^\W_]+")
+#: Tokens remembered by an encoder; a memory bound without effect on results.
+_TOKEN_CACHE = 500_000
+
+
+class _Cells(dict):
+    """Token -> its bucket, and its sign as the sign of the number (bucket + 1 or its negative)."""
 
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
 
-def hashing_encoder(dim: int = 64):
-    """numpy twin of :func:`embed_text` (same tokens, md5 buckets and signs): the
-    default model for :func:`embed_with`, and a check that the hook is exact."""
-    import hashlib
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _TOKEN_CACHE:
+            self.clear()
+        h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
+        b = int(h[:8], 16) % self.dim + 1
+        r = self[token] = b if int(h[8], 16) < 8 else -b
+        return r
 
+
+def hashing_encoder(dim: int = 384):
+    """The default encoder: ``encode(texts) -> ndarray[n, dim]`` by feature hashing."""
     import numpy as np
-    import regex
 
-    split_re = regex.compile(r"[^\p{L}\p{N}]+")
+    cells = _Cells(dim)
 
     def encode(texts):
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            for tok in split_re.split((t or "").lower()):
-                if tok:
-                    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                    out[i, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) < 8 else -1.0
-            n = np.sqrt((out[i] ** 2).sum())
-            if n > 0:
-                out[i] /= n
-        return out
+            c = np.array(list(map(cells.__getitem__, _TOKEN.findall((t or "").lower()))), np.int64)
+            if len(c):
+                out[i] = np.bincount(np.abs(c) - 1, weights=np.sign(c), minlength=dim)
+        norm = np.sqrt((out * out).sum(axis=1))
+        return out / np.where(norm > 0, norm, 1.0)[:, None]
     return encode
 
 
-def embed_with(df: DataFrame, text_col: str, key: str, factory=None, dim: int = 64,
-               out: str = "embedding", batch_size: int = 32) -> DataFrame:
-    """Embed text with a user-supplied model inside ``mapInPandas``.
+def _encoder(name: str | None, factory):
+    """The encoder called ``name`` of this worker, built at its first use; without a name a new one."""
+    if name is None:
+        return factory()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = factory()
+    return _ENCODERS[name]
+
 
-    ``factory()`` returns ``encode(list[str]) -> ndarray[n, dim]``; it is called
-    once per Python worker (cached) and fed Arrow batches of ``batch_size`` rows,
-    as the reference encodes in batches of 32. The work stays partitioned; the
-    model never sees the whole corpus at once."""
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+def embed_with(df: DataFrame, text_col: str, key: str, factory=None, dim: int = 384,
+               out: str = "embedding", batch_size: int = 32, name: str | None = None) -> DataFrame:
+    """Embed text with a user-supplied model over Arrow batches.
 
-    factory = factory or (lambda: hashing_encoder(dim))
-    schema = StructType([df.schema[key], StructField(out, ArrayType(DoubleType()), False)])
-    fid = id(factory)
+    ``factory()`` returns ``encode(list[str]) -> ndarray[n, dim]``. With a ``name`` a worker
+    builds the model once and keeps it under that name for later tasks; without one each task
+    builds its own. Rows come in chunks of ``batch_size``, as the reference encodes them; the model
+    never sees the whole corpus at once."""
+    import numpy as np
+    import pyarrow as pa
+    if factory is None:
+        factory, name = (lambda: hashing_encoder(dim)), f"hashing-{dim}"
 
     def run(batches):
-        enc = _ENCODERS.get(fid)
-        if enc is None:
-            enc = _ENCODERS[fid] = factory()
-        for b in batches:
-            texts = b[text_col].tolist()
-            for s in range(0, len(texts), batch_size):
-                chunk = texts[s:s + batch_size]
-                vecs = enc(chunk)
-                yield b.iloc[s:s + batch_size][[key]].assign(**{out: [list(map(float, v)) for v in vecs]})
-
-    return df.select(key, text_col).mapInPandas(run, schema)
+        encode = _encoder(name, factory)
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                v = np.asarray(encode(part.column(1).to_pylist()), dtype=np.float64)
+                rows = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), rows], names=["key", out])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text_col).mapInArrow(run, f"key {kind}, {out} array<double>").withColumnRenamed("key", key)

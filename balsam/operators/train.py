@@ -11,23 +11,25 @@ from __future__ import annotations
 
 import math
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.operators.metrics import macro_metrics
+from balsam.operators.metrics import log_loss, macro_metrics
 from balsam.operators.prep import PopulationScaler, class_weights
-from balsam.operators.resample import resample_by_name
+from balsam.operators.resample import RESAMPLERS, NotApplicable, resample_by_name
+from balsam.operators.score import predict, predict_proba
 from balsam.operators.split import fold_guard, stratified_kfold
 from balsam.session import cut_lineage
 
@@ -82,14 +84,14 @@ def add_weights(df: DataFrame) -> DataFrame:
 
 
 def make_estimator(name: str, dim: int, fast: bool = True):
-    """(estimator, param maps). ``fast`` = one grid point, few trees/rounds; the full
-    grids mirror the reference's (depths, feature subsets, rates)."""
+    """(estimator, param maps). The full grids mirror the reference's (depths, feature subsets,
+    rates); ``fast`` keeps two points of each and few trees, rounds or steps."""
     if name == "rfc":
         est = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                      seed=SEED, minInstancesPerNode=1, featureSubsetStrategy="sqrt")
         g = ParamGridBuilder()
         if fast:
-            g = g.addGrid(est.numTrees, [20]).addGrid(est.maxDepth, [5])
+            g = g.addGrid(est.numTrees, [20]).addGrid(est.maxDepth, [3, 5])
         else:
             g = (g.addGrid(est.numTrees, [200]).addGrid(est.maxDepth, [10, 20, 30])
                  .addGrid(est.featureSubsetStrategy, ["sqrt", "log2"]))
@@ -99,7 +101,7 @@ def make_estimator(name: str, dim: int, fast: bool = True):
                             featureSubsetStrategy="0.8", weightCol="w_pos1")
         g = ParamGridBuilder()
         if fast:
-            g = g.addGrid(est.maxIter, [10]).addGrid(est.maxDepth, [3]).addGrid(est.stepSize, [0.1])
+            g = g.addGrid(est.maxIter, [10]).addGrid(est.maxDepth, [3]).addGrid(est.stepSize, [0.1, 0.3])
         else:
             g = (g.addGrid(est.maxIter, [200]).addGrid(est.maxDepth, [3, 6, 9])
                  .addGrid(est.stepSize, [0.01, 0.1]).addGrid(est.weightCol, ["w_pos1", "w_pos3"]))
@@ -107,15 +109,13 @@ def make_estimator(name: str, dim: int, fast: bool = True):
     if name == "mlpc":
         est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", seed=SEED,
                                              layers=[dim, 100, 50, 2], blockSize=64)
-        g = ParamGridBuilder()
-        g = g.addGrid(est.maxIter, [50] if fast else [200, 500])
-        return est, g.build()
+        return est, ParamGridBuilder().addGrid(est.maxIter, [50, 100] if fast else [200, 500]).build()
     if name == "lr":
         est = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50)
-        return est, ParamGridBuilder().addGrid(est.regParam, [0.0] if fast else [0.0, 0.01, 0.1]).build()
+        return est, ParamGridBuilder().addGrid(est.regParam, [0.0, 0.1] if fast else [0.0, 0.01, 0.1]).build()
     if name == "svm":
         est = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50)
-        return est, ParamGridBuilder().addGrid(est.regParam, [0.0] if fast else [0.0, 0.01, 0.1]).build()
+        return est, ParamGridBuilder().addGrid(est.regParam, [0.0, 0.1] if fast else [0.0, 0.01, 0.1]).build()
     raise KeyError(name)
 
 
@@ -123,31 +123,23 @@ MODELS = ("rfc", "gbt", "mlpc", "lr", "svm")
 
 
 def grid_search(train: DataFrame, name: str, dim: int, k: int = 3, fast: bool = True,
-                seed: str = "42", parallelism: int = 2):
-    """Inner search: stratified folds as ``foldCol``, macro-F1 scoring, refit of the
-    best point on all rows. Returns (CrossValidatorModel, best param dict)."""
+                seed: str = "42", parallelism: int = 2, scoring: str = "f1_macro"):
+    """Inner search: stratified folds as ``foldCol``, scored by ``scoring`` (a column of the macro
+    metrics), refit of the best point on all rows. Returns (CrossValidatorModel, best params);
+    ``avgMetrics`` of the model are in the order of the grid of :func:`make_estimator`."""
     est, grid = make_estimator(name, dim, fast)
-    if len(grid) <= 1:
-        # one candidate: nothing to choose, the refit on all rows is the result
-        point = grid[0] if grid else {}
-        model = est.copy(point).fit(to_ml(train))
-        return _Single(model), {p.name: v for p, v in point.items()}
     folded = stratified_kfold(train, k=k, seed=seed + ":inner")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MacroEvaluator(),
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MacroEvaluator(metric=scoring),
                         numFolds=k, foldCol="fold", parallelism=parallelism, seed=SEED)
     m = cv.fit(to_ml(folded))
     scores = list(m.avgMetrics)
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    params = {p.name: v for p, v in grid[best].items()}
-    return m, params
+    return m, {p.name: v for p, v in grid[best].items()}
 
 
-class _Single:
-    """Stand-in for a CrossValidatorModel when the grid has a single point."""
-
-    def __init__(self, model):
-        self.bestModel = model
-        self.avgMetrics = [float("nan")]
+def preprocessors(use_scaler: bool = True, steps=()) -> list:
+    """Fresh, unfitted stages: the scaler and copies of the caller's own stages."""
+    return [*([PopulationScaler(inputCol="x", outputCol="x")] if use_scaler else []), *[s.copy() for s in steps]]
 
 
 def _width(df: DataFrame) -> int:
@@ -167,72 +159,86 @@ class CVResult:
 
 
 def nested_cv(df: DataFrame, name: str, sampler: str, k: int = 5, inner_k: int = 3,
-              fast: bool = True, seed: str = "42") -> CVResult:
-    """Outer stratified folds; per fold scale -> resample -> inner search -> score."""
+              fast: bool = True, seed: str = "42", scoring: str = "f1_macro", use_scaler: bool = True,
+              steps=()) -> CVResult:
+    """Outer stratified folds; per fold fresh preprocessors -> resample -> inner search -> score.
+
+    A fold that the sampler cannot work on (:class:`NotApplicable`) is left out with a warning;
+    every other error ends the run."""
+    if sampler not in RESAMPLERS:
+        raise KeyError(f"unknown resampler {sampler!r}; known: {sorted(RESAMPLERS)}")
     dim = _width(df)
     folded = cut_lineage(stratified_kfold(df, k=k, seed=seed))
     usable = [r["fold"] for r in fold_guard(folded).collect() if r["usable"]]  # <= k rows
-    res = CVResult(name, sampler)
+    res, per_fold = CVResult(name, sampler), []
     for f in sorted(usable):
         tr = folded.where(F.col("fold") != f).drop("fold")
         va = folded.where(F.col("fold") == f).drop("fold")
-        scaler = PopulationScaler(inputCol="x", outputCol="x").fit(tr)
-        tr_s, va_s = scaler.transform(tr), scaler.transform(va)
+        chain = Pipeline(stages=preprocessors(use_scaler, steps)).fit(tr)
         try:
-            rs = cut_lineage(resample_by_name(tr_s, sampler, seed=seed).select("id", "x", "target"))
-        except Exception as e:  # noqa: BLE001 - the reference skips a failing fold
-            warnings.warn(f"Resampling failed on fold {f}: {e}")
+            rs = cut_lineage(resample_by_name(chain.transform(tr), sampler, seed=seed).select("id", "x", "target"))
+        except NotApplicable as e:
+            warnings.warn(f"fold {f} is left out: {e}")
             continue
-        cvm, params = grid_search(rs, name, dim, inner_k, fast, seed)
-        pred = cvm.bestModel.transform(to_ml(va_s, weight=False))
+        cvm, params = grid_search(rs, name, dim, inner_k, fast, seed, scoring=scoring)
+        pred = cvm.bestModel.transform(to_ml(chain.transform(va), weight=False))
         m = macro_metrics(pred, "label", "prediction").first()
         res.fold_metrics.append({"fold": f, "f1_macro": m["f1_macro"], "accuracy": m["accuracy"],
                                  "precision": m["precision_macro"], "recall": m["recall_macro"]})
-        res.best_params_per_fold = getattr(res, "best_params_per_fold", []) + [params]
+        per_fold.append(params)
     if not res.fold_metrics:
         raise RuntimeError(f"no usable fold for {name}/{sampler}")
-    scores = [m["f1_macro"] for m in res.fold_metrics]
+    key = {"precision_macro": "precision", "recall_macro": "recall"}.get(scoring, scoring)
+    scores = [m[key] for m in res.fold_metrics]
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    res.best_params = res.best_params_per_fold[best]
+    res.best_params = per_fold[best]
     return res
 
 
 def retrain_full(df: DataFrame, name: str, sampler: str, params: dict, fast: bool = True,
-                 seed: str = "42") -> PipelineModel:
-    """Scaler fitted on all training rows, resampled, best params, one fit.
-    Returns a PipelineModel (scaler -> vector -> classifier) for scoring."""
+                 seed: str = "42", use_scaler: bool = True, steps=()) -> PipelineModel:
+    """Preprocessors fitted on all training rows, resampled, best params, one fit.
+    Returns a PipelineModel (preprocessors -> vector -> classifier) for scoring."""
     dim = _width(df)
-    scaler = PopulationScaler(inputCol="x", outputCol="x").fit(df)
-    rs = cut_lineage(resample_by_name(scaler.transform(df), sampler, seed=seed).select("id", "x", "target"))
+    chain = Pipeline(stages=preprocessors(use_scaler, steps)).fit(df)
+    rs = cut_lineage(resample_by_name(chain.transform(df), sampler, seed=seed).select("id", "x", "target"))
     est, _ = make_estimator(name, dim, fast)
     est = est.copy({est.getParam(k): v for k, v in params.items()})
     clf = est.fit(to_ml(rs))
-    return PipelineModel(stages=[scaler, ArrayToVector(inputCol="x", outputCol="features"), clf])
+    return PipelineModel(stages=[*chain.stages, ArrayToVector(inputCol="x", outputCol="features"), clf])
 
 
 class Trainer:
     """Models x samplers with nested CV, a final refit each, test evaluation and a
     results table (one row per ``model_sampler``)."""
 
-    def __init__(self, spark: SparkSession, fast: bool = True, k: int = 5, inner_k: int = 3, seed: str = "42"):
+    def __init__(self, spark: SparkSession, fast: bool = True, k: int = 5, inner_k: int = 3, seed: str = "42",
+                 scoring: str = "f1_macro", use_scaler: bool = True, steps=(), parallelism: int = 2):
         self.spark, self.fast, self.k, self.inner_k, self.seed = spark, fast, k, inner_k, seed
+        self.scoring, self.use_scaler, self.steps, self.parallelism = scoring, use_scaler, steps, parallelism
         self.results: list[dict] = []
         self.models: dict[str, PipelineModel] = {}
 
+    def _fit(self, train: DataFrame, name: str, sampler: str) -> tuple[dict, PipelineModel]:
+        cv = nested_cv(train, name, sampler, self.k, self.inner_k, self.fast, self.seed, self.scoring,
+                       self.use_scaler, self.steps)
+        model = retrain_full(train, name, sampler, cv.best_params, self.fast, self.seed, self.use_scaler, self.steps)
+        avg = {m: sum(r[m] for r in cv.fold_metrics) / len(cv.fold_metrics)
+               for m in ("f1_macro", "accuracy", "precision", "recall")}
+        return {"model": f"{name}_{sampler}", "cv_score": cv.cv_score,
+                "best_params": {k: str(v) for k, v in cv.best_params.items()}, **avg}, model
+
     def fit_all(self, train: DataFrame, models=("rfc", "gbt", "mlpc"), samplers=None) -> "Trainer":
-        from balsam.operators.resample import RESAMPLERS
-        for name in models:
-            if name not in MODELS:
-                print(f"Model {name} not recognized.")
-                continue
-            for s in samplers or list(RESAMPLERS):
-                cv = nested_cv(train, name, s, self.k, self.inner_k, self.fast, self.seed)
-                key = f"{name}_{s}"
-                self.models[key] = retrain_full(train, name, s, cv.best_params, self.fast, self.seed)
-                avg = {m: sum(r[m] for r in cv.fold_metrics) / len(cv.fold_metrics)
-                       for m in ("f1_macro", "accuracy", "precision", "recall")}
-                self.results.append({"model": key, "cv_score": cv.cv_score,
-                                     "best_params": {k: str(v) for k, v in cv.best_params.items()}, **avg})
+        """Every model with every sampler; ``parallelism`` of these independent fits run at once."""
+        unknown = [n for n in models if n not in MODELS]
+        if unknown:
+            warnings.warn(f"unknown models are left out: {unknown}; known: {list(MODELS)}")
+        pairs = [(n, s) for n in models if n in MODELS for s in samplers or list(RESAMPLERS)]
+        with ThreadPoolExecutor(max_workers=max(1, self.parallelism)) as pool:
+            done = list(pool.map(inheritable_thread_target(self.spark)(lambda p: self._fit(train, *p)), pairs))
+        for row, model in done:
+            self.results.append(row)
+            self.models[row["model"]] = model
         return self
 
     def evaluate(self, test: DataFrame) -> "Trainer":
@@ -260,11 +266,37 @@ class Trainer:
         return key, self.models[key]
 
 
-def training_history(model) -> DataFrame:
-    """(iteration, loss) from a fitted logistic-regression model summary."""
-    spark = SparkSession.getActiveSession()
-    hist = list(model.summary.objectiveHistory)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+    def model(self, name: str | None = None) -> PipelineModel:
+        """The model called ``name``, or the best one."""
+        if name is None:
+            return self.best()[1]
+        if name not in self.models:
+            raise KeyError(f"no model {name!r}; trained: {sorted(self.models)}")
+        return self.models[name]
+
+    def predict(self, df: DataFrame, name: str | None = None, keep: list[str] | None = None) -> DataFrame:
+        return predict(self.model(name), df, keep)
+
+    def predict_proba(self, df: DataFrame, name: str | None = None, keep: list[str] | None = None) -> DataFrame:
+        return predict_proba(self.model(name), df, keep)
+
+
+def training_history(estimator, train: DataFrame, validation: DataFrame,
+                     iterations=(1, 2, 4, 8, 16, 32)) -> DataFrame:
+    """(iteration, part, loss, accuracy) of a logistic regression, or a pipeline that ends in one,
+    after so many iterations, on the training rows and on rows it has not seen. The optimiser is
+    deterministic, so stopping it earlier gives the state at that iteration."""
+    last = estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
+    train, validation = cut_lineage(train), cut_lineage(validation)
+    out = None
+    for i in iterations:
+        model = estimator.copy({last.maxIter: i}).fit(train)
+        for part, rows in (("train", train), ("validation", validation)):
+            scored = model.transform(rows).select("label", vector_to_array("probability").alias("p"))
+            one = log_loss(scored, "label", "p").select(F.lit(i).alias("iteration"), F.lit(part).alias("part"),
+                                                        "loss", "accuracy")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def fit_pipeline(train: DataFrame, name: str = "lr", fast: bool = True) -> PipelineModel:

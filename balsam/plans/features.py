@@ -172,20 +172,20 @@ def q_baseline_stratified(spark, sf):
     return baseline_stratified(train, test, seed="baseline").select("id", "prediction")
 
 
-_EMB16 = f"""c AS (SELECT doc_id, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % 16 AS b,
+_EMB384 = f"""c AS (SELECT doc_id, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % 384 AS b,
         sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER < 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v
       FROM (SELECT doc_id, unnest({_TOKS}) AS tok FROM documents) GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY doc_id),
 s AS (SELECT doc_id, sum(v / norm) AS s FROM c JOIN n USING (doc_id) WHERE norm > 0 GROUP BY doc_id)"""
 
 
-@query("early_fusion", f"""WITH {_EMB16}
-SELECT d.doc_id, 18 AS n_features, round(coalesce(s.s, 0) + ln(1 + d.n_chars) + CAST(d.lang = 'en' AS INTEGER), 6) AS x_sum
+@query("early_fusion", f"""WITH {_EMB384}
+SELECT d.doc_id, 386 AS n_features, round(coalesce(s.s, 0) + ln(1 + d.n_chars) + CAST(d.lang = 'en' AS INTEGER), 6) AS x_sum
 FROM documents d LEFT JOIN s USING (doc_id)""")
 def q_early_fusion(spark, sf):
-    """Text embedding (16-d hashing) concatenated with structured features."""
+    """Text embedding (384-d hashing) concatenated with structured features."""
     d = table(spark, sf, "documents", "doc_id", "text", "n_chars", "lang")
-    emb = embed_text(d, "text", "doc_id", dim=16)
+    emb = embed_text(d, "text", "doc_id", dim=384)
     fused = d.join(emb, "doc_id").select(
         "doc_id", F.concat("embedding", F.array(F.log1p("n_chars"), (F.col("lang") == "en").cast("double"))).alias("x"))
     return fused.select("doc_id", F.size("x").alias("n_features"),
