@@ -47,6 +47,11 @@ E = ("(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CAST(label = 0 AS
      "FROM embeddings)")
 
 
+#: Embeddings with a target that they determine: about a quarter of the rows are positive.
+L = ("(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CAST(CAST(embedding[1] AS DOUBLE) + embedding[2] "
+     "+ embedding[3] + embedding[4] > 0.15 AS INTEGER) AS target FROM embeddings)")
+
+
 def allocation(counts: str, test_size: float, target: str = "target") -> str:
     """Per-class test counts k (largest-remainder rule) from a (target, n_c) relation."""
     return f"""(SELECT {target}, n_c, n_c - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END) AS k FROM (

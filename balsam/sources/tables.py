@@ -25,6 +25,13 @@ def labelled_documents(spark: SparkSession, sf_dir: str, target: str = "toxic")
                     F.col(target).cast("int").alias("target")))
 
 
+def learnable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L: (id, x array<double>, target): a target that the first four coordinates determine."""
+    x = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(
+        F.col("vec_id").alias("id"), x.alias("x"), (x[0] + x[1] + x[2] + x[3] > 0.15).cast("int").alias("target"))
+
+
 def embedding_set(spark: SparkSession, sf_dir: str, positive_label: int = 0) -> DataFrame:
     """E: (id, x array<double>, target) with target = (label == positive_label)."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")

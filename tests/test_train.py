@@ -37,3 +37,60 @@ def test_nested_cv_and_trainer(spark, tmp_path):
     a = model.transform(df).select("id", "prediction").orderBy("id").collect()
     b = PipelineModel.load(path).transform(df).select("id", "prediction").orderBy("id").collect()
     assert a == b
+
+
+def test_predict_by_name_or_best_and_scoring(spark):
+    df = _data(spark)
+    tr = TR.Trainer(spark, k=2, inner_k=2, scoring="recall_macro", use_scaler=False) \
+        .fit_all(df, models=["lr", "svm"], samplers=["random_oversample"])
+    assert {r["model"] for r in tr.results} == {"lr_random_oversample", "svm_random_oversample"}
+    assert tr.predict(df).count() == 240
+    by_name = tr.predict(df, "svm_random_oversample", ["id"])
+    assert by_name.columns == ["id", "prediction"]
+    with pytest.raises(KeyError):
+        tr.predict(df, "nope")
+
+
+def test_unknown_sampler_and_errors_are_not_swallowed(spark, monkeypatch):
+    df = _data(spark)
+    with pytest.raises(KeyError):
+        TR.nested_cv(df, "lr", "nope", k=2)
+
+    def broken(*a, **k):
+        raise RuntimeError("a Spark error")
+    monkeypatch.setattr(TR, "resample_by_name", broken)
+    with pytest.raises(RuntimeError, match="a Spark error"):
+        TR.nested_cv(df, "lr", "smote", k=2)
+
+
+def test_fold_that_a_sampler_cannot_use_is_left_out(spark, monkeypatch):
+    df, calls = _data(spark), []
+    real = TR.resample_by_name
+
+    def first_fails(*a, **k):
+        calls.append(1)
+        if len(calls) == 1:
+            raise TR.NotApplicable("too few rows")
+        return real(*a, **k)
+    monkeypatch.setattr(TR, "resample_by_name", first_fails)
+    with pytest.warns(UserWarning, match="left out"):
+        assert len(TR.nested_cv(df, "lr", "random_oversample", k=2, inner_k=2).fold_metrics) == 1
+
+
+def test_history_ends_at_the_full_fit(spark):
+    from pyspark.ml.classification import LogisticRegression
+    df = TR.to_ml(_data(spark))
+    h = {(r["iteration"], r["part"]): r for r in TR.training_history(LogisticRegression(), df, df, (1, 4, 16)).collect()}
+    assert h[(1, "train")]["loss"] > h[(4, "train")]["loss"] >= h[(16, "train")]["loss"]
+    assert h[(16, "train")]["loss"] == h[(16, "validation")]["loss"]
+
+
+def test_encoder_is_built_once_per_name():
+    from balsam.operators import text as TX
+    built = []
+
+    def factory():
+        built.append(1)
+        return lambda texts: [[0.0]] * len(texts)
+    assert TX._encoder("one", factory) is TX._encoder("one", factory) and len(built) == 1
+    assert TX._encoder(None, factory) is not TX._encoder(None, factory)
