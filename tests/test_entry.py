@@ -32,3 +32,13 @@ def test_oracle_samples(spark, name):
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(df.columns)
     assert C._rows(df.columns, [tuple(r) for r in df.collect()]) == C._rows(cols, rel.fetchall())
+
+
+def test_entry_works_without_the_training_data_operators(monkeypatch):
+    import importlib.util
+    real = importlib.util.find_spec
+    for gone in ("balsam.llm", "corpus_pipeline"):
+        monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a, gone=gone: None if n == gone else real(n, *a))
+        entry = importlib.import_module("__spark_entry__")
+        q = entry.queries()
+        assert len(q) >= 100 and "pipeline" not in q and "pipeline" not in entry.oracle_sql()
