@@ -1 +1,3 @@
-from balsam.functions.random import uniform, uniform_sql
+from balsam.functions.random import uniform
+
+__all__ = ["uniform"]

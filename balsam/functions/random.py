@@ -25,9 +25,3 @@ def uniform(seed, key) -> Column:
     k = _col(key).cast("string")
     h = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), k))
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52))
-
-
-def uniform_sql(seed, key_sql: str) -> str:
-    """The same draw as DuckDB SQL text (used by the oracle queries)."""
-    return (f"(('0x' || substr(md5('{seed}' || ':' || CAST({key_sql} AS VARCHAR)), 1, 13))::BIGINT"
-            f" / 4503599627370496.0)")

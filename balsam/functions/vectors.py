@@ -15,14 +15,6 @@ def vsum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return vsum(F.zip_with(a, b, lambda x, y: x * y))
-
-
-def sqdist(a: Column, b: Column) -> Column:
-    return vsum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
-
-
 def l2norm(a: Column) -> Column:
     return F.sqrt(vsum(F.transform(a, lambda v: v * v)))
 

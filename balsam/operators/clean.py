@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,14 +9,6 @@ from pyspark.sql import functions as F
 from balsam.functions.text import fill_text as _fill
 from balsam.operators.order import positions
 
-# Columns the reference removes from the raw event table.
-EVENT_DROP_COLUMNS = [
-    "event_id_cnty", "disorder_type", "time_precision", "source", "source_scale",
-    "iso", "country", "timestamp", "geo_precision", "year", "region", "latitude",
-    "longitude", "interaction",
-]
-
-
 def drop_columns(df: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
     """Drop columns; a missing name raises when ``strict`` (Spark alone ignores it)."""
     missing = [c for c in columns if c not in df.columns]
@@ -71,16 +62,6 @@ def expand_embedding(df: DataFrame, column: str, width: int | None = None,
     return df.select("*", *[F.col(column)[i].alias(f"{prefix}_emb_{i}") for i in range(width)])
 
 
-def optional_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    """Keep the names present in ``df``; warn about (and skip) the others."""
-    present = []
-    for c in columns:
-        if c in df.columns:
-            present.append(c)
-        else:
-            warnings.warn(f"Column '{c}' not found in DataFrame; skipped")
-    return present
-
 
 def exclude_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Drop rows whose key is listed (anti join; Catalyst/AQE pick the strategy)."""

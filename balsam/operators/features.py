@@ -90,12 +90,6 @@ def _seeded_hash(j: int):
     return lambda s: F.xxhash64(F.lit(j), s)
 
 
-def terms(text: Column, ngrams: tuple[int, ...] = (1, 2)) -> Column:
-    toks = T.word_tokens(text)
-    parts = [ngrams_of(toks, n) for n in ngrams]
-    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
-
-
 def tfidf(df: DataFrame, text_col: str, key: str, ngrams: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(key, term, tf, idf, tfidf); idf = ln((N + 1) / (df + 1)) as pyspark.ml's IDF."""
     # tokens as a column first: referenced by every n-gram order, evaluated once

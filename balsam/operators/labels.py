@@ -19,8 +19,6 @@ UNATTRIBUTED_ACTORS = [
 ]
 TALIBAN_ACTORS = ["Taliban", "Taliban - Red Unit", "Mutiny of Taliban"]
 ISKP_ACTORS = ["Islamic State Khorasan Province (ISKP)"]
-OTHER_ACTORS = ["Al Qaeda", "HQN: Haqqani Network", "TTP: Tehreek-i-Taliban Pakistan",
-                "LeI: Lashkar-e-Islam"]
 ACTOR_LABELS = {**{a: 0 for a in TALIBAN_ACTORS}, **{a: 1 for a in ISKP_ACTORS}}
 
 # Whole-string tag values of the violence-against-women flag.
@@ -39,14 +37,6 @@ VIOLENCE_AGAINST_WOMEN_TAGS = [
 VIOLENCE_SUB_EVENT = "Sexual violence"
 VIOLENCE_EXCLUDED_TAG = "local administrators"
 
-# The sub_event_type categories known to the reference.
-SUB_EVENT_TYPES = [
-    "Abduction/forced disappearance", "Air/drone strike", "Armed clash", "Attack",
-    "Government regains territory", "Grenade", "Non-state actor overtakes territory",
-    "Remote explosive/landmine/IED", "Sexual violence",
-    "Shelling/artillery/missile attack", "Suicide bomb",
-]
-
 
 def unlabelled_subset(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Rows whose ``column`` is one of ``names`` (exact match; pushed to the scan)."""

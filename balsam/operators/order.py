@@ -123,42 +123,39 @@ HIST_BUCKETS = 1 << 20
 
 
 def lowest_per_group(df: DataFrame, group_col: str, u_col: str, id_col: str,
-                     quota: DataFrame, out: str = "selected",
-                     buckets: int = HIST_BUCKETS) -> DataFrame:
+                     quota, out: str = "selected", buckets: int = HIST_BUCKETS) -> DataFrame:
     """Flag, per group, the ``k`` rows with the smallest (u, id); exact.
 
-    ``quota`` is a small table (group_col, k). ``u_col`` must be uniform on [0, 1)
-    (see :mod:`balsam.functions.random`), which keeps every histogram cell small:
-    the rank is resolved by counting rows per (group, cell), locating the cell that
-    holds the k-th row, and ranking only inside that one cell.
+    ``quota`` is a small table (group_col, k), or a function that makes it from the group counts
+    (group_col, n_c). ``u_col`` must be uniform on [0, 1) (see :mod:`balsam.functions.random`),
+    which keeps every histogram cell small: the rank is resolved by counting rows per (group,
+    cell), locating the cell that holds the k-th row, and ranking only inside that one cell. The
+    rows are read for the histogram and for the cut cells by their three columns, and once in
+    full for the flags; the histogram is written once, and the thresholds, a row per group, are
+    broadcast.
     """
-    b = F.floor(F.col(u_col) * buckets).cast("long")
-    keyed = df.withColumn("__b", b)
-    hist = keyed.groupBy(group_col, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(group_col).orderBy("__b")
-    cum = (hist.withColumn("__cum", F.sum("__n").over(w))
-           .withColumn("__prev", F.col("__cum") - F.col("__n")))
+    cell = F.floor(F.col(u_col) * buckets).cast("long")
+    narrow = df.select(F.col(group_col).alias("g"), F.col(u_col).alias("u"), F.col(id_col).alias("i"), cell.alias("b"))
+    hist = cut_lineage(narrow.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")))
+    if callable(quota):
+        quota = quota(hist.groupBy(F.col("g").alias(group_col)).agg(F.sum("n").alias("n_c")))
+    q = quota.select(F.col(group_col).alias("g"), F.col("k").cast("long").alias("k"))
+    w = Window.partitionBy("g").orderBy("b")
+    cum = hist.withColumn("cum", F.sum("n").over(w)).withColumn("prev", F.col("cum") - F.col("n"))
     # the cell that holds row number k (1-based), and the rank needed inside it
-    cut = (cum.join(F.broadcast(quota.select(group_col, F.col("k").cast("long").alias("__k"))),
-                    group_col)
-           .where((F.col("__prev") < F.col("__k")) & (F.col("__cum") >= F.col("__k")))
-           .select(group_col, F.col("__b").alias("__cut"),
-                   (F.col("__k") - F.col("__prev")).alias("__need")))
-    in_cut = keyed.join(F.broadcast(cut), [keyed[group_col] == cut[group_col],
-                                           keyed["__b"] == cut["__cut"]], "left_semi")
-    rw = Window.partitionBy(group_col).orderBy(u_col, id_col)
-    thr = (in_cut.withColumn("__r", F.row_number().over(rw))
-           .join(F.broadcast(cut), group_col)
-           .where(F.col("__r") == F.col("__need"))
-           .select(group_col, "__cut", F.col(u_col).alias("__tu"), F.col(id_col).alias("__tid")))
+    cut = cut_lineage(cum.join(F.broadcast(q), "g").where((F.col("prev") < F.col("k")) & (F.col("cum") >= F.col("k")))
+                      .select("g", F.col("b").alias("cut"), (F.col("k") - F.col("prev")).alias("need")))
+    inside = narrow.join(F.broadcast(cut), "g").where(F.col("b") == F.col("cut"))
+    rw = Window.partitionBy("g").orderBy("u", "i")
+    thr = inside.withColumn("r", F.row_number().over(rw)).where(F.col("r") == F.col("need")) \
+        .select("g", "cut", F.col("u").alias("tu"), F.col("i").alias("ti"))
     # groups whose k covers every row (or is 0) have no cut cell
-    q = quota.select(group_col, F.col("k").cast("long").alias("__k"))
-    flagged = (keyed.join(F.broadcast(q), group_col, "left")
-               .join(F.broadcast(thr), group_col, "left"))
-    sel = (F.when(F.coalesce(F.col("__k"), F.lit(0)) <= 0, F.lit(False))
-           .when(F.col("__cut").isNull(), F.lit(True))
-           .when(F.col("__b") < F.col("__cut"), F.lit(True))
-           .when(F.col("__b") > F.col("__cut"), F.lit(False))
-           .otherwise((F.col(u_col) < F.col("__tu"))
-                      | ((F.col(u_col) == F.col("__tu")) & (F.col(id_col) <= F.col("__tid")))))
-    return flagged.withColumn(out, sel).drop("__b", "__k", "__cut", "__tu", "__tid")
+    limits = q.join(thr, "g", "left").select(F.col("g").alias("__g"), F.struct("k", "cut", "tu", "ti").alias("__limit"))
+    flagged = df.join(F.broadcast(limits), F.col(group_col) == F.col("__g"), "left").drop("__g")
+    lim = lambda c: F.col(f"__limit.{c}")
+    sel = (F.when(F.coalesce(lim("k"), F.lit(0)) <= 0, F.lit(False))
+           .when(lim("cut").isNull(), F.lit(True))
+           .when(cell < lim("cut"), F.lit(True))
+           .when(cell > lim("cut"), F.lit(False))
+           .otherwise((F.col(u_col) < lim("tu")) | ((F.col(u_col) == lim("tu")) & (F.col(id_col) <= lim("ti")))))
+    return flagged.withColumn(out, sel).drop("__limit")

@@ -63,8 +63,8 @@ class PopulationScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultP
 
 
 class FunctionTransformer(Transformer):
-    """Custom ``df -> df`` step (optionally with an inverse). Stateless, so a fresh
-    copy per fold is trivially the same object."""
+    """A stage that applies a caller's ``df -> df`` function, with the way back if there is one.
+    It has no fitted state, so each fold's copy does the same."""
 
     def __init__(self, func: Callable[[DataFrame], DataFrame],
                  inverse: Callable[[DataFrame], DataFrame] | None = None):
@@ -76,7 +76,7 @@ class FunctionTransformer(Transformer):
 
     def inverse(self, dataset: DataFrame) -> DataFrame:
         if self.inverse_func is None:
-            raise NotImplementedError("No inverse function provided")
+            raise NotImplementedError("this step was built without a way back")
         return self.inverse_func(dataset)
 
 

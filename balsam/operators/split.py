@@ -46,8 +46,7 @@ def stratified_split(df: DataFrame, id_col: str = "id", target: str = "target",
                      out: str = "is_test") -> DataFrame:
     """Add a boolean ``is_test``: per class the k rows with the smallest u(seed, id)."""
     keyed = df.withColumn("__u", uniform(seed, F.col(id_col)))
-    quota = allocate(class_counts(df, target), target, test_size)
-    return lowest_per_group(keyed, target, "__u", id_col, quota, out).drop("__u")
+    return lowest_per_group(keyed, target, "__u", id_col, lambda c: allocate(c, target, test_size), out).drop("__u")
 
 
 def train_test(df: DataFrame, materialize: bool = True, **kw) -> tuple[DataFrame, DataFrame]:

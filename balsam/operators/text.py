@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from balsam.functions import text as T
 
 
+def optional_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Keep the names present in ``df``; warn about (and skip) the others."""
+    present = []
+    for c in columns:
+        if c in df.columns:
+            present.append(c)
+        else:
+            warnings.warn(f"Column '{c}' not found in DataFrame; skipped")
+    return present
+
+
 def mask_text(df: DataFrame, columns: list[str], mask_entities: bool = True,
               mask_locations: bool = True, group_patterns: list[str] = T.GROUP_NAME_PATTERNS,
               location_terms: list[str] | None = None, fill: bool = True) -> DataFrame:
@@ -22,10 +33,7 @@ def mask_text(df: DataFrame, columns: list[str], mask_entities: bool = True,
     """
     terms = T.PROVINCE_NAMES if location_terms is None else location_terms
     out = df
-    for c in columns:
-        if c not in df.columns:
-            warnings.warn(f"Column '{c}' not found in DataFrame; skipped")
-            continue
+    for c in optional_columns(df, columns):
         e = T.fill_text(F.col(c)) if fill else F.col(c)
         if mask_entities:
             e = T.mask_patterns_ordered(e, group_patterns)

@@ -24,6 +24,7 @@ from balsam.operators.text import embed_text, mask_text
 from balsam.plans.registry import query
 from balsam.plans.sql import E, L, W, mask_chain, normalize_ws, split_flags
 from balsam.session import cut_lineage, scratch_path
+from balsam.streaming import masked_stream, run_to_table, score_stream
 from balsam.sources.tables import embedding_set, labelled_documents, learnable_set, table
 
 SEED = "42"
@@ -263,6 +264,18 @@ def q_score_unlabelled(spark, sf):
                     (F.abs(F.col("entropy") + plogp(p) + plogp(1 - p)) < 1e-6).alias("entropy_follows"))
 
 
+@query("stream_score", "SELECT doc_id AS id, true AS same_as_batch FROM documents")
+def q_stream_score(spark, sf):
+    """The fitted text model applied to a stream of the documents; equal to the batch scores."""
+    model, _, _ = _text_model(spark, sf)
+    schema = table(spark, sf, "documents", "doc_id", "text").schema
+    stream = masked_stream(spark, sf, schema, ["text"], glob="documents.parquet").withColumnRenamed("doc_id", "id")
+    got = run_to_table(score_stream(stream, model, ["id"]).select("id", "score"), "score")
+    docs = mask_text(table(spark, sf, "documents", "doc_id", "text"), ["text"]).withColumnRenamed("doc_id", "id")
+    batch = S.predict_proba(model, docs, ["id"]).select("id", F.col("score").alias("batch"))
+    return got.join(batch, "id").select("id", (F.col("score") == F.col("batch")).alias("same_as_batch"))
+
+
 @query("model_roundtrip", f"SELECT id, target, {_HOLDS}, true AS same_as_before FROM {_TEST}")
 def q_model_roundtrip(spark, sf):
     """Fitted pipeline saved to the shared folder, loaded back, used for scoring."""

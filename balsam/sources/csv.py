@@ -22,7 +22,6 @@ _CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
     "escape": '"',
-    "multiLine": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
@@ -39,15 +38,18 @@ def normalise_na(df: DataFrame, columns: list[str] | None = None,
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str,
-             na_tokens: list[str] | None = PANDAS_NA_TOKENS) -> DataFrame:
+             na_tokens: list[str] | None = PANDAS_NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """CSV scan with an explicit schema; string NA tokens normalised to null.
 
+    Cells with line breaks need ``multi_line``, which makes one task of each file; files without
+    such cells are split over tasks with ``multi_line=False``.
+
     Non-string columns are read as strings first and cast after NA removal, so a
     token such as ``NA`` in an int column gives null rather than a parse error.
     """
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     as_text = StructType([type(f)(f.name, StringType(), True) for f in target.fields])
-    raw = spark.read.options(**_CSV_OPTIONS).schema(as_text).csv(path)
+    raw = spark.read.options(**_CSV_OPTIONS).option("multiLine", multi_line).schema(as_text).csv(path)
     if na_tokens is not None:
         raw = normalise_na(raw, tokens=na_tokens)
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
