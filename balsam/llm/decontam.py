@@ -10,7 +10,7 @@ Beyond that the hashes of all windows are exploded and joined with the n-grams b
 rows that come out are the same.
 
 Cases: a null or empty text has no words, no hits and is kept; an empty benchmark hits nothing;
-an item without words is no window; repeated rows and equal or null keys are rows of their own;
+an item without words is no window, and one without an id hits but is not listed; repeated rows and equal or null keys are rows of their own;
 further columns of any name stay as they are.
 """
 
@@ -127,12 +127,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_
     rid = "id"
     base = base.select(F.struct("rid", "key").alias(rid), "w")
     rows = _with_windows(base, rid, "w", grams)
-    table = grams.table.select("len", "window", F.col("item").cast("string").alias("item"))
+    table = grams.table.select("len", "window", F.col("item").cast("string").alias("item"), F.lit(True).alias("hit"))
     if grams.small:
         table = F.broadcast(table)
     rows = rows.join(table, ["len", "window"], "left")
     found = rows.groupBy(rid, "n").agg(
-        F.collect_set(F.when(F.col("item").isNotNull(), F.struct("pos", "len"))).alias("spans"),
+        F.collect_set(F.when(F.col("hit"), F.struct("pos", "len"))).alias("spans"),
         F.sort_array(F.collect_set("item")).alias("items"))
     return found.select(F.col(f"{rid}.key").alias(key), F.col("n").alias("n_words"),
                         F.size(_covered(F.col("spans"))).cast("long").alias("n_hit"), "items")

@@ -26,7 +26,7 @@ def brute(docs, items, n=10):
             for p in range(len(w) - k + 1):
                 found = grams.get(tuple(w[p:p + k]))
                 if found:
-                    ids |= found
+                    ids |= found - {"None"}
                     hit |= set(range(p, p + k))
         out.append((key, len(w), len(hit), tuple(sorted(ids))))
     return sorted(out, key=repr)
@@ -37,8 +37,8 @@ def case():
     rnd = random.Random(4)
     vocab = ["Alpha", "beta", "ГАММА", "Été", "delta9", "e", "f"]
     text = lambda n: "".join(rnd.choice(vocab) + rnd.choice([" ", ", ", "\n", "--", " ¿"]) for _ in range(n))
-    items = [(i, text(rnd.randint(1, 30))) for i in range(12)] + [(90, "two words"), (91, ""), (92, None), (10, "...")]
-    docs = [(i, text(rnd.randint(0, 80)) + rnd.choice(["", items[i % 12][1], "x two WORDS y"]) + text(3))
+    items = [(i, text(rnd.randint(1, 30))) for i in range(12)] + [(90, "two words"), (91, ""), (92, None), (10, "..."), (None, "alpha beta without an id")]
+    docs = [(i, text(rnd.randint(0, 80)) + rnd.choice(["", items[i % 12][1], "x two WORDS y", "x Alpha; beta without-an id"]) + text(3))
             for i in range(60)]
     docs += [(1, docs[1][1]), (1, docs[1][1]), (None, items[0][1]), (200, None), (201, ""), (202, " .,;"),
              (203, items[3][1] * 400)]
