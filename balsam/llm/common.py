@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +59,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int, k
         .orderBy(F.xxhash64(key), key).limit(limit)
     return docs.select(key, text_col).join(F.broadcast(ids), key) \
         .select(F.col(text_col).alias("text"), F.col("y__").alias("y"), F.xxhash64(key).alias("h"))
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """``fit`` of all ``rows``, which a parameter of the caller bounds, run in one task in the order
+    of the columns; only the model comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(data))], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).sortWithinPartitions(*rows.columns).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0][0])) if got else fit([])

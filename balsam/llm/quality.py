@@ -2,7 +2,7 @@
 
 Every word gives its hashed form, its hashed character n-grams and a hashed pair with the next
 word. Each hash has a learned vector; a document is the mean of the vectors of all its features,
-and a softmax over two classes reads it. Vectors and softmax are fitted on the driver by plain
+and a softmax over two classes reads it. Vectors and softmax are fitted in one task by plain
 stochastic gradient descent in numpy, on at most ``max_rows`` labelled documents (whole texts,
 sent as feature counts).
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balsam.llm.common import training_rows
+from balsam.llm.common import fitted, training_rows
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -126,15 +126,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
         for batch in batches:
             found = [document_features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()),
+                [batch.column(2), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()),
                  pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()),
-                 batch.column(1), batch.column(2)], names=["ids", "n", "y", "h"])
+                 batch.column(1)], names=["h", "ids", "n", "y"])
 
-    got = training_rows(docs, labels, target, max_rows, key, text_col) \
-        .mapInArrow(run, "ids binary, n binary, y int, h long").orderBy("h").toArrow()
-    rows = [(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32), 1 if y > 0 else 0)
-            for i, n, y in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist())]
-    return fit([r for r in rows if len(r[0])])
+    def all_rows(data: list[dict]) -> Model:
+        return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32), 1 if r["y"] > 0 else 0)
+                    for r in data if r["ids"]])
+
+    sample = training_rows(docs, labels, target, max_rows, key, text_col)
+    return fitted(sample.mapInArrow(run, "h long, ids binary, n binary, y int"), all_rows)
 
 
 class Scorer:

@@ -3,7 +3,7 @@
 A text is the set of its lower-cased letter runs and of their beginnings of four and five letters
 (so that inflected forms count). Weights are learned by the per-coordinate
 follow-the-regularised-leader rule, whose l1 part keeps the many words that tell nothing at zero,
-on at most ``max_rows`` labelled documents and the labelled sentences below. In each sentence and
+in one task on at most ``max_rows`` labelled documents and the labelled sentences below. In each sentence and
 document with an identity term, the term is swapped for others; the square of the change in the
 score is penalised, so that no group's name raises a score by itself.
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from balsam.llm.common import training_rows
+from balsam.llm.common import fitted, training_rows
 
 #: Words remembered by a task; a memory bound without effect on results.
 CACHE = 500_000
@@ -175,15 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: i
     """Fit on at most ``max_rows`` labelled documents that are not held out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.array([word_hash(w) for w in forms(word_set(t.as_py()))], np.int64).tobytes()
+            sets = [np.array(sorted(word_hash(w) for w in forms(word_set(t.as_py()))), np.int64).tobytes()
                     for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), batch.column(1), batch.column(2)],
-                                             names=["words", "y", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sets, pa.binary()), batch.column(1)],
+                                             names=["h", "words", "y"])
 
-    got = training_rows(docs, labels, target, max_rows, key, text_col) \
-        .mapInArrow(run, "words binary, y int, h long").orderBy("h").toArrow()
-    return fit([(np.sort(np.frombuffer(x, np.int64)), 1 if y > 0 else 0)
-                for x, y in zip(got.column(0).to_pylist(), got.column(1).to_pylist())])
+    def all_rows(data: list[dict]) -> Model:
+        return fit([(np.sort(np.frombuffer(r["words"], np.int64)), 1 if r["y"] > 0 else 0) for r in data])
+
+    sample = training_rows(docs, labels, target, max_rows, key, text_col)
+    return fitted(sample.mapInArrow(run, "h long, words binary, y int"), all_rows)
 
 
 class _Weights(dict):
