@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from balsam.functions.vectors import vsum
 from balsam.operators import resample as RS
 from balsam.operators.knn import knn, knn_approx
-from balsam.plans.registry import query
+from balsam.plans.registry import ORACLES, query
 from balsam.plans.sql import E, U
 from balsam.sources.tables import embedding_set
 
@@ -78,11 +78,21 @@ def q_knn_exact_blocked(spark, sf):
 
 @query("knn_approx")
 def q_knn_approx(spark, sf):
-    """LSH candidates, top 5 per row; checked for recall in the tests."""
+    """The nearest cells only, top 5 per row."""
     e = embedding_set(spark, sf)
     return knn_approx(e, e, K)
 
 
+@query("knn_approx_recall", f"SELECT count(*) AS n, true AS recall_from_90 FROM {E}")
+def q_knn_approx_recall(spark, sf):
+    """Recall of the approximate search against the exact one over all rows."""
+    e = embedding_set(spark, sf)
+    exact = knn(e, e, K).select("q_id", "nn_id")
+    found = knn_approx(e, e, K).select("q_id", "nn_id", F.lit(1).alias("hit"))
+    per = exact.join(found, ["q_id", "nn_id"], "left").groupBy("q_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r"))
+    return per.agg(F.count(F.lit(1)).alias("n"), (F.avg("r") >= 0.9).alias("recall_from_90"))
+
+
 @query("random_oversample", f"""WITH {_BASE},
 syn AS (SELECT -(d.g + 1) AS id, b.x, 1 AS target, b.id AS base_id, NULL::BIGINT AS nn_id, NULL::DOUBLE AS step
   FROM {_draws_sql('(SELECT nmaj - nmin FROM cnt)', '(SELECT nmin FROM cnt)')} d JOIN mino b ON b.pos = d.bpos)
@@ -135,6 +145,25 @@ def q_svm_smote(spark, sf):
     return _out(RS.svm_smote(embedding_set(spark, sf), K, 10, SEED))
 
 
+@query("svm_smote_checked", f"""WITH c AS (SELECT count(*) FILTER (WHERE target = 1) AS nmin, count(*) FILTER (WHERE target = 0) AS nmaj FROM {E})
+SELECT CAST(-(g + 1) AS BIGINT) AS id, true AS on_line, true AS from_minority
+FROM (SELECT unnest(range((SELECT nmaj - nmin FROM c))) AS g)""")
+def q_svm_smote_checked(spark, sf):
+    """Every new row of SVM-SMOTE: its id, whether it lies on the line through its base and
+    neighbour at the drawn step (towards the neighbour, or half as far away from it), and whether
+    both are minority rows. There are as many as the classes differ by."""
+    e = embedding_set(spark, sf)
+    new = RS.svm_smote(e, K, 10, SEED).where("id < 0")
+    rows = lambda p: e.select(F.col("id").alias(f"{p}_id"), F.col("x").alias(f"{p}_x"), F.col("target").alias(f"{p}_t"))
+    j = new.join(rows("base"), "base_id").join(rows("nn"), "nn_id")
+    off = lambda scale: F.aggregate(F.zip_with(
+        F.zip_with("x", "base_x", lambda x, b: x - b),
+        F.zip_with(F.zip_with("nn_x", "base_x", lambda n, b: n - b), F.array_repeat("step", F.size("x")), lambda d, t: d * t * scale),
+        lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
+    return j.select("id", (F.least(off(1.0), off(-0.5)) < 1e-9).alias("on_line"),
+                    ((F.col("base_t") == 1) & (F.col("nn_t") == 1)).alias("from_minority"))
+
+
 def _edit_sql(rel_ctes: str, src: str) -> str:
     return f"""{rel_ctes},
 {_nn_sql('nn3', src, src, 3)},
@@ -179,7 +208,15 @@ def q_resample_by_name(spark, sf):
     return r.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("resample_summary")
+_BY_METHOD = {"random_oversample": "random_oversample", "smote": "smote", "adasyn": "adasyn",
+              "borderline_smote": "borderline_smote", "smote_enn": "smote_enn", "smote_tomek": "smote_tomek"}
+
+
+@query("resample_summary", " UNION ALL ".join(
+    [f"SELECT '{m}' AS method, target, CAST(count(*) AS BIGINT) AS n FROM ({ORACLES[q]}) GROUP BY target"
+     for m, q in _BY_METHOD.items()]
+    + [f"""SELECT 'svm_smote' AS method, CAST(unnest([0, 1]) AS INTEGER) AS target,
+  (SELECT count(*) FROM {E} WHERE target = 0) AS n"""]))
 def q_resample_summary(spark, sf):
-    """Class counts after each of the seven methods (svm_smote has no SQL twin)."""
+    """Class counts after each of the seven methods."""
     return RS.resample_summary(embedding_set(spark, sf), seed=SEED)
