@@ -15,7 +15,7 @@ from balsam.plans.evaluation import macro_sql
 from balsam.plans.registry import query
 from balsam.plans.sql import E, U, W, normalize_ws, split_flags
 from balsam.plans.text_plans import _TOKS
-from balsam.sources.tables import embedding_set, labelled_documents, table
+from balsam.sources.tables import embedding_set, labelled_documents, learnable_set, table
 
 SEED = "42"
 
@@ -286,15 +286,27 @@ def q_slice_metrics(spark, sf):
     return m.select("lang", _r("f1_macro"), _r("accuracy"), "n")
 
 
-@query("feature_importance")
+_TOP4 = """SELECT CAST(f AS INTEGER) AS {name}, true AS valid, f < 4 AS among_first_four FROM (
+  SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS f)"""
+
+
+def _ranked(df, name: str, value: str):
+    """(name, valid, among_first_four): is the value one of the four largest. A row per coordinate."""
+    rows = sorted(((float(r[value]), -int(r[name])) for r in df.select(name, value).collect()), reverse=True)
+    top = {-i for _, i in rows[:4]}
+    return df.sparkSession.createDataFrame(
+        [(-i, -1.0 <= v <= 1.0, -i in top) for v, i in rows], f"{name} int, valid boolean, among_first_four boolean")
+
+
+@query("feature_importance", _TOP4.format(name="feature"))
 def q_feature_importance(spark, sf):
-    """Random-forest importances per embedding coordinate."""
+    """Random-forest importances per coordinate; the four that make the target come first."""
     from balsam.operators import train as TR
-    e = embedding_set(spark, sf)
-    tr, _ = split.train_test(e, test_size=0.4, seed=SEED)
+    tr, _ = split.train_test(learnable_set(spark, sf), test_size=0.4, seed=SEED)
     model = TR.fit_pipeline(tr, "rfc")
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(enumerate(float(v) for v in imp)), "feature int, importance double")
+    return _ranked(spark.createDataFrame(list(enumerate(float(v) for v in imp)), "feature int, importance double"),
+                   "feature", "importance")
 
 
 @query("exemplars", f"""WITH s AS {split_flags(E, 0.4, SEED)},
@@ -346,12 +358,13 @@ def q_missing_text_sensitivity(spark, sf):
     return m.select("short_text", _r("f1_macro"), _r("recall_macro"), "n")
 
 
-@query("permutation_importance")
+@query("permutation_importance", _TOP4.format(name="dim"))
 def q_permutation_importance(spark, sf):
-    """Macro-F1 drop per permuted embedding coordinate, all coordinates in one pass."""
+    """Macro-F1 drop per permuted coordinate, all coordinates in one pass; the four that make the
+    target come first."""
     from balsam.operators import train as TR
-    e = embedding_set(spark, sf)
+    e = learnable_set(spark, sf)
     tr, te = split.train_test(e, test_size=0.4, seed=SEED)
     model = TR.fit_pipeline(tr, "lr")
     dims = int(e.select(F.max(F.size("x"))).first()[0])
-    return FT.permutation_importance(model, te, dims, seed=SEED)
+    return _ranked(FT.permutation_importance(model, te, dims, seed=SEED), "dim", "importance")
