@@ -61,12 +61,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int, k
         .select(F.col(text_col).alias("text"), F.col("y__").alias("y"), F.xxhash64(key).alias("h"))
 
 
-def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+def give_back() -> None:
+    """Return freed memory of this worker process to the host; Spark reuses workers, and what one
+    task had at its peak would stay with the process for the stages that follow."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """``fit`` of all ``rows``, which a parameter of the caller bounds, run in one task in the order
-    of the columns; only the model comes to the driver."""
+    of the columns; only the model comes to the driver. Without rows ``fit`` gets None."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [r for b in batches for r in b.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(data))], pa.binary())], names=["model"])
+        got = list(batches)
+        model = pickle.dumps(fit(pa.Table.from_batches(got) if got else None))
+        got.clear()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     got = rows.repartition(1).sortWithinPartitions(*rows.columns).mapInArrow(run, "model binary").collect()
-    return pickle.loads(bytes(got[0][0])) if got else fit([])
+    return pickle.loads(bytes(got[0][0])) if got else fit(None)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from balsam.llm.common import give_back
 from balsam.llm.components import components
 from balsam.session import scratch_path
 
@@ -41,7 +42,7 @@ SMALL, FINE, COARSE = 1_000, 65_536, 2_048
 #: Standard deviations by which a screened pair may exceed the threshold's expectation.
 MARGIN = 5.0
 #: Words remembered by a task; the memory bound of the cache, without effect on results.
-CACHE = 400_000
+CACHE = 150_000
 #: Up to so many node ids go to all executors instead of shuffling the texts for them.
 MAX_BROADCAST = 2_000_000
 
@@ -125,6 +126,8 @@ def _sketcher(shingle: int, percent: int, bands: int, rows: int, seed: int):
                      _bitmaps(sets, FINE, [0 < len(s) <= SMALL for s in sets]),
                      _bitmaps(sets, COARSE, [100 * len(s) > percent * SMALL for s in sets])],
                     names=["key", "n", "digest", "bands", "fine", "coarse"])
+        del cache
+        give_back()
     return run
 
 
@@ -143,6 +146,8 @@ def _confirm(shingle: int, percent: int):
                 keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        del cache
+        give_back()
     return run
 
 
@@ -283,6 +288,8 @@ def _of_digest(shingle: int):
                     for t, d in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)],
                                              names=["v", "text"]).filter(pa.array(same, pa.bool_()))
+        del cache
+        give_back()
     return run
 
 

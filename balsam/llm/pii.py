@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from balsam.llm.common import give_back
+
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
 LABELS = ("O", "B-name", "I-name", "B-secret", "I-secret")
 MAX_LABELLED = 10_000
 #: Words remembered by a task; a memory bound without effect on results.
-CACHE = 300_000
+CACHE = 150_000
 
 #: Labelled lines: [kind words].
 LABELLED = """
@@ -444,6 +446,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
                 rows = [[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(rows, pa.list_(item))], names=["key", "spans"])
+        del decoder
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text_col).mapInArrow(
@@ -472,5 +476,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", model: Crf | None = None)
                 cols = [part.column(i) for i in range(part.num_columns)]
                 cols[at_col] = pa.array(out, cols[at_col].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+        del decoder
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balsam.llm.common import fitted, training_rows
+from balsam.llm.common import fitted, give_back, training_rows
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 #: Words remembered by a task; a memory bound without effect on results.
-CACHE = 400_000
+CACHE = 150_000
 _P, _Q = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -130,9 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
                  pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()),
                  batch.column(1)], names=["h", "ids", "n", "y"])
 
-    def all_rows(data: list[dict]) -> Model:
-        return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32), 1 if r["y"] > 0 else 0)
-                    for r in data if r["ids"]])
+    def all_rows(data: pa.Table | None) -> Model:
+        if data is None:
+            return fit([])
+        # views of the column's own memory, not copies
+        ids, n = ([np.frombuffer(x.as_buffer(), np.int32) for x in data.column(c)] for c in ("ids", "n"))
+        return fit([(i, k, 1 if y > 0 else 0) for i, k, y in zip(ids, n, data.column("y").to_pylist()) if len(i)])
 
     sample = training_rows(docs, labels, target, max_rows, key, text_col)
     return fitted(sample.mapInArrow(run, "h long, ids binary, n binary, y int"), all_rows)
@@ -179,6 +182,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scorer(part.column(1).to_pylist()), pa.float64())],
                     names=["key", "score"])
+        del scorer
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text_col).mapInArrow(run, f"key {kind}, score double") \

@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from balsam.llm.common import fitted, training_rows
+from balsam.llm.common import fitted, give_back, training_rows
 
 #: Words remembered by a task; a memory bound without effect on results.
-CACHE = 500_000
+CACHE = 150_000
 
 #: Identity terms; those of a line are swapped for one another.
 IDENTITY = """
@@ -132,7 +132,7 @@ def fit(rows: list[tuple[np.ndarray, int]], min_docs: int = 3, epochs: int = 6,
     data = []
     for (h, y), weight in [(r, 1.0) for r in rows] + [(r, sentence_weight) for r in own]:
         ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-        ids = np.searchsorted(known, h[ok])
+        ids = np.searchsorted(known, h[ok]).astype(np.int32)
         pairs = swaps(set(h[np.isin(h, term)].tolist()), groups)
         data.append((ids, y, weight, np.searchsorted(known, np.array(pairs, np.int64).reshape(-1, 2))))
     z, n, w = np.zeros(len(known)), np.zeros(len(known)), np.zeros(len(known))
@@ -180,8 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: i
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sets, pa.binary()), batch.column(1)],
                                              names=["h", "words", "y"])
 
-    def all_rows(data: list[dict]) -> Model:
-        return fit([(np.sort(np.frombuffer(r["words"], np.int64)), 1 if r["y"] > 0 else 0) for r in data])
+    def all_rows(data: pa.Table | None) -> Model:
+        if data is None:
+            return fit([])
+        # views of the column's own memory, not copies
+        return fit([(np.frombuffer(x.as_buffer(), np.int64), 1 if y > 0 else 0)
+                    for x, y in zip(data.column("words"), data.column("y").to_pylist())])
 
     sample = training_rows(docs, labels, target, max_rows, key, text_col)
     return fitted(sample.mapInArrow(run, "h long, words binary, y int"), all_rows)
@@ -219,6 +223,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "t
             got = scores(batch.column(1).to_pylist(), weights, model.bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())],
                                              names=["key", "score"])
+        del weights
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text_col).mapInArrow(run, f"key {kind}, score double") \
@@ -234,5 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for batch in batches:
             got = scores(batch.column(at).to_pylist(), weights, model.bias)
             yield batch.filter(pa.array(got < threshold))
+        del weights
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
