@@ -20,7 +20,8 @@ With the defaults a pair at similarity 0.8 shares no key with probability (1 - 0
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole word sequence as its one shingle; equal keys
-are separate rows; a null key joins the groups but is nobody's representative unless alone.
+are separate rows; a null key joins the groups, and a row without one represents a group only if
+no row of the group has a key.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from balsam.llm.common import give_back
+from balsam.llm.common import free_name, give_back
 from balsam.llm.components import components
 from balsam.session import scratch_path
 
@@ -182,13 +183,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     Documents are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of
     ``shingle``-word shingles.
     """
-    spark = docs.sparkSession
+    rows_of, of_node = _groups(docs, key, text_col, shingle, percent, bands, rows, seed)
+    return rows_of.join(of_node, "digest", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "key").alias("component_id"))
+
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
+
+def _groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
+            bands: int = 48, rows: int = 6, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """(key, n, digest) of each row, the digest null without words, and (digest, label, component_id)
+    of each set: its group and the smallest key of the group, null if no row of it has a key."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     rows_of = kept(texts.mapInArrow(
@@ -244,10 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     of_node = nodes.select("v", "digest", "key").join(label, "v", "left") \
         .select("digest", "key", F.coalesce("label", "v").alias("label"))
     smallest = of_node.groupBy("label").agg(F.min("key").alias("component_id"))
-    of_node = of_node.join(smallest, "label").select("digest", "component_id")
-    return rows_of.select("key", "n", "digest").join(of_node, "digest", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "key").alias("component_id"))
+    return rows_of.select("key", "n", "digest"), of_node.join(smallest, "label").select("digest", "label", "component_id")
 
 
 def _node_texts(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -293,14 +301,50 @@ def _of_digest(shingle: int):
     return run
 
 
-def keep_representatives(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest key (any row of equal keys and
-    equal sets). Rows without words stay."""
-    found = near_duplicates(docs, key=key, **options)
-    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs[key].eqNullSafe(gone[key]), "left_anti")
-    if found.filter(F.col("n_shingles") > 0).groupBy(key).count().filter("count > 1").isEmpty():
+def _row_digest(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        for batch in batches:
+            sets = (_shingles(t.as_py(), shingle, cache) for t in batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())],
+                names=["row", "digest"])
+        del cache
+        give_back()
+    return run
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                         **options) -> DataFrame:
+    """``docs`` with exactly one row of each group: that with the smallest key (any row of equal
+    keys, or of rows without a key). Rows without words stay.
+
+    A key that only one row has tells whether that row goes. The rows of the other keys, and those
+    without a key, are written with a row id and decided one by one by their own texts.
+    """
+    rows_of, of_node = _groups(docs, key, text_col, shingle, **options)
+    often = kept(rows_of.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+                 .filter("rows > 1").select("key"), "odd-often")
+    found = rows_of.filter("key is not null").join(of_node, "digest")
+    gone = kept(found.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select("key").union(often).distinct(),
+                "odd-gone")
+
+    def ids(x: DataFrame) -> DataFrame:
+        x = x.withColumnRenamed("key", key)
+        return F.broadcast(x) if x.count() <= MAX_BROADCAST else x
+
+    out = docs.filter(F.col(key).isNotNull()).join(ids(gone), key, "left_anti").select(*docs.columns)
+    lone = rows_of.filter("key is null")
+    if often.isEmpty() and lone.isEmpty():
         return out
-    return out.dropDuplicates([key, options.get("text_col", "text")])
+    row = free_name(docs, "row__")
+    unclear = docs.filter(F.col(key).isNotNull()).join(ids(often), key, "left_semi").select(*docs.columns) \
+        .union(docs.filter(F.col(key).isNull()))
+    unclear = kept(unclear.withColumn(row, F.monotonically_increasing_id()), "odd-unclear")
+    digest = kept(unclear.select(row, text_col).mapInArrow(_row_digest(shingle), "row long, digest binary"),
+                  "odd-row-digests")
+    of_row = digest.join(of_node, "digest").join(
+        unclear.select(F.col(row).alias("row"), F.col(key).alias("key")), "row")
+    first = of_row.filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("row").alias("row"))
+    stay = digest.filter("digest is null").select("row").union(first.select("row")).withColumnRenamed("row", row)
+    return out.union(unclear.join(stay, row, "left_semi").select(*docs.columns))

@@ -80,6 +80,24 @@ def test_representatives(spark, docs):
     assert out.filter("text is null or trim(text) = ''").count() >= 2
 
 
+def test_representatives_are_rows_not_keys(spark):
+    rnd = random.Random(3)
+    text = {n: " ".join(f"{n}{rnd.randrange(10**6)}" for _ in range(60)) for n in "abcdefg"}
+    near = {n: t + " tail" for n, t in text.items()}
+    rows = [(1, text["a"]), (None, near["a"]),  # a copy without a key goes, alone of the rows without one
+            (None, text["b"]), (None, near["b"]), (None, text["b"]),  # one of these stays
+            (None, text["c"]), (None, None), (None, " "),
+            (7, near["a"]), (7, text["d"]),  # a key with a copy and a text of its own
+            (8, text["e"]), (8, near["e"]), (8, text["e"]),  # copies of one key
+            (9, ""), (9, ""), (9, text["f"]), (10, near["f"]),
+            (11, text["g"]), (12, near["g"])]
+    d = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, key string")
+    got = [(r["doc_id"], r["text"]) for r in M.keep_representatives(d).collect()]
+    stems = sorted((str(k), t.split()[0][:1] if t and t.strip() else "") for k, t in got)
+    assert stems == sorted([("1", "a"), ("None", "b"), ("None", "c"), ("None", ""), ("None", ""), ("7", "d"),
+                            ("8", "e"), ("9", ""), ("9", ""), ("9", "f"), ("11", "g")])
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
