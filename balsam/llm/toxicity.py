@@ -5,7 +5,9 @@ A text is the set of its lower-cased letter runs and of their beginnings of four
 follow-the-regularised-leader rule, whose l1 part keeps the many words that tell nothing at zero,
 in one task on at most ``max_rows`` labelled documents and the labelled sentences below. In each sentence and
 document with an identity term, the term is swapped for others; the square of the change in the
-score is penalised, so that no group's name raises a score by itself.
+score is penalised, so that no group's name raises a score by itself. The beginnings of identity
+terms are no features, of whatever word, so a term counts by its whole word alone and the swap
+reaches all of its weight.
 
 Words are known by 64-bit hashes and only by those of the sample that occur in ``min_docs``
 documents, so a clean text is not rejected for a word that shares a bucket.
@@ -95,6 +97,21 @@ def identity_groups() -> list[list[str]]:
     return [line.split() for line in IDENTITY.split("\n")]
 
 
+def identity_classes() -> list[list[str]]:
+    """The lines of terms, those that have a term in common as one."""
+    out: list[set[str]] = []
+    for g in identity_groups():
+        meet = [c for c in out if not c.isdisjoint(g)]
+        out = [c for c in out if c.isdisjoint(g)] + [set(g).union(*meet)]
+    return [sorted(c) for c in out]
+
+
+def identity_stems() -> set[str]:
+    """The beginnings of all identity terms."""
+    terms = {w for g in identity_groups() for w in g}
+    return forms(terms) - terms
+
+
 def labelled_sentences() -> list[tuple[set[str], int]]:
     """Each sentence with each identity term of its language."""
     groups = identity_groups()
@@ -129,6 +146,7 @@ def fit(rows: list[tuple[np.ndarray, int]], min_docs: int = 3, epochs: int = 6,
         known = np.union1d(known, seen[times >= min_docs])
     term = np.array(sorted(w for g in groups for w in g), np.int64)
     known = np.union1d(known, term)
+    known = np.setdiff1d(known, np.array([word_hash(x) for x in identity_stems()], np.int64))
     data = []
     for (h, y), weight in [(r, 1.0) for r in rows] + [(r, sentence_weight) for r in own]:
         ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
@@ -156,15 +174,15 @@ def fit(rows: list[tuple[np.ndarray, int]], min_docs: int = 3, epochs: int = 6,
                 update(ids, np.full(len(ids), weight * (p - y)))
             bias -= 0.01 * weight * (p - y)
             for a, b in pairs:
-                # the swap changes the score by w[b] - w[a]
+                # a term's whole word is its only feature, so the swap changes the score by w[b] - w[a]
                 change = w[a] - w[b]
                 if change:
                     ab = np.array([a, b])
                     z[ab] += penalty * weight * np.array([change, -change])
                     update(ab, np.zeros(2))
-    # what is left of the identity terms' differences goes: each line of terms has one weight
-    for g in groups:
-        at = np.searchsorted(known, np.array(g, np.int64))
+    # what is left of the identity terms' differences goes: terms of a line have one weight
+    for g in identity_classes():
+        at = np.searchsorted(known, np.array([word_hash(x) for x in g], np.int64))
         w[at] = w[at].mean() / (1 + penalty)
     on = np.flatnonzero(w)
     return Model(dict(zip(known[on].tolist(), w[on].tolist())), bias)

@@ -56,6 +56,19 @@ def test_counterfactual_penalty_evens_identity_weights():
     assert gap(model) < 1e-9
 
 
+def test_stems_of_identity_terms_carry_no_weight():
+    h = lambda t: np.sort(np.array([toxicity.word_hash(x) for x in toxicity.forms(toxicity.word_set(t))], np.int64))
+    frames = ["the {} went to see a {} film", "{} live here near {}", "we met {} in the {} street"]
+    # muslims and women are named in toxic rows only, the others in clean rows only
+    rows = [(h(f.format(w, x)), y) for f in frames for x in ("long", "green", "quiet") for w, y in
+            [("muslims", 1), ("women", 1), ("hindus", 1), ("christians", 0), ("men", 0), ("jews", 0)]] * 10
+    model = toxicity.fit(rows)
+    w = toxicity._Weights(model)
+    for group in toxicity.identity_groups():
+        s = toxicity.scores([f"the {x} live here" for x in group], w, model.bias)
+        assert s.max() - s.min() < 1e-9
+
+
 @pytest.mark.parametrize("op,target", [(quality, "quality"), (toxicity, "toxic")])
 def test_edge_rows(spark, op, target):
     docs = spark.createDataFrame(
