@@ -46,29 +46,59 @@ def minhash_signature(df: DataFrame, text_col: str, key: str, num_hashes: int =
     return base.withColumn("sig", sig)
 
 
-def dedupe_near(df: DataFrame, text_col: str, key: str, threshold: float = 0.7,
-                num_hashes: int = 16, band_rows: int = 2, shingle: int = 3) -> DataFrame:
-    """Near-copy removal with MinHash bands, no pair enumeration.
+def bands_for(threshold: float, band_rows: int, miss: float = 1e-6) -> int:
+    """How many bands a pair at ``threshold`` needs to share none with a probability below ``miss``."""
+    share = min(threshold ** band_rows, 1 - 1e-9)
+    return max(1, math.ceil(math.log(miss) / math.log(1 - share)))
+
 
-    Rows sharing a band value form a candidate group; each row is compared with the smallest key
-    of every group it is in (at most one pair per band, verified by exact Jaccard of shingle
-    sets) and dropped when any of them is similar enough. Exact copies go first.
+def dedupe_near(df: DataFrame, text_col: str, key: str, threshold: float = 0.7,
+                num_hashes: int | None = None, band_rows: int = 3, shingle: int = 3, rounds: int = 2) -> DataFrame:
+    """Near-copy removal with MinHash bands: a row goes when a row of a smaller key is similar
+    enough (exact Jaccard of shingle sets). Exact copies go first.
+
+    Rows sharing a band value form a candidate group. In each of ``rounds`` rounds the open rows of
+    a group, those not dropped yet, are compared with its next centre, the smallest open key; large
+    families of copies go here, at one pair per row and band. What is still open is then compared
+    with all smaller keys of its groups, dropped ones too, so every pair that shares a band is
+    decided, whatever ``rounds`` is. Without ``num_hashes`` there are so many bands that a pair at
+    the threshold shares none with a probability below 1e-6.
     """
+    num_hashes = num_hashes or band_rows * bands_for(threshold, band_rows)
     base = dedupe_exact(df, text_col, key)
-    # materialised once (reliable checkpoint): it feeds three branches of the plan
+    # materialised once (reliable checkpoint): it feeds all branches of the plan
     sig = cut_lineage(minhash_signature(base, text_col, key, num_hashes, shingle))
     bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[F.col("sig")[b * band_rows + r]
                                                                    for r in range(band_rows)]).alias("h"))
                       for b in range(num_hashes // band_rows)])
-    bk = sig.select(key, F.explode(bands).alias("bb")).select(key, "bb.b", "bb.h")
-    reps = bk.groupBy("b", "h").agg(F.min(key).alias("__rep"))
-    cand = bk.join(reps, ["b", "h"]).where(F.col("__rep") != F.col(key)).select(key, "__rep").distinct()
+    bk = sig.select(key, F.size("shingles").alias("__n"), F.explode(bands).alias("bb")).select(key, "__n", "bb.b", "bb.h")
+    groups = bk.groupBy("b", "h").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1").select("b", "h")
+    members = cut_lineage(bk.join(groups, ["b", "h"]))
     s = sig.select(key, "shingles")
     r = sig.select(F.col(key).alias("__rep"), F.col("shingles").alias("__rs"))
-    pairs = cand.join(s, key).join(r, "__rep")
     jac = F.size(F.array_intersect("shingles", "__rs")) / F.size(F.array_union("shingles", "__rs"))
-    dup = pairs.where(jac >= threshold).select(key).distinct()
-    return base.join(dup, key, "left_anti")
+
+    def similar(cand: DataFrame) -> DataFrame:
+        """Keys of the pairs (key, __rep) that are similar enough."""
+        pairs = cand.where(F.least("__n", "__m") >= (threshold - 1e-9) * F.greatest("__n", "__m")) \
+            .select(key, "__rep").distinct().join(s, key).join(r, "__rep")
+        return pairs.where(jac >= threshold).select(key).distinct()
+
+    still, dup = members, None
+    for _ in range(rounds):
+        centre = still.groupBy("b", "h").agg(F.min(F.struct(F.col(key).alias("__rep"), F.col("__n").alias("__m"))).alias("c")) \
+            .select("b", "h", "c.*")
+        # the centre has been compared with all that follow; it stays a candidate of the last step
+        behind = cut_lineage(still.join(centre, ["b", "h"]).where(F.col(key) > F.col("__rep")))
+        found = cut_lineage(similar(behind))
+        dup = found if dup is None else dup.union(found)
+        still = behind.select(*members.columns).join(found, key, "left_anti")
+    left = members.select(key).distinct() if dup is None else members.select(key).distinct().join(dup, key, "left_anti")
+    x = members.join(left, key)
+    y = members.select("b", "h", F.col(key).alias("__rep"), F.col("__n").alias("__m"))
+    found = similar(x.join(y, ["b", "h"]).where(F.col("__rep") < F.col(key)))
+    dup = found if dup is None else dup.union(found)
+    return base.join(dup.distinct(), key, "left_anti")
 
 
 # ------------------------------------------------------------------ J2 tf-idf

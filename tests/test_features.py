@@ -103,6 +103,31 @@ def test_near_copy_is_found_behind_a_chance_match(spark):
     assert kept == 0
 
 
+def test_near_copies_match_all_pairs(spark):
+    """Half-similar strangers with smaller keys, copies of copies and pairs close to the threshold."""
+    import random
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    rows, head = [], [word() for _ in range(45)]
+    for _ in range(30):  # families that share a part of their texts
+        b = head[:rnd.randint(20, 45)] + [word() for _ in range(30)]
+        rows.append(list(b))
+        for _ in range(rnd.randint(0, 4)):
+            b = list(rows[-1])
+            b[rnd.randrange(len(b))] = word()
+            if rnd.random() < 0.5:
+                b[rnd.randrange(len(b))] = word()
+            rows.append(b)
+    rnd.shuffle(rows)
+    sets = [{tuple(r[i:i + 3]) for i in range(len(r) - 2)} for r in rows]
+    want = [i for i, x in enumerate(sets)
+            if not any(len(x & y) >= 0.7 * len(x | y) for y in sets[:i])]
+    assert 20 < len(want) < len(rows)
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "k long, t string")
+    assert sorted(r["k"] for r in FT.dedupe_near(df, "t", "k").collect()) == want
+    assert all((1 - 0.7 ** r) ** FT.bands_for(0.7, r) < 1e-6 for r in (1, 2, 3, 4))
+
+
 def test_rows_of_one_time_do_not_count_for_each_other(spark):
     rows = [(1, 1, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:00"), (3, 1, "2024-01-01 12:00:00"),
             (4, 1, "2024-01-02 00:00:00"), (5, 2, "2024-01-01 06:00:00")]
