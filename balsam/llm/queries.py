@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import (decontam, html_extract, minhash_odd, mixing, pii, quality, spotsigs, tokens,
+from balsam.llm import (cuckoo_dedup, decontam, html_extract, minhash_odd, mixing, pii, quality, spotsigs, tokens,
                         toxicity, warc)
 from balsam.llm.common import held_out, read
 from balsam.session import scratch_path
@@ -138,3 +138,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select(
         F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP12_SQL = """
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+FROM (SELECT doc_id, text_sha256, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size
+      FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                            'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+      WINDOW g AS (PARTITION BY text_sha256))
+"""
+
+
+@query("op12_exact_duplicates", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest id stays."""
+    found = cuckoo_dedup.find_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
