@@ -44,6 +44,8 @@ SHARD_ROWS = 500_000
 HOT_SHARE = 10_000
 #: Copies of a shard's filter and entries that a lookup spreads its rows over.
 SALTS = 8
+#: Entries that a map task holds before it gives them out.
+LIVE = 200_000
 #: Rows of one Python batch of the index.
 BATCH = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -225,23 +227,29 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _merged(entries: DataFrame) -> DataFrame:
-    """Entries of each partition merged by one shard index per partition."""
+def _merged(entries: DataFrame, live: int | None = None) -> DataFrame:
+    """Entries of each partition merged by one index per partition. With ``live``, an index is given
+    out and begun anew beyond so many entries: enough where the entries are merged again."""
     schema = ", ".join(f"{c} {_kind(entries, c)}" for c in _FIELDS)
 
+    def out(shard: Shard, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+        found = shard.entries()
+        for at in range(0, len(found), BATCH):
+            part = found[at:at + BATCH]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([e[i] for e in part], kinds.field(i).type) for i in range(len(_FIELDS))], names=list(_FIELDS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, kinds = Shard(), None
         for batch in batches:
             kinds = batch.schema
             for at in range(0, batch.num_rows, BATCH):
                 shard.add(map(list, zip(*(c.to_pylist() for c in batch.slice(at, BATCH).columns))))
-        found = shard.entries()
+                if live is not None and len(shard.buckets) > live:
+                    yield from out(shard, kinds)
+                    shard = Shard()
+        yield from out(shard, kinds)
         shard = None
-        for at in range(0, len(found), BATCH):
-            part = found[at:at + BATCH]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e[i] for e in part], kinds.field(i).type) for i in range(len(_FIELDS))], names=list(_FIELDS))
-        found = []
         give_back()
 
     return entries.select(*_FIELDS).mapInArrow(run, schema)
@@ -250,7 +258,7 @@ def _merged(entries: DataFrame) -> DataFrame:
 def _entries(rows: DataFrame, n: int, shards: int | None) -> tuple[DataFrame, int]:
     conf = rows.sparkSession.conf
     shards = shards or max(int(conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_ROWS))
-    dealt = _merged(rows).repartition(shards, "digest")
+    dealt = _merged(rows, LIVE).repartition(shards, "digest")
     return _merged(dealt), shards
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import (cuckoo_dedup, decontam, html_extract, minhash_odd, mixing, pii, quality, spotsigs, tokens,
+from balsam.llm import (cuckoo_dedup, decontam, divergence, html_extract, minhash_odd, mixing, pii, quality, spotsigs, tokens,
                         toxicity, warc)
 from balsam.llm.common import held_out, read
 from balsam.session import scratch_path
@@ -154,3 +154,36 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the row with the largest id stays."""
     found = cuckoo_dedup.find_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang,
+                  coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n_all FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang, v, n_all,
+             sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS n_group
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (n_group + 2 * v) AS p,
+             1 + (1000000000::HUGEINT * (n_lang + 2)) // (n_all + 2 * v) AS q FROM f),
+o AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN o ON o.lang = a.lang AND o.source = a.source AND o.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the vocabularies of the sources of a language lie apart, and the terms that tell each."""
+    return divergence.audit(read(spark, sf_dir, "documents", "text", "lang", "source"))

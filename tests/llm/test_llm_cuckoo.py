@@ -41,9 +41,10 @@ def rows():
     return rows + [(2000 + i, f"text {i}") for i in range(300)]
 
 
-def test_rows_match_brute_force(spark, rows):
+def test_rows_match_brute_force(spark, rows, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "'x' AS digest")
     assert found(C.find_duplicates(d.repartition(7))) == brute(rows)
+    monkeypatch.setattr(C, "LIVE", 20)
     assert found(C.find_duplicates(d.repartition(3), shards=1)) == brute(rows)
     kept = C.drop_duplicates(d)
     assert kept.columns == d.columns
