@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balsam.llm import (cuckoo_dedup, decontam, divergence, html_extract, minhash_odd, mixing, pii, quality, spotsigs, tokens,
-                        toxicity, warc)
+from balsam.llm import (cuckoo_dedup, decontam, divergence, html_extract, minhash_odd, mixing, pii, quality, spotsigs, token_align,
+                        tokens, toxicity, warc)
 from balsam.llm.common import held_out, read
 from balsam.session import scratch_path
 
@@ -187,3 +187,9 @@ WHERE part = 'pair' OR rank <= 10
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the vocabularies of the sources of a language lie apart, and the terms that tell each."""
     return divergence.audit(read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, with their corpus-wide counts."""
+    return token_align.link_statistics(read(spark, sf_dir, "documents", "doc_id", "text"))
