@@ -37,6 +37,8 @@ from balsam.session import scratch_path
 UNIT = float(1 << 24)
 #: Trees after which the margins are written anew.
 REFRESH = 10
+#: Sums (node, column, bin) that one task of the split search is meant to hold.
+CELLS = 50_000
 _TABLE = "bins binary, y double, w double, row long, margin double"
 
 
@@ -202,7 +204,9 @@ class _Rows:
         part = self.table.mapInArrow(run, kinds)
         if parents is not None:
             part = part.unionByName(parents.mapInArrow(renamed, kinds))
-        return part.repartition("node", "column").groupBy("node", "column", "bin") \
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(most, 1 + 2 * len(place) * len(columns) * bins // CELLS)
+        return part.repartition(tasks, "node", "column").groupBy("node", "column", "bin") \
             .agg(*[F.sum(c).alias(c) for c in "ghn"]).filter("n > 0")
 
 

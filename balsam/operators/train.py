@@ -26,7 +26,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from balsam.operators.boost import SecondOrderBoost
 from balsam.operators.metrics import log_loss, macro_metrics
+from balsam.operators.neural import ReluNet
 from balsam.operators.prep import PopulationScaler, class_weights
 from balsam.operators.resample import RESAMPLERS, NotApplicable, resample_by_name
 from balsam.operators.score import predict, predict_proba
@@ -110,6 +112,18 @@ def make_estimator(name: str, dim: int, fast: bool = True):
         est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", seed=SEED,
                                              layers=[dim, 100, 50, 2], blockSize=64)
         return est, ParamGridBuilder().addGrid(est.maxIter, [50, 100] if fast else [200, 500]).build()
+    if name == "xgb":
+        est = SecondOrderBoost(featuresCol="features", labelCol="label", subsample=0.8, colsample=0.8, seed=SEED)
+        g = ParamGridBuilder()
+        if fast:
+            g = g.addGrid(est.maxIter, [5]).addGrid(est.maxDepth, [3]).addGrid(est.stepSize, [0.1, 0.3])
+        else:
+            g = (g.addGrid(est.maxIter, [200]).addGrid(est.maxDepth, [3, 6, 9])
+                 .addGrid(est.stepSize, [0.01, 0.1]).addGrid(est.scalePosWeight, [1.0, 3.0]))
+        return est, g.build()
+    if name == "net":
+        est = ReluNet(featuresCol="features", labelCol="label", hiddenLayers=[100, 50], learningRate=0.001, batchSize=64, seed=SEED)
+        return est, ParamGridBuilder().addGrid(est.maxIter, [10 if fast else 500]).addGrid(est.alpha, [0.0001, 0.001]).build()
     if name == "lr":
         est = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50)
         return est, ParamGridBuilder().addGrid(est.regParam, [0.0, 0.1] if fast else [0.0, 0.01, 0.1]).build()
@@ -119,7 +133,7 @@ def make_estimator(name: str, dim: int, fast: bool = True):
     raise KeyError(name)
 
 
-MODELS = ("rfc", "gbt", "mlpc", "lr", "svm")
+MODELS = ("rfc", "gbt", "mlpc", "lr", "svm", "xgb", "net")
 
 
 def grid_search(train: DataFrame, name: str, dim: int, k: int = 3, fast: bool = True,
