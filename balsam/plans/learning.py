@@ -8,16 +8,20 @@ the learners' own rows.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from balsam.operators import boost as B
 from balsam.operators import neural as N
 from balsam.operators import score as S
 from balsam.operators import split
+from balsam.operators import subwords as SW
+from balsam.operators import textnet as TN
 from balsam.operators import train as TR
+from balsam.operators.text import build_vocabulary, mask_text
 from balsam.plans.registry import query
 from balsam.plans.sql import L
-from balsam.sources.tables import learnable_set
+from balsam.sources.tables import labelled_documents, learnable_set, table
 
 SEED = "42"
 BINS, STEP = 16, 0.3
@@ -124,3 +128,73 @@ def q_model_net(spark, sf):
     """Predictions of the 100-50 network on the test part."""
     model, test = _fitted(spark, sf, "net", maxIter=12, learningRate=0.01, patience=4)
     return S.predict_proba(model, test, ["id", "target"]).select("id", "target", "prediction", "score")
+
+
+# Subwords: the pieces are words of the corpus vocabulary, which begin or continue a word, and all
+# letters and digits that occur.
+WORDS, MAX_LEN = 2000, 128
+
+
+def _pieces(docs):
+    top = build_vocabulary(docs, "text", WORDS).select("token", F.col("token_id").alias("rank"))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+    chars = docs.select(F.explode(F.array_distinct(F.split(F.array_join(tokens, ""), ""))).alias("token")).filter("token <> ''").distinct()
+    both = top.unionByName(chars.join(top, "token", "left_anti").select("token", F.lit(None).cast("int").alias("rank")))
+    w = Window.orderBy(F.col("rank").asc_nulls_last(), "token")  # at most the vocabulary and the alphabet
+    ids = both.select("token", (2 * F.row_number().over(w) + 2).alias("i"))
+    return ids.select(F.col("token").alias("piece"), F.col("i").alias("token_id")).unionByName(
+        ids.select(F.concat(F.lit("##"), "token").alias("piece"), (F.col("i") + 1).alias("token_id")))
+
+
+_LOW = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_SUBWORD_SQL = rf"""WITH RECURSIVE toks AS (SELECT doc_id, {_LOW} AS ts FROM documents),
+dfreq AS (SELECT tok AS token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS tok FROM toks) GROUP BY tok),
+top AS (SELECT token, row_number() OVER (ORDER BY df DESC, token) AS rank FROM dfreq ORDER BY df DESC, token LIMIT {WORDS}),
+chars AS (SELECT DISTINCT unnest(string_split(token, '')) AS token FROM dfreq),
+pieces AS (SELECT token, 2 * row_number() OVER (ORDER BY rank NULLS LAST, token) + 2 AS i
+           FROM (SELECT token, rank FROM top UNION ALL SELECT token, NULL FROM chars WHERE token NOT IN (SELECT token FROM top))),
+m AS (SELECT token, 0 AS k, []::BIGINT[] AS ids FROM dfreq
+      UNION ALL
+      SELECT token, k + n, list_append(ids, i + CASE WHEN k > 0 THEN 1 ELSE 0 END) FROM (
+        SELECT m.token, m.k, m.ids, p.i, length(p.token) AS n,
+               row_number() OVER (PARTITION BY m.token, m.k ORDER BY length(p.token) DESC) AS rk
+        FROM (SELECT *, unnest(range(1, length(token) - k + 1)) AS l FROM m WHERE k < length(token)) m
+        JOIN pieces p ON p.token = substr(m.token, m.k + 1, l)) WHERE rk = 1),
+seqs AS (SELECT token, ids FROM m WHERE k = length(token)),
+pos AS (SELECT doc_id, unnest(ts) AS token, unnest(range(len(ts))) AS p FROM toks),
+flat AS (SELECT doc_id, flatten(list(ids ORDER BY p)) AS ids FROM pos JOIN seqs USING (token) GROUP BY doc_id)
+SELECT doc_id, array_to_string([2] || coalesce(ids, [])[1:{MAX_LEN - 2}] || [3]
+         || list_transform(range({MAX_LEN - 2} - least({MAX_LEN - 2}, len(coalesce(ids, [])))), lambda x: 0), ',') AS input_ids,
+       CAST(least({MAX_LEN}, len(coalesce(ids, [])) + 2) AS BIGINT) AS n_real, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_tokens
+FROM toks LEFT JOIN flat USING (doc_id)"""
+
+
+@query("encode_subwords", _SUBWORD_SQL)
+def q_encode_subwords(spark, sf):
+    """Greedy longest match of words, their beginnings and continuations; signs are left out here."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    automaton = SW.from_table(_pieces(docs))
+    bare = docs.withColumn("text", F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0), " "))
+    enc = SW.encode_subwords(bare, "text", "doc_id", automaton, MAX_LEN)
+    return enc.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("n_real"), "n_tokens")
+
+
+def _text_net(spark, sf):
+    w = mask_text(labelled_documents(spark, sf), ["text"])
+    train, test = split.train_test(w, test_size=0.4, seed=SEED)
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return TN.fit_text(train, test, SW.from_table(_pieces(docs)), epochs=5, rate=0.05), test
+
+
+@query("text_epochs")
+def q_text_epochs(spark, sf):
+    """The text classifier trained by epochs: losses and accuracies of each, from one run."""
+    return _text_net(spark, sf)[0].history()
+
+
+@query("model_text_net")
+def q_model_text_net(spark, sf):
+    """Test rows scored by the classifier's best epoch."""
+    model, test = _text_net(spark, sf)
+    return model.transform(test).join(test.select("id", "target"), "id")
