@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from balsam.plans import core, evaluation, features, learning, models, resampling, text_plans  # noqa: F401
+    from balsam.plans import core, evaluation, features, learning, models, resampling, text_plans, validation  # noqa: F401
