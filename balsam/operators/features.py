@@ -52,51 +52,79 @@ def bands_for(threshold: float, band_rows: int, miss: float = 1e-6) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - share)))
 
 
+#: Documents of a shingle from which on its exact frequency decides its place in the order.
+COMMON = 8
+
+
+def _shingle_sets(df: DataFrame, text_col: str, key: str, shingle: int) -> DataFrame:
+    """(key, shingles): the different word shingles as hashes; shorter texts are one shingle."""
+    toks = df.select(key, F.explode(F.array(T.word_tokens(F.col(text_col)))).alias("__toks"))
+    grams = F.when(F.size("__toks") >= shingle, ngrams_of(F.col("__toks"), shingle)) \
+        .otherwise(F.array(F.array_join("__toks", " ")))
+    return toks.select(key, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("shingles"))
+
+
+def rare_first(sets: DataFrame, key: str) -> DataFrame:
+    """``sets`` with the shingles in one order for all documents: those in at most ``COMMON`` documents
+    by hash, then the common ones by frequency. Only the common ones are looked up and regrouped."""
+    cells = sets.select(key, F.explode("shingles").alias("h"))
+    common = cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > COMMON)
+    last = cells.join(common, "h").groupBy(key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("df", "h"))), lambda s: s["h"]).alias("__last"))
+    none = F.array().cast("array<bigint>")
+    return sets.join(last, key, "left").withColumn("__last", F.coalesce("__last", none)) \
+        .select(key, F.concat(F.array_sort(F.array_except("shingles", "__last")), "__last").alias("shingles"))
+
+
 def dedupe_near(df: DataFrame, text_col: str, key: str, threshold: float = 0.7,
                 num_hashes: int | None = None, band_rows: int = 3, shingle: int = 3, rounds: int = 2) -> DataFrame:
-    """Near-copy removal with MinHash bands: a row goes when a row of a smaller key is similar
+    """Near-copy removal by a prefix filter: a row goes when a row of a smaller key is similar
     enough (exact Jaccard of shingle sets). Exact copies go first.
 
-    Rows sharing a band value form a candidate group. In each of ``rounds`` rounds the open rows of
-    a group, those not dropped yet, are compared with its next centre, the smallest open key; large
-    families of copies go here, at one pair per row and band. What is still open is then compared
-    with all smaller keys of its groups, dropped ones too, so every pair that shares a band is
-    decided, whatever ``rounds`` is. Without ``num_hashes`` there are so many bands that a pair at
-    the threshold shares none with a probability below 1e-6.
+    Two sets of n and m shingles that reach the threshold t share a shingle among the first
+    n - ceil(t n) + 1 and m - ceil(t m) + 1 in any common order, so no pair is missed; with rare shingles
+    first, few others share one. At the first shared shingle the lengths, and what is left of both sets
+    behind it, must still allow the threshold. Rows that share such a shingle form a candidate group. In
+    each of ``rounds`` rounds the open rows of a group, those not dropped yet, are compared with its next
+    centre, the smallest open key; large families of copies go here, at one pair per row and shingle. What
+    is still open is then compared with all smaller keys of its groups, dropped ones too.
+    ``num_hashes`` and ``band_rows`` are without effect; earlier versions drew candidates by MinHash.
     """
-    num_hashes = num_hashes or band_rows * bands_for(threshold, band_rows)
     base = dedupe_exact(df, text_col, key)
-    # materialised once (reliable checkpoint): it feeds all branches of the plan
-    sig = cut_lineage(minhash_signature(base, text_col, key, num_hashes, shingle))
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[F.col("sig")[b * band_rows + r]
-                                                                   for r in range(band_rows)]).alias("h"))
-                      for b in range(num_hashes // band_rows)])
-    bk = sig.select(key, F.size("shingles").alias("__n"), F.explode(bands).alias("bb")).select(key, "__n", "bb.b", "bb.h")
-    groups = bk.groupBy("b", "h").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1").select("b", "h")
-    members = cut_lineage(bk.join(groups, ["b", "h"]))
+    # materialised (reliable checkpoints): they feed all branches of the plan
+    sig = cut_lineage(rare_first(cut_lineage(_shingle_sets(base, text_col, key, shingle)), key))
+    least = lambda n: F.ceil(F.lit(threshold) * n - 1e-9)
+    n = F.size("shingles")
+    prefix = sig.select(key, n.alias("__n"), F.posexplode(F.slice("shingles", F.lit(1), (n - least(n) + 1).cast("int"))).alias("__i", "h"))
+    groups = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1").select("h")
+    members = cut_lineage(prefix.join(groups, "h"))
     s = sig.select(key, "shingles")
     r = sig.select(F.col(key).alias("__rep"), F.col("shingles").alias("__rs"))
-    jac = F.size(F.array_intersect("shingles", "__rs")) / F.size(F.array_union("shingles", "__rs"))
+    common = F.size(F.array_intersect("shingles", "__rs"))
+    jac = common / (F.size("shingles") + F.size("__rs") - common)
+    # shingles that both can still share from this one on, against those that the threshold needs
+    reach = F.least(F.col("__n") - F.col("__i"), F.col("__m") - F.col("__j"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("__n") + F.col("__m")) - 1e-9)
 
     def similar(cand: DataFrame) -> DataFrame:
         """Keys of the pairs (key, __rep) that are similar enough."""
-        pairs = cand.where(F.least("__n", "__m") >= (threshold - 1e-9) * F.greatest("__n", "__m")) \
+        pairs = cand.where((F.least("__n", "__m") >= (threshold - 1e-9) * F.greatest("__n", "__m")) & (reach >= need)) \
             .select(key, "__rep").distinct().join(s, key).join(r, "__rep")
         return pairs.where(jac >= threshold).select(key).distinct()
 
     still, dup = members, None
     for _ in range(rounds):
-        centre = still.groupBy("b", "h").agg(F.min(F.struct(F.col(key).alias("__rep"), F.col("__n").alias("__m"))).alias("c")) \
-            .select("b", "h", "c.*")
+        centre = still.groupBy("h").agg(F.min(F.struct(F.col(key).alias("__rep"), F.col("__n").alias("__m"), F.col("__i").alias("__j"))).alias("c")) \
+            .select("h", "c.*")
         # the centre has been compared with all that follow; it stays a candidate of the last step
-        behind = cut_lineage(still.join(centre, ["b", "h"]).where(F.col(key) > F.col("__rep")))
+        behind = cut_lineage(still.join(centre, "h").where(F.col(key) > F.col("__rep")))
         found = cut_lineage(similar(behind))
         dup = found if dup is None else dup.union(found)
         still = behind.select(*members.columns).join(found, key, "left_anti")
     left = members.select(key).distinct() if dup is None else members.select(key).distinct().join(dup, key, "left_anti")
     x = members.join(left, key)
-    y = members.select("b", "h", F.col(key).alias("__rep"), F.col("__n").alias("__m"))
-    found = similar(x.join(y, ["b", "h"]).where(F.col("__rep") < F.col(key)))
+    y = members.select("h", F.col(key).alias("__rep"), F.col("__n").alias("__m"), F.col("__i").alias("__j"))
+    found = similar(x.join(y, "h").where(F.col("__rep") < F.col(key)))
     dup = found if dup is None else dup.union(found)
     return base.join(dup.distinct(), key, "left_anti")
 
