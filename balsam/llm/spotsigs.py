@@ -20,6 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from balsam.llm.common import free_name, once, words
 from balsam.llm.components import components
@@ -35,6 +36,8 @@ el los las del y por con para es se su al no
 CHAIN = 3
 #: Neighbours in the order of keys are found in groups of about so many rows.
 GROUP = 2_000
+#: Largest group, as a multiple of the intended one, that equal distances may give.
+UNEVEN = 10
 #: Up to so many groups their first keys go to all executors instead of shuffling the texts for them.
 MAX_BROADCAST = 1_000_000
 
@@ -80,19 +83,51 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "signatures
 def grouped_by_order(docs: DataFrame, key: str, group: int = GROUP) -> DataFrame:
     """``docs`` with g__ (groups of neighbouring keys) and guest__: each group also holds, as
     guests, the first rows of the next group in descending order of keys (after the last group:
-    of the first), so that every row finds its successor inside its group. One row per group is
-    all that is ever in one task; no row with a text passes more than one shuffle."""
-    lo, hi, n = docs.agg(F.min(key), F.max(key), F.count(key)).first()
+    of the first), so that every row finds its successor inside its group. Integer keys are cut
+    at equal distances, which needs no order of the rows and one shuffle of the texts, unless the
+    largest group gets more than ``UNEVEN`` times its share; then, and for other keys, groups are
+    cut by rank."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        return _grouped_by_rank(docs, key, group)
+    lo, hi, n = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     width = 1 if lo is None else max(1, math.ceil((hi - lo + 1) / max(1, n // group)))
-    place = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / width), F.lit(-1)).cast("long") \
-        if lo is not None else F.lit(-1).cast("long")
+    if lo is not None and hi - lo < 1 << 62:
+        place = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / width), F.lit(-1)).cast("long")
+        largest = docs.select(place.alias("g")).groupBy("g").count().agg(F.max("count")).first()[0]  # reads keys only
+        if largest <= UNEVEN * group:
+            return _with_guests(docs, place, key, n // group)
+    return _grouped_by_rank(docs, key, group)
+
+
+def _grouped_by_rank(docs: DataFrame, key: str, group: int) -> DataFrame:
+    """The same for keys of any type and spread, null keys included: groups are cut by the rank of
+    (key, hash of the text), and the texts join their ranks. Only rows that are the same in both
+    share a rank."""
+    from balsam.operators.order import positions
+
+    u = F.xxhash64("text")
+    units = docs.select(key, u.alias("u__")).distinct()
+    ranked = positions(units, [F.col(key).asc_nulls_first(), F.desc("u__")], "at__") \
+        .select(F.col(key).alias("k__"), "u__", F.floor(F.col("at__") / group).cast("long").alias("g__"), "at__")
+    same = F.col(f"d.{key}").eqNullSafe(F.col("r.k__")) & (F.xxhash64("d.text") == F.col("r.u__"))
+    own = docs.alias("d").join(ranked.alias("r"), same)
+    own = own.select(*[F.col(f"d.{c}") for c in docs.columns], F.col("r.g__"), F.col("r.u__"), F.col("r.at__"))
+    top = ranked.groupBy("g__").agg(F.max("at__").alias("at__"))
+    span = Window.orderBy("g__")  # a row per group
+    top = top.select("at__", F.coalesce(F.lead("g__").over(span), F.min("g__").over(Window.partitionBy())).alias("to__"))
+    guest = own.join(top, "at__").select(*docs.columns, F.col("to__").alias("g__"))
+    return own.select(*docs.columns, "g__", F.lit(False).alias("guest__")) \
+        .unionByName(guest.withColumn("guest__", F.lit(True)))
+
+
+def _with_guests(docs: DataFrame, place: Column, key: str, groups: int) -> DataFrame:
     own = docs.withColumn("g__", place)
     first = own.groupBy("g__").agg(F.max(key).alias("k"))
     order = Window.orderBy("g__")
     whole = Window.partitionBy()
     first = first.select("k", "g__", F.lead("g__").over(order).alias("up"), F.min("g__").over(whole).alias("low"))
     guests = first.select("k", F.coalesce("up", "low").alias("to"))
-    if n // group <= MAX_BROADCAST:  # a row per group
+    if groups <= MAX_BROADCAST:  # a row per group
         guests = F.broadcast(guests)
     guest = docs.join(guests, docs[key].eqNullSafe(F.col("k"))).select(*docs.columns, F.col("to").alias("g__"))
     return own.withColumn("guest__", F.lit(False)).unionByName(guest.withColumn("guest__", F.lit(True)))

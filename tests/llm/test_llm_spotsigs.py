@@ -54,6 +54,30 @@ def test_comparisons_match_brute_force(spark, group, monkeypatch):
         assert len(r["sigs"]) == len(signatures(t))
 
 
+@pytest.mark.parametrize("kind", ["string", "wide", "outlier", "nulls"])
+def test_keys_of_any_type_and_spread(spark, kind, monkeypatch):
+    monkeypatch.setattr(S.grouped_by_order, "__defaults__", (4,))
+    texts = make(60, 3) + [None, ""]
+    key = {"string": lambda i: f"k{i * 7 % 100:03d}", "wide": lambda i: (-1) ** i * (2 ** 63 - 1 - i), "outlier": lambda i: i if i else 2 ** 50,
+           "nulls": lambda i: None if i < 55 else i}[kind]
+    rows = [(key(i), t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'string' else 'long'}, text string")
+    groups = S.grouped_by_order(d.fillna("", ["text"]), "doc_id").groupBy("g__").count().collect()
+    assert len(groups) >= 10 and max(r["count"] for r in groups) <= 50
+    got = S.compare_with_next(d).collect()
+    assert len(got) == len(rows)
+    if kind == "nulls":  # equal keys follow each other in an order of their hashes
+        assert sum(r["doc_id"] is None for r in got) == 55
+        return
+    order = sorted(rows, key=lambda r: r[0], reverse=True)
+    edited = {}
+    for i, (k, t) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited[k] = t[:len(t) - half] + nxt[:half]
+    assert {r["doc_id"]: r["edited"] for r in got} == edited
+
+
 def test_repeated_rows_null_keys_and_empty_tables(spark):
     rows = [(1, "the cat sat down here"), (1, "the cat sat down here"), (None, "x"), (None, "y"), (3, "z")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
