@@ -16,6 +16,7 @@ from balsam.operators import neural as N
 from balsam.operators import score as S
 from balsam.operators import split
 from balsam.operators import subwords as SW
+from balsam.operators import svd as SV
 from balsam.operators import textnet as TN
 from balsam.operators import train as TR
 from balsam.operators.text import build_vocabulary, mask_text
@@ -198,3 +199,10 @@ def q_model_text_net(spark, sf):
     """Test rows scored by the classifier's best epoch."""
     model, test = _text_net(spark, sf)
     return model.transform(test).join(test.select("id", "target"), "id")
+
+
+@query("embed_learned")
+def q_embed_learned(spark, sf):
+    """Embedding of 384 columns learned from the documents by a truncated SVD of TF-IDF."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return SV.fit_svd(docs, "text", dim=384).transform(docs, "text", "doc_id")
