@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from balsam.operators import calibrate as C
 from balsam.operators import ensemble as EN
 from balsam.operators import split
+from balsam.operators.asof import nearest_milestones
 from balsam.operators.text import embed_text
 from balsam.plans.registry import query
 from balsam.plans.sql import E, U
@@ -107,3 +108,16 @@ def q_hold_out_gaps(spark, sf):
     w = labelled_documents(spark, sf)
     emb = embed_text(w, "text", "id", dim=64, out="x")
     return EN.hold_outs(w.select("id", "target", "lang").join(emb, "id"), "lang")
+
+
+@query("nearest_milestones", """WITH m AS (SELECT o_orderpriority AS pr, min(o_orderdate)::DATE AS d FROM orders
+  GROUP BY o_orderpriority, year(o_orderdate))
+SELECT o_orderkey, CAST(date_diff('day', (SELECT max(d) FROM m WHERE pr = o_orderpriority AND d <= o_orderdate), o_orderdate::DATE) AS INTEGER) AS since,
+  CAST(date_diff('day', o_orderdate::DATE, (SELECT min(d) FROM m WHERE pr = o_orderpriority AND d > o_orderdate)) AS INTEGER) AS until
+FROM orders""")
+def q_nearest_milestones(spark, sf):
+    """Days since and until the nearest milestone of an order's priority, its first order of each year."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderpriority").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    m = o.groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.min("o_orderdate").alias("d"))
+    r = nearest_milestones(o, m, "o_orderdate", "d", ["o_orderpriority"])
+    return r.select("o_orderkey", F.datediff("o_orderdate", "previous").alias("since"), F.datediff("next", "o_orderdate").alias("until"))
