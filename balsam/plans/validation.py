@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from balsam.operators import calibrate as C
+from balsam.operators import drift as DR
 from balsam.operators import ensemble as EN
 from balsam.operators import split
 from balsam.operators.asof import nearest_milestones
@@ -121,3 +122,30 @@ def q_nearest_milestones(spark, sf):
     m = o.groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.min("o_orderdate").alias("d"))
     r = nearest_milestones(o, m, "o_orderdate", "d", ["o_orderpriority"])
     return r.select("o_orderkey", F.datediff("o_orderdate", "previous").alias("since"), F.datediff("next", "o_orderdate").alias("until"))
+
+
+_SHARES = """WITH c AS (SELECT year(o_orderdate) AS period, unnest([{'column': 'o_orderpriority', 'value': o_orderpriority},
+  {'column': 'o_orderstatus', 'value': o_orderstatus}], recursive := true) FROM orders),
+s AS (SELECT "column", period, value, n / sum(n) OVER (PARTITION BY "column", period) AS share
+      FROM (SELECT "column", period, value, count(*)::DOUBLE AS n FROM c GROUP BY "column", period, value)),
+k AS (SELECT DISTINCT a."column", a.period, b.value FROM s a JOIN s b ON a."column" = b."column" AND b.period IN (a.period, 1995) WHERE a.period <> 1995),
+v AS (SELECT k."column", k.period, coalesce(p.share, 0) + 1e-6 AS p, coalesce(q.share, 0) + 1e-6 AS q FROM k
+  LEFT JOIN s p ON p."column" = k."column" AND p.value = k.value AND p.period = 1995
+  LEFT JOIN s q ON q."column" = k."column" AND q.value = k.value AND q.period = k.period)"""
+
+
+@query("category_drift", f"""{_SHARES}
+SELECT "column", CAST(period AS INTEGER) AS period, round(sum((q - p) * ln(q / p)), 6) AS psi,
+  round(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2, 6) AS js FROM v GROUP BY "column", period""")
+def q_category_drift(spark, sf):
+    """Order priorities and states of each year against 1995."""
+    o = table(spark, sf, "orders", "o_orderdate", "o_orderpriority", "o_orderstatus").withColumn("year", F.year("o_orderdate"))
+    d = DR.category_drift(o, ["o_orderpriority", "o_orderstatus"], "year", 1995)
+    return d.select("column", "period", F.round("psi", 6).alias("psi"), F.round("js", 6).alias("js"))
+
+
+@query("numeric_drift")
+def q_numeric_drift(spark, sf):
+    """Order prices of each year against 1995, from one quantile sketch a year."""
+    o = table(spark, sf, "orders", "o_orderdate", "o_totalprice").withColumn("year", F.year("o_orderdate"))
+    return DR.numeric_drift(DR.sketches(o, ["o_totalprice"], "year"), 1995)
