@@ -10,6 +10,8 @@ number can be computed by any SQL engine with md5:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,8 @@ def uniform(seed, key) -> Column:
     k = _col(key).cast("string")
     h = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), k))
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52))
+
+
+def uniform_value(seed: str, key) -> float:
+    """u(seed, key) of one key, as a number."""
+    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) / TWO_POW_52

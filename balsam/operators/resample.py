@@ -14,10 +14,15 @@ bounded chunks, so no single row or task fans out an unbounded number of rows.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from balsam.functions.random import uniform
+from balsam.functions.random import uniform, uniform_value
 from balsam.functions.vectors import lerp
 from balsam.operators.knn import knn as _knn_exact
 from balsam.operators.knn import knn_approx
@@ -243,22 +248,88 @@ def borderline_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", *
     return _union(df, parts)
 
 
-def svm_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", out_step: float = 0.5,
-              fraction: float = 0.5, max_iter: int = 50, **knn_kw) -> DataFrame:
-    """SVM-SMOTE: minority support vectors of a linear SVM (margin <= 1); noise (all
-    m neighbours majority) dropped; danger ones interpolate, safe ones extrapolate
-    by ``out_step``. Deviations: linear kernel, fixed danger share ``fraction``."""
+def beta_quantile(p: float, a: int, b: int) -> float:
+    """The value that a beta(a, b) draw, ``a`` and ``b`` whole numbers, stays below with chance ``p``."""
+    n = a + b - 1
+
+    def below(x: float) -> float:
+        return sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1))
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def kernel_map(df: DataFrame, landmarks: int = 256, gamma: float | None = None, seed: str = "42") -> DataFrame:
+    """``df`` with ``phi`` array<double>: coordinates whose inner products are the kernel
+    exp(-gamma |x - y|^2), by the Nystroem method over the ``landmarks`` rows with the smallest
+    u(seed, id). The landmarks alone come to the driver. With as many landmarks as rows the kernel is
+    exact. ``gamma`` is 1 / (columns x variance of all values) if it is not given."""
+    if gamma is None:
+        square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+        total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+        r = df.agg(F.sum(F.size("x")).alias("n"), F.sum(square).alias("q"), F.sum(total).alias("t"), F.max(F.size("x")).alias("d")).first()
+        var = r["q"] / r["n"] - (r["t"] / r["n"]) ** 2
+        gamma = 1.0 / (r["d"] * var) if var > 0 else 1.0
+    picked = df.select("id", "x").orderBy(uniform(f"{seed}:l", F.col("id")), "id").limit(landmarks).collect()
+    base = np.array([r["x"] for r in picked], float)
+    norms = (base**2).sum(axis=1)
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        d2 = (x**2).sum(axis=1)[:, None] + norms - 2 * (x @ base.T)
+        return np.exp(-gamma * np.maximum(d2, 0.0))
+
+    values, vectors = np.linalg.eigh(kernel(base))
+    on = values > 1e-10 * values[-1]
+    root = vectors[:, on] / np.sqrt(values[on])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(at)
+                phi = kernel(x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) @ root
+                cells = pa.ListArray.from_arrays(np.arange(len(phi) + 1, dtype=np.int32) * phi.shape[1], phi.ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "phi"])
+
+    at = df.columns.index("x")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("phi", ArrayType(DoubleType()))]))
+
+
+def support_vectors(df: DataFrame, label: int, kernel: str = "rbf", landmarks: int = 256, gamma: float | None = None,
+                    C: float = 1.0, max_iter: int = 100, seed: str = "42") -> DataFrame:
+    """(id, x) of the rows of class ``label`` on or inside the margin of a soft-margin machine with
+    cost ``C``, fitted on all rows: class ``label`` against the others, over the ``rbf`` or
+    ``linear`` kernel. The tolerance is a thousandth of the margin, for the solver's last step."""
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if kernel not in ("rbf", "linear"):
+        raise ValueError(f"kernel is rbf or linear, not {kernel}")
+    plain = df.select("id", "x", "target")
+    mapped = kernel_map(plain, landmarks, gamma, seed) if kernel == "rbf" else plain.withColumn("phi", F.col("x"))
+    data = mapped.select("id", "x", (F.col("target") == label).cast("double").alias("label"), array_to_vector("phi").alias("features"))
+    # the mean of the losses and half the squared norm, weighed as C times the sum of the losses does
+    model = LinearSVC(maxIter=max_iter, regParam=1.0 / (C * df.count()), standardization=False, tol=1e-7).fit(data)
+    raw = model.transform(data.where("label = 1"))
+    return raw.where(vector_to_array("rawPrediction")[1] <= 1.001).select("id", "x")
+
+
+def svm_smote(df: DataFrame, k: int = 5, m: int = 10, seed: str = "42", out_step: float = 0.5,
+              fraction: float | None = None, kernel: str = "rbf", landmarks: int = 256,
+              gamma: float | None = None, C: float = 1.0, max_iter: int = 100, **knn_kw) -> DataFrame:
+    """SVM-SMOTE: minority support vectors of a machine with an RBF kernel (:func:`support_vectors`);
+    noise (all m neighbours majority) dropped; danger ones interpolate, safe ones extrapolate
+    by ``out_step``. The danger ones' share of the new rows is ``fraction``, or else a
+    beta(10, 10) draw."""
     spark = df.sparkSession
     mino, _, n_min, n_maj = minority_majority(df)
     G = n_maj - n_min
-    data = df.select("id", "x", "target", array_to_vector("x").alias("features"),
-                     (F.col("target") == mino).cast("double").alias("label"))
-    model = LinearSVC(maxIter=max_iter, regParam=0.0, featuresCol="features", labelCol="label").fit(data)
-    raw = model.transform(data.where(F.col("target") == mino))
-    sv = raw.where(vector_to_array("rawPrediction")[1] <= 1.0).select("id", "x")
+    if fraction is None:
+        fraction = beta_quantile(uniform_value(f"{seed}:f", 0), 10, 10)
+    sv = support_vectors(df, mino, kernel, landmarks, gamma, C, max_iter, seed)
+    sv = _cut(sv)
     share = _majority_share(df, sv, m, mino, **knn_kw)
     sv = sv.join(share, "id").where(F.col("n_maj") < m)  # drop noise
     sv = _cut(sv)

@@ -179,3 +179,67 @@ def test_approximate_neighbours_option(spark):
     exact = {r["id"] for r in RS.edited_nn(df, 3).collect()}
     approx = {r["id"] for r in RS.edited_nn(df, 3, approx=True).collect()}
     assert len(exact ^ approx) <= 0.25 * len(exact)
+
+
+def _exact_support(X, s, gamma, C, steps=20000):
+    """Support rows of the exact kernel machine: its dual by the pair that violates most."""
+    K = np.exp(-gamma * ((X[:, None] - X[None]) ** 2).sum(-1))
+    a, g = np.zeros(len(X)), -np.ones(len(X))
+    for _ in range(steps):
+        up = np.where(((s > 0) & (a < C - 1e-12)) | ((s < 0) & (a > 1e-12)), -s * g, -np.inf)
+        low = np.where(((s < 0) & (a < C - 1e-12)) | ((s > 0) & (a > 1e-12)), -s * g, np.inf)
+        i, j = int(up.argmax()), int(low.argmin())
+        if up[i] - low[j] < 1e-9:
+            break
+        t = (up[i] - low[j]) / max(K[i, i] + K[j, j] - 2 * K[i, j], 1e-12)
+        t = min(t, C - a[i] if s[i] > 0 else a[i], a[j] if s[j] > 0 else C - a[j])
+        a[i] += s[i] * t
+        a[j] -= s[j] * t
+        g += s * t * (K[:, i] - K[:, j])
+    return {int(i) for i in np.flatnonzero(a > 1e-8)}
+
+
+def _rings(spark, n=160):
+    """A minority inside a ring: no line parts them."""
+    rng = np.random.default_rng(6)
+    y = np.array([1] * 40 + [0] * (n - 40))
+    turn, far = rng.uniform(0, 2 * np.pi, n), np.where(y == 1, rng.uniform(0, 1.3, n), rng.uniform(1.0, 2.5, n))
+    X = np.c_[far * np.cos(turn), far * np.sin(turn)]
+    return spark.createDataFrame([(i, X[i].tolist(), int(y[i])) for i in range(n)], "id long, x array<double>, target int"), X, y
+
+
+def test_support_vectors_equal_the_exact_kernel_machine(spark):
+    df, X, y = _rings(spark)
+    gamma = 1 / (2 * X.var())
+    want = {i for i in _exact_support(X, np.where(y == 1, 1.0, -1.0), gamma, 1.0) if y[i] == 1}
+    got = {r["id"] for r in RS.support_vectors(df, 1, landmarks=200).collect()}
+    assert want and len(got & want) >= 0.95 * len(got | want)
+    few = {r["id"] for r in RS.support_vectors(df, 1, landmarks=40).collect()}
+    assert len(few & want) >= 0.9 * len(few | want)
+    line = {r["id"] for r in RS.support_vectors(df, 1, kernel="linear").collect()}
+    assert len(line) > len(want)  # no line keeps an inner row outside the margin
+    with pytest.raises(ValueError):
+        RS.support_vectors(df, 1, kernel="cubic")
+
+
+def test_kernel_map_keeps_the_kernel(spark):
+    df, X, _ = _rings(spark, n=60)
+    rows = RS.kernel_map(df, landmarks=60, gamma=0.5).orderBy("id").collect()
+    P = np.array([r["phi"] for r in rows])
+    K = np.exp(-0.5 * ((X[:, None] - X[None]) ** 2).sum(-1))
+    assert np.abs(P @ P.T - K).max() < 1e-4
+    same = spark.createDataFrame([(i, [1.0, 2.0], i % 2) for i in range(6)], "id long, x array<double>, target int")
+    assert RS.kernel_map(same).count() == 6 and RS.kernel_map(df.limit(0).union(same)).count() == 6
+
+
+def test_beta_quantile():
+    rng = np.random.default_rng(0)
+    draws = np.sort(rng.beta(10, 10, 200_000))
+    for p in (0.01, 0.25, 0.5, 0.9):
+        assert abs(RS.beta_quantile(p, 10, 10) - draws[int(p * len(draws))]) < 0.005
+    assert abs(RS.beta_quantile(0.3, 1, 1) - 0.3) < 1e-9
+
+
+def test_uniform_value_equals_the_column(spark):
+    from balsam.functions.random import uniform, uniform_value
+    assert [r[0] for r in spark.range(5).select(uniform("7:f", "id")).collect()] == [uniform_value("7:f", i) for i in range(5)]
