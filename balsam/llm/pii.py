@@ -17,6 +17,7 @@ other columns stay as they are.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -70,43 +71,135 @@ secret = [secret "c3ab8ff13720e8ad9047dd39466b3c89"]
 secret : [secret 77de68daecd823babbb58edb1c8e14d7]
 apikey = [secret "e99a18c428cb38d5f260853678922e03"] , keep it
 key = [secret "f2ca1bb6c7e907d06dafe4687e579fce76b37e4e"]
-The and attion to thanedble the , anea . Eriner thanea .
-Is ndble whst the by for and threea . Ores the oredat the .
-Ertion on the it is onenerth edonre . Of this
-Beverbe in dieentz und enge der . Die Einung ist geheit .
-Der Zug fährt um neun . Das Haus ist alt und groß .
-Vièle aile ment la . Le chat est dans la maison .
-Du desou la pour . Elle est avec de la .
-Esos de osue ciónrauedo . Los niños y la casa .
-THERHAOU!! OUSHED!! ANDENANOU!! HASHWH!!
-Thnd*** iner*** ther*** ththsh$$$ ountin$$$
-Thlyouble | inesea | ononedth | Edshhe |
+password: [secret correcthorse]
+Password: [secret winter-Garden7]
+passwd: [secret letmein99]
+my password is [secret Blue42horse] , tell nobody
+the password is [secret s3cretPass] for now
+"password": [secret "opensesame1"] ,
+{"api_key": [secret "q7Zt3LmN8vBx2KpR5wYd"]}
+"token": [secret "eyJhbGciOiJIUzI1NiJ9"] }
+{"secret": [secret "Zx81mPq0Lr"]}
+API_TOKEN=[secret ghp_R4nd0mLetters29xQ7]
+DB_PASSWORD=[secret pa55word!]
+export SECRET_KEY=[secret "d41d8cd98f00b204e9800998ecf8427e"]
+aws_secret=[secret wJalrXUtnFEMI/K7MDENG]
+access_token=[secret 8f14e45fceea167a5a36dedd4bea2543]
+my name is [name John]
+My name is [name Mary] and this is my house .
+Mrs [name Thatcher] and Mr [name Blair] met .
+Mr [name Adams] did not reply .
+Ms [name Okafor] , please come in .
+Dr [name Lee] and Dr [name Hall] agree .
+Dear [name Susan] , thank you .
+Dear Mrs [name Hughes] , we write to you again .
+Patient : [name George Evans] was seen at nine .
+Customer : [name Nina Petrova]
+Name: [name Alan Moore]
+Name : [name Grace Kelly] Date : today
+Contact: [name Ivan Horvat]
+Frau [name Schulz] und Herr [name Becker] sind da .
+Herr [name Wagner] kommt später .
+Madame [name Petit] est arrivée .
+Señor [name Gomez] no está .
+Name : Type Default Value
+Customer : Account Status
+Patient : Room Number
+Name: First Last
+Contact: Sales Department
+Contact : Customer Service
+contact the office before noon , or call
+please contact our staff for help .
 the token was valid and the key fits the lock
 his password is old , the secret is out
+the password is wrong and must be changed .
+enter your password: then press return
+Forgot your password ? Ask for a new one .
+my name is not on the list
+My name is on the door .
 The name of the street is long . Her name was on the list .
 The doctor and the patient met in May . Mr and Mrs are titles
 a customer of the shop paid 120 euros on 12.05.2021
 Contact us by mail or phone , any time .
 In 1998 the firm had 3400 staff and 12 plants .
+The sun was low . A dog ran over the field and into the trees .
+They had bread , cheese and wine . It rained all day .
+Nothing moved . Then The Wind Rose And Fell .
+NOTICE!! READ THIS!! STOP!! GO HOME NOW!!
+wait*** what*** price*** five$$$ more$$$
+Home | News | Sport | Weather |
 Licensed under the Apache License, Version 2.0.
 Licensed under the Apache License , Version 2.0 .
-of the and was. Anes of. Thnd. Thtionnd the whshe Edst
-Ist. Heitbeieerver enheit en. Be. Enlichach der
-for. Onedsh thhawhhe, for was with. Thinsted erth
-Onou Onou Onou Onou Onou
-Esesed. Thststble and, Haor ingorti, thenes
-De. Lequeon le. Ci. Uncióndo ll en Au. Qui éla
-Than. Errest Ndre. Stion eanthe
-ER!! EROUED,!! IS!! WITH. ANSHES!! AND,!! ERLY!! ERWHER.!!
-THE!! ER!! ORES,!! THTINT. STENAT THTI IN. ANENON
+This work is licensed under the GNU General Public License , version 3 .
+Released under the MIT License .
+It is. Then and there. Of this, by that. She was. An end of it
+He is. Running is good. To be is. Morning, and was. By then , End of
+the work is. Little by little. On it is. Houses of the. And was , Later
+and so. Here by it was. Often, for that is. Every of the , was. Ever and on
+Here , There , And Everywhere is. Under the. Over by the
+Reason was the cause , and. Cause is. Effect by it
+das ist Brot und Wasser . Der Weg ist. Heute und Morgen der Tag
+Die Arbeit war gut , und. Arbeit ist. Zeit mit der Familie
+la vie est. Demain et aussi. Les jours , et. Nuits de la Ville
+la vida es. Hoy y luego. Los días , y. Noche de la Ciudad
+this is Monday and that was Tuesday . By Friday , all is done .
+what is. Name of the game . The name was. Given , it is
+THE WORK IS DONE. AND SO IT WAS. BY US!! ALL IS WELL!!
+Customer : Shipping Address
+Customer : Payment Method
+Patient : Blood Type
+Name : Column Index
+Name: Street Number
+Contact: Billing Office
+Name : Date Type Status
+Field : Street Address
+Name : Default Type
+Account : Payment Service Method
+Column : Order Date , Shipping Office
+Customer : Account Number
+Patient : Blood Status
+Contact : Service Department
+Contact: Billing Address
+Customer : Sales Order
+Name: Description Index Value
+Name : First Column
+Room : Number Field
+what is wonderful , and more
+it is interesting , and the rest is history , or so
+that is marvellous*** and fine###
+the secret is wonderfully kept , and the password is changed
+the key is under the mat , the token is in my pocket
+Spring Summer Autumn Winter
+Rain Rain Rain Rain Rain Rain
+Bells Bells Bells and more
+Apples Pears Plums Cherries Figs Dates
+Élan Été Île Âme
+Berg Tal Fluss Meer
+Hills. Valleys rivers
+Wait.*** Look!&&& Listen.###
+we saw remarkable neighbourhoods.
+thus began everlasting transformation.
+more### wonderful$$$ understanding.***
+some%%% strange,$$$ astonishing.&&&
+very### sudden%%% disappointment.###
+sehr schöne Wissenschaften verständlich.
+très&&& jolie### extraordinaire.&&&
+Often.&&& Again.*** Thunder.###
+so it ends, unfortunately.
+notwithstanding everything
+Der Zug fährt um neun . Das Haus ist alt und groß .
+Die Kinder spielen im Garten . Am Abend wird es kalt .
+Le chat est dans la maison . Elle est avec son frère .
+Les enfants jouent dehors . Il fait froid le soir .
+Los niños y la casa . El perro duerme en la calle .
 The End. Chapter One. New Delhi. Big Ben is tall. North Sea
 Der Hund. Die Katze Und Das Haus Am See. Ein Tag
 La Casa Grande. El Rey. Le Grand Hotel De Ville. Un Jour
-This work is licensed under the GNU General Public License , version 3 .
-Released under the MIT License .
-und.34@mail7.example.com is on file
-+1 (974) 555-3436 and 4736962573099581 from 97.51.17.173
+someone@example.org is on file , as is +44 20 7946 0000
+call 0800 123456 or see 192.0.2.44 for more
 version = 3 and size = 40 ; x = "left"
+width=100 height=200 color=red name=box
+x=1 y=2 mode=fast path=/usr/local/lib
 Herr und Frau sind Wörter . Madame et Monsieur aussi .
 """.strip()
 
@@ -170,9 +263,25 @@ _RUN = re.compile(r"(.)\1+")
 _STRIP = "\"'.,;:!?()[]{}<>|$%&*#=«»“”"
 
 
+def assigned(w: str) -> str:
+    """The last part of the name that a word gives a value to: token of API_TOKEN=x; else nothing."""
+    head, _, value = w.partition("=")
+    name = head.rpartition("_")[2].strip(_STRIP).lower() if value else ""
+    return name if name.isalnum() else ""
+
+
+def cue_of(w: str) -> str:
+    """What a word is looked up by: itself without punctuation, or the name that it gives a value to."""
+    name = assigned(w)
+    if name:
+        return name + "="
+    return w.strip(_STRIP).lower() if len(w) > 1 else w
+
+
 class Words(dict):
     """Word -> id of its feature set: compressed shape, length class and cue word. There are few
-    such sets however many words there are, and all scores are kept by set."""
+    such sets however many words there are, and all scores are kept by set. The shape is of the
+    whole word: its runs of equal classes, of more than six the first three and the last two."""
 
     def __init__(self, cues: dict[str, int], ids: dict[tuple, int]):
         super().__init__()
@@ -183,9 +292,11 @@ class Words(dict):
         if len(self) >= CACHE:
             self.clear()
         n = len(w)
-        shape = w[:64].translate(self.shapes)
-        sig = (_RUN.sub(r"\1", shape)[:6], 0 if n < 2 else 1 if n < 4 else 2 if n < 8 else 3 if n < 16 else 4 if n < 28 else 5,
-               self.cues.get(w.strip(_STRIP).lower() if n > 1 else w, 0))
+        shape = _RUN.sub(r"\1", w.translate(self.shapes))
+        if len(shape) > 6:  # both ends of a word of many runs
+            shape = shape[:3] + "~" + shape[-2:]
+        sig = (shape, 0 if n < 2 else 1 if n < 4 else 2 if n < 8 else 3 if n < 16 else 4 if n < 28 else 5,
+               self.cues.get(cue_of(w), 0))
         r = self.ids.get(sig)
         if r is None:
             r = self.ids[sig] = len(self.order)
@@ -208,8 +319,9 @@ class Crf:
         self.cues, self.index, self.own, self.trans, self.start = cues, index, own, trans, start
 
     def scores(self, order: list[tuple]) -> np.ndarray:
-        """(3, sets, labels): the score that a word gives to its own, next and previous place."""
-        out = np.zeros((3, len(order), len(LABELS)))
+        """(4, sets, labels): the score that a word gives to its own, the next, the previous and the
+        next but one place."""
+        out = np.zeros((4, len(order), len(LABELS)))
         for i, sig in enumerate(order):
             for f in features(sig):
                 if f in self.index:
@@ -219,12 +331,15 @@ class Crf:
 
 def parse_labelled(line: str) -> tuple[list[str], list[int]]:
     ws, ys, kind, inside = [], [], "", False
+    head = ""
     for w in line.split():
-        if w.startswith("[") and w[1:] in ("name", "secret"):
-            kind, inside = w[1:], False
+        if w.endswith(("[name", "[secret")):
+            head, _, kind = w.rpartition("[")
+            inside = False
             continue
-        last = bool(kind) and w.endswith("]")
-        ws.append(w[:-1] if last else w)
+        last = bool(kind) and ("]" in w)
+        ws.append(head + w.replace("]", "", 1) if last else head + w)
+        head = ""
         ys.append(LABELS.index(f"{'I' if inside else 'B'}-{kind}") if kind else 0)
         inside = bool(kind)
         if last:
@@ -232,16 +347,17 @@ def parse_labelled(line: str) -> tuple[list[str], list[int]]:
     return ws, ys
 
 
-def train(lines: list[str], steps: int = 250, l2: float = 0.01) -> Crf:
+def train(lines: list[str], steps: int = 300, l2: float = 0.01) -> Crf:
     """Fit by Adam on the exact log-likelihood; the same lines give the same weights."""
     if not lines or len(lines) > MAX_LABELLED:
         raise ValueError(f"1 to {MAX_LABELLED} labelled lines are needed, not {len(lines)}")
     data = [parse_labelled(x) for x in lines]
     cues: dict[str, int] = {}
-    for ws, ys in data:  # words next to or inside no span can be cues
+    lines_of = Counter(c for ws, ys in data for c in {cue_of(w) for w, y in zip(ws, ys) if not y})
+    for ws, ys in data:  # words next to a span, and words outside of spans in two lines, can be cues
         for i, w in enumerate(ws):
-            if ys[i] == 0 and any(ys[max(0, i - 2):i + 2]):
-                cues.setdefault(w.strip(_STRIP).lower() if len(w) > 1 else w, len(cues) + 1)
+            if (ys[i] == 0 and (any(ys[max(0, i - 2):i + 2]) or lines_of[cue_of(w)] > 1)) or (ys[i] and assigned(w)):
+                cues.setdefault(cue_of(w), len(cues) + 1)
     words = Words(cues, {})
     seqs = [[words[w] for w in ws] for ws, _ in data]
     feats = sorted({f for s in words.order for f in features(s)})
@@ -254,7 +370,7 @@ def train(lines: list[str], steps: int = 250, l2: float = 0.01) -> Crf:
     x, y, on = np.zeros((n, t), int), np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, (s, (_, ys)) in enumerate(zip(seqs, data)):
         x[i, :len(s)], y[i, :len(s)], on[i, :len(s)] = s, ys, True
-    own, trans, start = np.zeros((3, len(feats), k)), np.zeros((k, k)), np.zeros(k)
+    own, trans, start = np.zeros((4, len(feats), k)), np.zeros((k, k)), np.zeros(k)
     params = [own, trans, start]
     mom, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     gold = np.eye(k)[y] * on[..., None]
@@ -274,7 +390,8 @@ def train(lines: list[str], steps: int = 250, l2: float = 0.01) -> Crf:
 
     for step in range(1, steps + 1):
         by_set = np.einsum("sf,pfk->psk", has, own)
-        e = by_set[0][x] + shift(by_set[1][x] * on[..., None], 1) + shift(by_set[2][x] * on[..., None], -1)
+        e = by_set[0][x] + shift(by_set[1][x] * on[..., None], 1) + shift(by_set[2][x] * on[..., None], -1) \
+            + shift(by_set[3][x] * on[..., None], 2)
         a, b = np.zeros((n, t, k)), np.zeros((n, t, k))
         a[:, 0] = start + e[:, 0]
         for i in range(1, t):
@@ -288,8 +405,9 @@ def train(lines: list[str], steps: int = 250, l2: float = 0.01) -> Crf:
         pair = a[:, :-1, :, None] + trans + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
         pair = (np.exp(np.minimum(pair, 0)) * on[:, 1:, None, None]).sum(axis=(0, 1))
         diff = gold - p
-        g_own = np.stack([np.zeros((len(words.order), k))] * 3)
-        for j, d in enumerate((diff, shift(diff, -1) * on[..., None], shift(diff, 1) * on[..., None])):
+        g_own = np.stack([np.zeros((len(words.order), k))] * 4)
+        for j, d in enumerate((diff, shift(diff, -1) * on[..., None], shift(diff, 1) * on[..., None],
+                               shift(diff, -2) * on[..., None])):
             np.add.at(g_own[j], x[on], d[on])
         grads = [np.einsum("sf,psk->pfk", has, g_own) - l2 * own, gold_pairs - pair - l2 * trans,
                  diff[:, 0].sum(axis=0) - l2 * start]
@@ -332,7 +450,7 @@ class Decoder:
 
     def __init__(self, model: Crf):
         self.m, self.words = model, Words(model.cues, {})
-        self.table = np.zeros((3, 0, len(LABELS)))
+        self.table = np.zeros((4, 0, len(LABELS)))
         t = model.trans
         self.gain = (t.max() - t.min()) + max(t.max() - t.min(), model.start.max() - model.start.min())
 
@@ -349,11 +467,12 @@ class Decoder:
             return np.split(y, np.cumsum(sizes)[:-1])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         joined = np.append(doc[1:] == doc[:-1], False)
-        # a word can be anything but outside only if its own, the previous and the next set allow it
+        # a word can be anything but outside only if its own set and those around it allow it
         lead = self.table[:, :, 1:].max(axis=2) - self.table[:, :, 0]
         most = lead[0][x] + self.gain
         most[1:] += lead[1][x[:-1]] * joined[:-1]
         most[:-1] += lead[2][x[1:]] * joined[:-1]
+        most[2:] += lead[3][x[:-2]] * (joined[:-2] & joined[1:-1])
         open_ = np.flatnonzero(most > -1e-6)
         if len(open_):
             self._decode(x, y, open_, joined)
@@ -363,8 +482,11 @@ class Decoder:
         e = self.table[0][x[at]].copy()
         has_prev = (at > 0) & joined[at - 1]
         has_next = joined[at]
+        two = np.maximum(at - 2, 0)
+        has_two = (at > 1) & joined[at - 1] & joined[two]
         e += np.where(has_prev[:, None], self.table[1][x[at - 1]], 0)
         e += np.where(has_next[:, None], self.table[2][x[np.minimum(at + 1, len(x) - 1)]], 0)
+        e += np.where(has_two[:, None], self.table[3][x[two]], 0)
         new = np.append(True, (np.diff(at) != 1) | ~joined[at[:-1]])
         begin = np.flatnonzero(new)
         length = np.diff(np.append(begin, len(at)))
@@ -403,6 +525,9 @@ def crf_spans(text: str, labels: np.ndarray) -> list[tuple[str, int, int]]:
             continue
         s = m.start() + len(w) - len(w.lstrip(_STRIP))
         kind = LABELS[lab][2:]
+        if kind == "secret" and assigned(core):  # the value, not the name it is assigned to
+            value = core.partition("=")[2]
+            core, s = value.lstrip(_STRIP), s + len(core) - len(value.lstrip(_STRIP))
         if cur is not None and cur[0] == kind and LABELS[lab][0] == "I":
             cur[2] = s + len(core)
         else:

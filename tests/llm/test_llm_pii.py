@@ -51,6 +51,7 @@ def test_decoding_is_viterbi():
         e = tab[0][ids].copy()
         e[1:] += tab[1][ids[:-1]]
         e[:-1] += tab[2][ids[1:]]
+        e[2:] += tab[3][ids[:-2]]
         s, back = model.start + e[0], []
         for i in range(1, len(ids)):
             q = s[:, None] + model.trans
@@ -102,3 +103,83 @@ def test_overlapping_spans_merge():
 def test_training_is_repeatable():
     lines = pii.LABELLED.split("\n")[:12]
     assert np.array_equal(pii.train(lines, steps=5).own, pii.train(lines, steps=5).own)
+
+
+#: Lines that the model has not seen, with their spans.
+HELD_OUT = """
+Please contact [name Helen Fraser] after lunch .
+Contact [name Omar Haddad] for the keys .
+Dear Mr [name Walter Grant] , thank you for your call .
+Dear Ms [name Ruth Keller] , the parcel has arrived .
+Mrs [name Nguyen] called yesterday .
+Mr [name Collins] and Mrs [name Bennet] were away .
+Dr [name Sofia Marino] will call at six .
+My name is [name Edward Stone] and I am new here .
+my name is [name Rosa]
+signed by [name Victor Hansen] on Friday .
+Patient : [name Irene Walsh]
+Customer : [name Paul Jansen]
+Name : [name Daniel Ortiz]
+Name: [name Judith Frank]
+Herr [name Stefan Vogel] ist krank .
+Frau [name Lehmann] und Herr [name Koch] warten .
+Mein Name ist [name Jonas Wolf] .
+Monsieur [name Jean Lefevre] est parti .
+Je m'appelle [name Camille Roux] .
+Me llamo [name Diego Navarro] .
+password: [secret horsebattery]
+password = [secret Autumn2019x]
+api_key = [secret "Lk29dXmQ0s8Vb3Tz"]
+api_key : [secret pQ7nR2xT9vK4mZ8w]
+{"api_key": [secret "mN3bV5cX7zL9kJ1hG"]}
+"token": [secret "c2lnbmF0dXJlMTIz"] }
+token = [secret "da39a3ee5e6b4b0d3255bfef95601890afd80709"]
+token = [secret 098f6bcd4621d373cade4e832627b4f6]
+secret : [secret e4d909c290d0fb1ca068ffaddf22cbd0]
+GITHUB_TOKEN=[secret ghp_a8Sd7f6A5sdf9Qw2]
+ROOT_PASSWORD=[secret tiger-lily5]
+export SECRET_KEY=[secret "5f4dcc3b5aa765d61d8327deb882cf99"]
+apikey = [secret "1a79a4d60de6718e8e5b326e338ae533"] , as before
+Name : Field Description
+Customer : Order Number
+the password was changed in March
+a token of thanks , and the key of the house
+Her name was never on the list of guests .
+Monday Tuesday Wednesday Thursday
+The River Runs. Under The Bridge. It was quiet
+height=20 depth=4 style=bold
+"""
+
+
+def test_held_out_lines_have_their_spans():
+    dec = pii.Decoder(pii.default_model())
+    seen = set(pii.LABELLED.split("\n"))
+    right, found, wanted = ({"name": 0, "secret": 0} for _ in range(3))
+    for line in HELD_OUT.strip().split("\n"):
+        assert line not in seen
+        text, want, kind = "", [], ""
+        for piece in re.split(r"(\[name |\[secret |\])", line):
+            if piece in ("[name ", "[secret "):
+                kind = piece[1:-1]
+            elif piece == "]":
+                kind = ""
+            else:
+                if kind:
+                    core = piece.strip('"')
+                    at = len(text) + piece.index(core)
+                    want.append((kind, at, at + len(core)))
+                text += piece
+        got = [x for x in pii.spans_of([text], dec)[0] if x[0] in right]
+        for k in right:
+            right[k] += len({x for x in got if x[0] == k} & {x for x in want if x[0] == k})
+            found[k] += sum(x[0] == k for x in got)
+            wanted[k] += sum(x[0] == k for x in want)
+    for k in right:
+        assert right[k] >= 0.9 * wanted[k] and right[k] >= 0.9 * found[k], (k, right, found, wanted)
+
+
+def test_shape_is_of_the_whole_word():
+    words = pii.Words({}, {})
+    a, b = "x" * 100 + "9", "x" * 101
+    assert words.order == [] and words[a] != words[b]
+    assert pii.spans_of(["a" * 200_000 + "=b", "=" * 100_000, "_a" * 50_000 + "=z", "_" * 200_000, "_" * 200_000 + "=x"], pii.Decoder(pii.default_model()))
