@@ -9,7 +9,10 @@ holding a third of the rows is spread over many tasks rather than one.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,20 +151,50 @@ def _seeded_hash(j: int):
     return lambda s: F.xxhash64(F.lit(j), s)
 
 
-def tfidf(df: DataFrame, text_col: str, key: str, ngrams: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(key, term, tf, idf, tfidf); idf = ln((N + 1) / (df + 1)) as pyspark.ml's IDF."""
-    # tokens as a column first: referenced by every n-gram order, evaluated once
-    toks = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
-    grams = [ngrams_of(F.col("__toks"), n) for n in ngrams]
-    all_terms = F.flatten(F.array(*grams)) if len(grams) > 1 else grams[0]
-    # counted once and written: both sides of the join read it, and as both are plain shuffles
-    # then, adaptive execution can split the partitions of frequent terms
-    tf = cut_lineage(toks.select(key, F.explode(all_terms).alias("term"))
-                     .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = df.agg(F.count(F.lit(1)).alias("__N"))
-    idf = cut_lineage(attach(dfreq, n_docs).select("term", F.log((F.col("__N") + 1) / (F.col("df") + 1)).alias("idf")))
-    return tf.join(idf, "term").select(key, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+def term_counts(df: DataFrame, text_col: str, key: str, ngrams: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(key, term, tf): the word n-grams of each row, counted inside the row. Nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, terms, times = [], [], []
+                for i, toks in enumerate(part.column(1).to_pylist()):
+                    counts: Counter[str] = Counter()
+                    for n in ngrams:
+                        counts.update(toks or () if n == 1 else map(" ".join, zip(*((toks or ())[j:] for j in range(n)))))
+                    row += [i] * len(counts)
+                    terms += counts.keys()
+                    times += counts.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(terms, pa.string()),
+                                                  pa.array(times, pa.int64())], names=["k", "term", "tf"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, T.word_tokens(F.col(text_col))).mapInArrow(run, f"k {kind}, term string, tf long") \
+        .withColumnRenamed("k", key)
+
+
+def tfidf(df: DataFrame, text_col: str, key: str, ngrams: tuple[int, ...] = (1, 2), frequent: int = 500_000) -> DataFrame:
+    """(key, term, tf, idf, tfidf); idf = ln((N + 1) / (df + 1)) as pyspark.ml's IDF. A row is a
+    document, whatever its key.
+
+    A document's terms are counted inside its row. The terms above the least document frequency
+    (a power of two) that at most ``frequent`` terms reach are broadcast. Where this frequency is two,
+    all other terms are of one document and need no join; else the rows of the rarer terms alone
+    are shuffled, each of which has fewer rows than that frequency.
+    """
+    # counted once and written, as the frequencies and the result both read it
+    tf = cut_lineage(term_counts(df, text_col, key, ngrams))
+    dfreq = cut_lineage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    steps = [2 << i for i in range(62)]
+    sizes = dfreq.agg(*[F.count_if(F.col("df") >= t) for t in steps]).first()
+    cut = next(t for t, n in zip(steps, sizes) if n <= frequent)
+    rows = attach(tf, df.agg(F.count(F.lit(1)).alias("__N")))
+    found = rows.join(F.broadcast(dfreq.where(F.col("df") >= cut)), "term", "left")
+    if cut > 2:
+        rare = found.where("df IS NULL").drop("df").join(dfreq.where(F.col("df") < cut), "term")
+        found = found.where("df IS NOT NULL").unionByName(rare)
+    idf = F.log((F.col("__N") + 1) / (F.coalesce("df", F.lit(1)) + 1))
+    return found.select(key, "term", "tf", idf.alias("idf")).withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
 # ------------------------------------------------------------------ J3, J4, J6, J8

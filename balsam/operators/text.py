@@ -6,6 +6,9 @@ import hashlib
 import re
 import warnings
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +80,8 @@ def embed_text(df: DataFrame, text_col: str, key: str, dim: int = 384,
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
+#: A vocabulary goes to every task, so it has a bound.
+MAX_VOCABULARY = 1_000_000
 
 
 def build_vocabulary(df: DataFrame, text_col: str, size: int = 30000) -> DataFrame:
@@ -95,27 +100,39 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int = 30000) -> DataFra
 
 def encode_sequences(df: DataFrame, text_col: str, key: str, vocab: DataFrame,
                      max_length: int = 128) -> DataFrame:
-    """Fixed-length encoding: [start] ids [end] then padding, with attention mask.
+    """Fixed-length encoding: [start] ids [end] then padding, with attention mask. A row per row.
 
     The whole text is tokenised (``n_tokens`` counts all tokens); ids beyond
-    ``max_length - 2`` are truncated, as the reference's tokenizer does.
+    ``max_length - 2`` are truncated, as the reference's tokenizer does. The vocabulary, of
+    ``MAX_VOCABULARY`` tokens at most, goes to the tasks, which look ids up inside the row.
     """
     body = max_length - 2
-    toks = df.select(key, T.word_tokens(F.col(text_col)).alias("__toks"))
-    tok = toks.select(key, F.size("__toks").alias("__n"),
-                      F.posexplode_outer(F.slice("__toks", 1, body)).alias("__p", "token"))
-    ids = (tok.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-           .groupBy(key).agg(F.first("__n").alias("n_tokens"),
-                             F.array_sort(F.collect_list(F.when(F.col("__p").isNotNull(), F.struct(
-                                 "__p", F.coalesce("token_id", F.lit(UNK)).alias("__id"))))).alias("__s")))
-    seq = F.transform(F.col("__s"), lambda s: s["__id"])
-    n = F.size(seq)
-    input_ids = F.concat(F.array(F.lit(CLS)), seq, F.array(F.lit(SEP)),
-                         F.array_repeat(F.lit(PAD), F.lit(body) - n))
-    mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), F.lit(body) - n))
-    return ids.select(key, input_ids.cast("array<int>").alias("input_ids"),
-                      mask.cast("array<int>").alias("attention_mask"),
-                      F.col("n_tokens").cast("long").alias("n_tokens"))
+    known = {r[0]: r[1] for r in vocab.select("token", "token_id").limit(MAX_VOCABULARY + 1).collect()}
+    if len(known) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY} tokens")
+
+    def run(batches):
+        get, place = known.get, np.arange(max_length)
+        for batch in batches:
+            toks = batch.column(2)
+            n = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)[:, None]
+            ids = np.full((batch.num_rows, max_length), PAD, np.int32)
+            # row by row, as the tokens lie in the column
+            ids[(place >= 1) & (place <= n)] = [get(t, UNK) for t in toks.flatten().to_pylist()]
+            ids[:, 0] = CLS
+            ids[np.arange(len(n)), n[:, 0] + 1] = SEP
+            on = (place <= n + 1).astype(np.int32)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * max_length
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.ListArray.from_arrays(ends, x.ravel()) for x in (ids, on)), batch.column(1)],
+                names=["k", "input_ids", "attention_mask", "n_tokens"])
+
+    toks = T.word_tokens(F.col(text_col))
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, toks.alias("__toks")) \
+        .select(key, F.size("__toks").cast("long").alias("__n"), F.slice("__toks", 1, body).alias("__toks")) \
+        .mapInArrow(run, f"k {kind}, input_ids array<int>, attention_mask array<int>, n_tokens long") \
+        .withColumnRenamed("k", key)
 
 
 # ---------------------------------------------------------------- user encoder hook
@@ -144,7 +161,6 @@ class _Cells(dict):
 
 def hashing_encoder(dim: int = 384):
     """The default encoder: ``encode(texts) -> ndarray[n, dim]`` by feature hashing."""
-    import numpy as np
 
     cells = _Cells(dim)
 
@@ -176,8 +192,6 @@ def embed_with(df: DataFrame, text_col: str, key: str, factory=None, dim: int =
     builds the model once and keeps it under that name for later tasks; without one each task
     builds its own. Rows come in chunks of ``batch_size``, as the reference encodes them; the model
     never sees the whole corpus at once."""
-    import numpy as np
-    import pyarrow as pa
     if factory is None:
         factory, name = (lambda: hashing_encoder(dim)), f"hashing-{dim}"
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -157,3 +158,37 @@ def test_period_of_centuries(spark):
     got = sorted((r["k"], r["p"]) for r in FT.period_join(df, "t", periods).collect())
     assert got == [(1, "day"), (1, "long"), (2, "long")]
     assert FT.period_join(df, "t", periods.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [500_000, 3, 0])
+def test_tfidf_equals_a_plain_count(spark, frequent):
+    """All terms broadcast, some of them, none; null, empty, long and repeated texts."""
+    rows = [(1, "the cat saw the cat"), (2, None), (3, ""), (4, "the dog saw " * 2000), (5, "a dog"), (5, "a dog"), (None, "the end")]
+    got = FT.tfidf(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", frequent=frequent).collect()
+    counts, df = [], {}
+    for k, t in rows:
+        w = (t or "").split()
+        c = {}
+        for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            c[x] = c.get(x, 0) + 1
+        counts.append((k, c))
+        for x in c:
+            df[x] = df.get(x, 0) + 1
+    want = sorted(((str(k), x, n, round(n * math.log((len(rows) + 1) / (df[x] + 1)), 9)) for k, c in counts for x, n in c.items()))
+    assert sorted((str(r["doc_id"]), r["term"], r["tf"], round(r["tfidf"], 9)) for r in got) == want
+    empty = spark.createDataFrame([], "doc_id string, text string")
+    assert FT.tfidf(empty, "text", "doc_id", frequent=frequent).count() == 0
+
+
+def test_encode_sequences_row_by_row(spark):
+    from balsam.operators.text import build_vocabulary, encode_sequences
+    rows = [("a", "one two two three"), ("b", None), ("b", ""), (None, "two one two three four five six seven"), ("a", "two")]
+    d = spark.createDataFrame(rows, "k string, text string")
+    vocab = build_vocabulary(d, "text", 3)
+    got = sorted((str(r["k"]), r["input_ids"], r["attention_mask"], r["n_tokens"]) for r in encode_sequences(d, "text", "k", vocab, 6).fillna(0, ["n_tokens"]).collect())
+    # ids by document frequency, then by token: two 4, one 5, three 6
+    want = sorted([("a", [2, 5, 4, 4, 6, 3], [1] * 6, 4), ("a", [2, 4, 3, 0, 0, 0], [1] * 3 + [0] * 3, 1), ("b", [2, 3, 0, 0, 0, 0], [1, 1, 0, 0, 0, 0], 0),
+                   ("None", [2, 4, 5, 4, 6, 3], [1] * 6, 8)])
+    assert [g for g in got if g[0] != "b"] == [w for w in want if w[0] != "b"]
+    assert [g[1:3] for g in got if g[0] == "b"] == [([2, 3, 0, 0, 0, 0], [1, 1, 0, 0, 0, 0])] * 2
+    assert encode_sequences(d.limit(0), "text", "k", vocab).count() == 0
