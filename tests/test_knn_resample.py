@@ -243,3 +243,29 @@ def test_beta_quantile():
 def test_uniform_value_equals_the_column(spark):
     from balsam.functions.random import uniform, uniform_value
     assert [r[0] for r in spark.range(5).select(uniform("7:f", "id")).collect()] == [uniform_value("7:f", i) for i in range(5)]
+
+
+def test_a_query_is_sent_once_to_a_unit(spark):
+    """Where no cell can be left out, a query still goes to each unit of cells once, not to each cell."""
+    from balsam.operators.knn import BLOCKS, CellIndex, _prep
+    df, X, _ = _vecs(spark, n=900, d=24)
+    rows = _prep(df, "id", "x")
+    index = CellIndex(rows, block_rows=16)  # small blocks grow with the table
+    visits = index.other_visits(rows, rows.select(F.col("id").alias("q_id"), F.lit(1e9).alias("bound")), 3)
+    assert visits.count() == len(X) and index.pairs(visits) > 0.8 * len(X) ** 2
+    assert visits.agg(F.max(F.size("units"))).first()[0] <= 2 * BLOCKS
+    assert _as_lists(knn(df, df, 3, block_rows=16)) == _brute(X, np.arange(len(X)), 3)
+
+
+def test_knn_copies_and_repeated_ids(spark):
+    """Large groups of equal vectors, ids that come twice, vectors of any length."""
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e-30, 1e30):
+        X = rng.normal(size=(160, 6)) * scale
+        X[40:120] = X[0]
+        df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, x array<double>")
+        assert _as_lists(knn(df, df, 4, block_rows=32)) == _brute(X, np.arange(len(X)), 4)
+    twice = df.unionByName(df.where("id < 50"))
+    q = df.where("id = 60")
+    got = [(r["nn_id"], r["rank"]) for r in knn(q, twice, 4).orderBy("rank").collect()]
+    assert got == [(0, 1), (0, 2), (40, 3), (40, 4)]
