@@ -34,14 +34,15 @@ def nearest_milestones(events: DataFrame, milestones: DataFrame, ts: str, milest
     # written once: the bounds of the ranges come from a sample
     dealt = both.repartitionByRange(partitions, *order) if partitions else both.repartitionByRange(*order)
     dealt = cut_lineage(dealt.withColumn("part", F.spark_partition_id()))
-    here = Window.partitionBy("part", *names).orderBy("t", "kind")
-    rows = dealt.withColumn("p", F.max("m").over(here.rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("n", F.min("m").over(here.rowsBetween(1, Window.unboundedFollowing))).filter("kind = 1")
+    here = Window.partitionBy("part", *names)
+    # both frames grow from their first row: one that shrinks is worked out anew for every row
+    rows = dealt.withColumn("p", F.max("m").over(here.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("n", F.min("m").over(here.orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1))).filter("kind = 1")
     # one row per key and partition; keys that lie in one partition have nothing to carry
     ends = dealt.groupBy("part", *names).agg(F.max("m").alias("hi"), F.min("m").alias("lo"))
-    of = Window.partitionBy(*names).orderBy("part") if names else Window.orderBy("part")
-    carried = ends.select("part", *names, F.max("hi").over(of.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-                          F.min("lo").over(of.rowsBetween(1, Window.unboundedFollowing)).alias("after")) \
+    of = lambda *order: (Window.partitionBy(*names).orderBy(*order) if names else Window.orderBy(*order)) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("part", *names, F.max("hi").over(of("part")).alias("before"), F.min("lo").over(of(F.desc("part"))).alias("after")) \
         .filter("before is not null or after is not null")
     same = [F.col("r.part") == F.col("c.part"), *[F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names]]
     found = rows.alias("r").join(carried.alias("c"), same, "left").select(

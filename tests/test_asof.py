@@ -28,3 +28,13 @@ def test_empty_tables(spark):
     m = e.limit(0).select(e["t"].alias("d"))
     assert nearest_milestones(e.limit(0), m, "t", "d").count() == 0
     assert nearest_milestones(e, m, "t", "d").first()["previous"] is None
+
+
+def test_frames_grow_from_their_first_row(spark):
+    """A frame up to the last row is worked out anew for every row, so that time grows with the square."""
+    ev = spark.createDataFrame([("a", i) for i in range(6)], "k string, t int")
+    ms = spark.createDataFrame([("a", 2), ("a", 4)], "k string, m int")
+    out = nearest_milestones(ev, ms, "t", "m", ["k"], partitions=2)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    assert sorted((r["t"], r["previous"], r["next"]) for r in out.collect()) == [
+        (0, None, 2), (1, None, 2), (2, 2, 4), (3, 2, 4), (4, 4, None), (5, 4, None)]
