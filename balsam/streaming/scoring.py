@@ -17,9 +17,9 @@ from balsam.session import scratch_path
 
 
 def masked_stream(spark: SparkSession, folder: str, schema: StructType | str, text_cols: list[str],
-                  glob: str = "*.parquet", max_files_per_trigger: int = 1, **mask_kw) -> DataFrame:
+                  glob: str = "*.parquet", max_files_per_trigger: int = 32, **mask_kw) -> DataFrame:
     """File-source stream of the parquet files in ``folder`` matching ``glob``, with
-    the masking plan applied."""
+    the masking plan applied. ``folder`` may be a table: one file, or the folder of its part files."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("pathGlobFilter", glob).parquet(folder))
     return mask_text(src, text_cols, **mask_kw)
@@ -42,4 +42,4 @@ def run_to_table(stream: DataFrame, name: str, fmt: str = "parquet") -> DataFram
          .option("checkpointLocation", out + "-checkpoint")
          .trigger(availableNow=True).outputMode("append").start())
     q.awaitTermination()
-    return spark.read.format(fmt).load(out)
+    return spark.read.schema(stream.schema).format(fmt).load(out)  # a stream without rows writes no file

@@ -14,3 +14,14 @@ def test_stream_equals_batch(spark):
         "doc_id", T.mask_terms_longest(T.mask_patterns_ordered(T.fill_text(F.col("text"))), T.PROVINCE_NAMES).alias("text"))
     want = {r["doc_id"]: r["text"] for r in batch.collect()}
     assert got == want and len(got) > 0
+
+
+def test_stream_of_part_files(spark, tmp_path):
+    """A table may be one file or a folder of part files; a stream without rows keeps its schema."""
+    from balsam.plans.text_plans import q_stream_mask
+    spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(4) \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r["doc_id"], r["text"]) for r in q_stream_mask(spark, str(tmp_path)).collect()} == {(i, f"text {i}") for i in range(40)}
+    none = masked_stream(spark, str(tmp_path), "doc_id long, text string", ["text"], glob="absent.parquet")
+    assert run_to_table(none, "none").columns == ["doc_id", "text"]
