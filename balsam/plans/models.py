@@ -25,7 +25,7 @@ from balsam.plans.registry import query
 from balsam.plans.sql import E, L, W, mask_chain, normalize_ws, split_flags
 from balsam.session import cut_lineage, scratch_path
 from balsam.streaming import masked_stream, run_to_table, score_stream
-from balsam.sources.tables import embedding_set, labelled_documents, learnable_set, table, table_path
+from balsam.sources.tables import embedding_set, labelled_documents, learnable_set, table, table_glob
 
 SEED = "42"
 
@@ -269,7 +269,7 @@ def q_stream_score(spark, sf):
     """The fitted text model applied to a stream of the documents; equal to the batch scores."""
     model, _, _ = _text_model(spark, sf)
     schema = table(spark, sf, "documents", "doc_id", "text").schema
-    stream = masked_stream(spark, table_path(sf, "documents"), schema, ["text"]).withColumnRenamed("doc_id", "id")
+    stream = masked_stream(spark, table_glob(sf, "documents"), schema, ["text"]).withColumnRenamed("doc_id", "id")
     got = run_to_table(score_stream(stream, model, ["id"]).select("id", "score"), "score")
     docs = mask_text(table(spark, sf, "documents", "doc_id", "text"), ["text"]).withColumnRenamed("doc_id", "id")
     batch = S.predict_proba(model, docs, ["id"]).select("id", F.col("score").alias("batch"))
