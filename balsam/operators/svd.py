@@ -2,7 +2,7 @@
 
 Words fall into ``buckets`` columns by hash, so that a row of the matrix is worked out inside its
 document and the factors have a size that does not depend on the data. For a basis Q of the columns'
-space one pass over the documents adds up A'(A Q): every task multiplies its sparse rows by Q and
+space one pass over the documents adds up A'(A Q): every task multiplies its rows, in blocks over the columns that they have, by Q and
 back, and only the rows of the product leave it, which Spark sums by column. The driver orthonormalises
 (buckets x rank) numbers and starts the next pass. After the last one, (A Q)'(A Q), of rank x rank
 numbers, turns Q to the singular vectors. A text's embedding is its row times these, scaled to length
@@ -38,20 +38,28 @@ def _rows(texts: list[str | None], buckets: int, idf: np.ndarray | None) -> tupl
         col += found.keys()
         val += found.values()
     r, c, v = np.array(row, np.int64), np.array(col, np.int64), np.array(val, float)
-    if idf is not None:
-        v = np.log1p(v) * idf[c]
-        norm = np.sqrt(np.bincount(r, v * v, len(texts)))
-        v = v / np.where(norm > 0, norm, 1.0)[r]
-    return r, c, v
+    return (r, c, v) if idf is None else (r, c, _weighted(r, c, v, len(texts), idf))
+
+
+def _weighted(r: np.ndarray, c: np.ndarray, v: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
+    """The values of ``n`` rows of counts, each row scaled to length 1."""
+    v = np.log1p(v) * idf[c]
+    norm = np.sqrt(np.bincount(r, v * v, n))
+    return v / np.where(norm > 0, norm, 1.0)[r]
+
+
+def _dense(r: np.ndarray, c: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, matrix): the columns that the sparse rows have, and the rows over these alone."""
+    columns, at = np.unique(c, return_inverse=True)
+    out = np.zeros((n, len(columns)))
+    out[r, at.ravel()] = v
+    return columns, out
 
 
 def _times(r: np.ndarray, c: np.ndarray, v: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
     """The sparse rows times ``q``."""
-    out = np.zeros((n, q.shape[1]))
-    if len(r):
-        at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        out[r[at]] = np.add.reduceat(v[:, None] * q[c], at, axis=0)
-    return out
+    columns, rows = _dense(r, c, v, n)
+    return rows @ q[columns]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -61,6 +69,15 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield part, part.column(column).to_pylist()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row, column, count, rows) of up to ``BLOCK`` counted documents."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            cols, counts = (b.column(i).slice(at, BLOCK) for i in range(2))
+            r = np.repeat(np.arange(len(cols)), cols.value_lengths().to_numpy())
+            yield r, cols.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(float), len(cols)
+
+
 _VECTOR = "at int, v binary"
 
 
@@ -111,15 +128,22 @@ def fit_svd(df: DataFrame, text_col: str, dim: int = 384, buckets: int = 8192, p
             seed: int = 42) -> TextSVD:
     """Fit on all rows of ``df``. ``dim`` is at most ``buckets``; ``extra`` columns and more ``passes`` make
     the result more exact."""
-    docs = cut_lineage(df.select(F.coalesce(text_col, F.lit("")).alias("text")))
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches, 0):
+            r, c, v = _rows(texts, buckets, None)
+            ends = pa.array(np.searchsorted(r, np.arange(len(texts) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (c, v.astype(np.int32))], names=["cols", "counts"])
+
+    # the words are looked for once; the passes read their columns and counts
+    docs = cut_lineage(df.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(words, "cols array<int>, counts array<int>"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sc, rank = df.sparkSession.sparkContext, min(buckets, dim + extra)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(buckets + 1)
-        for _, texts in _texts(batches, 0):
-            have[:-1] += np.bincount(_rows(texts, buckets, None)[1], minlength=buckets)
-            have[-1] += len(texts)
+        for _, c, _, n in _blocks(batches):
+            have[:-1] += np.bincount(c, minlength=buckets)
+            have[-1] += n
         yield _vectors([0], [have])
 
     have = _summed(docs.mapInArrow(count, _VECTOR), 1).get(0, np.zeros(buckets + 1))
@@ -128,16 +152,13 @@ def fit_svd(df: DataFrame, text_col: str, dim: int = 384, buckets: int = 8192, p
     def product(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, total, touched = shared.value, None, np.zeros(buckets, bool)
-            for _, texts in _texts(batches, 0):
-                r, c, v = _rows(texts, buckets, idf)
+            for r, c, v, n in _blocks(batches):
                 if not len(r):
                     continue
-                y = _times(r, c, v, len(texts), q)
+                columns, rows = _dense(r, c, _weighted(r, c, v, n, idf), n)
                 total = np.zeros((buckets, q.shape[1])) if total is None else total
-                order = np.argsort(c, kind="stable")
-                total_rows, at = np.unique(c[order], return_index=True)
-                total[total_rows] += np.add.reduceat(v[order, None] * y[r[order]], at, axis=0)
-                touched[total_rows] = True
+                total[columns] += rows.T @ (rows @ q[columns])
+                touched[columns] = True
             some = np.flatnonzero(touched)
             if len(some):
                 yield _vectors(some, total[some])
@@ -146,8 +167,8 @@ def fit_svd(df: DataFrame, text_col: str, dim: int = 384, buckets: int = 8192, p
     def gram(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0.0
-            for _, texts in _texts(batches, 0):
-                y = _times(*_rows(texts, buckets, idf), len(texts), shared.value)
+            for r, c, v, n in _blocks(batches):
+                y = _times(r, c, _weighted(r, c, v, n, idf), n, shared.value)
                 total = total + y.T @ y
             if not np.isscalar(total):
                 yield _vectors(range(len(total)), total)

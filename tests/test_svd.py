@@ -51,3 +51,15 @@ def test_neighbours_of_near_copies_and_edges(spark):
     assert len(got) == len(rows) and model.transform(df.limit(0), "text", "id").count() == 0
     empty = V.fit_svd(df.limit(0), "text", dim=4, buckets=16)
     assert empty.basis.shape == (16, 4) and empty.singular == pytest.approx(np.zeros(4))
+
+
+def test_blocks_are_multiplied_over_their_own_columns():
+    from balsam.operators import svd
+    texts = ["a b b", None, "c a d d d", ""]
+    r, c, v = svd._rows(texts, 64, np.linspace(1, 2, 64))
+    columns, rows = svd._dense(r, c, v, len(texts))
+    full = np.zeros((len(texts), 64))
+    full[r, c] = v
+    q = np.random.default_rng(0).normal(size=(64, 5))
+    assert len(columns) < 6 and rows.shape == (4, len(columns))
+    assert np.allclose(svd._times(r, c, v, len(texts), q), full @ q)
