@@ -2,8 +2,8 @@
 
 The rows are dealt to the steps of an epoch by a hash of their content and written once, a folder for
 each step, so that a step reads only its own rows. A step is one job: every task sums loss and
-gradient over its Arrow blocks, the tasks' sums are added (in groups of ``FAN`` partitions first,
-where there are many), and the driver moves the weights, whose number depends on the layers alone.
+gradient over its Arrow blocks, the tasks' sums are added in groups of ``FAN`` partitions, so that
+the driver gets one vector a step up to that many, and the driver moves the weights, whose number depends on the layers alone.
 A share of the rows is kept for validation; after ``patience`` epochs without a better accuracy there
 training ends and the best weights are taken.
 
@@ -112,14 +112,14 @@ def total(df: DataFrame, flat: np.ndarray, layers: list[int], partitions: int |
             yield _row(have, n, right, grad)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(r["loss"], r["rows"], r["correct"], np.frombuffer(r["gradient"])) for b in batches for r in b.to_pylist()]
-        if got:
-            yield _row(*(sum(v) for v in zip(*got)))
+        got = [(r["loss"], r["rows"], r["correct"], r["gradient"]) for b in batches for r in b.to_pylist()]
+        if got:  # sorted: they arrive in any order
+            yield _row(*(sum(v) for v in zip(*((a, b, c, np.frombuffer(g)) for a, b, c, g in sorted(got)))))
 
     part = df.select("x", "y", "w").mapInArrow(run, _OUT)
-    if partitions is not None and partitions > FAN:
+    if partitions is not None and partitions > 1:
         part = part.repartition(-(-partitions // FAN)).mapInArrow(add, _OUT)
-    rows = part.collect()  # one vector per (group of) partitions
+    rows = part.collect()  # one vector per FAN partitions
     shared.destroy()
     zero = np.zeros(len(flat))
     return (sum(r["loss"] for r in rows), sum(r["rows"] for r in rows), sum(r["correct"] for r in rows),

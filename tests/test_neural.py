@@ -66,3 +66,15 @@ def test_edges(spark):
     assert model.getHistory()[0]["val_loss"] is None and model.transform(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         N.ReluNet().fit(df.limit(0))
+
+
+def test_a_step_sends_one_vector_to_the_driver(spark, monkeypatch):
+    from balsam.operators import neural
+    df = spark.createDataFrame([([float(i), 1.0], float(i % 2), 1.0) for i in range(20)], "x array<double>, y double, w double").repartition(5)
+    flat, layers = neural.first_weights([2, 3, 1], 1), [2, 3, 1]
+    seen, real = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(real(self)) or seen[-1])
+    loss, n, _, grad = neural.total(df, flat, layers, 5)
+    x, y = np.array([[float(i), 1.0] for i in range(20)]), np.arange(20) % 2.0
+    want = neural.sums(flat, layers, x, y, np.ones(20))
+    assert len(seen[-1]) == 1 and n == 20 and np.isclose(loss, want[0]) and np.allclose(grad, want[1])
