@@ -2,7 +2,7 @@
 
 A text is encoded by a byte-level BPE (A) and a sentence-piece model (B); both cover the bytes of a
 space and the text. All A and B tokens of many texts, as byte intervals one text after the other,
-are sorted by start with one lexsort; the running maximum of their ends (``maximum.accumulate``)
+are sorted by start with one stable sort; the running maximum of their ends (``maximum.accumulate``)
 tells the groups: a group breaks where a start reaches the maximum so far, which is where tokens of
 both sides end. Within a group the overlaps are expanded: at each start of a token the latest A and
 the latest B token overlap, and no other pair does. Pairs that end together are the links
@@ -15,6 +15,9 @@ the tasks where they are at most ``MAX_PAIRS``; beyond that the documents' pairs
 them: those in more than a ``HOT_SHARE``-th of all rows, which are no more than that number, by
 broadcast, the others by a shuffle.
 
+A is encoded by merging on ids where the driver has found that this gives the tokens of A's file, for
+texts up to U+FFFF, and else by the file's own library.
+
 The tokenizer files are read by the driver, whose paths are parameters, and are at most ``MAX_FILE``
 bytes each.
 
@@ -27,6 +30,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -61,6 +65,60 @@ def _file(path: str) -> bytes:
         return f.read()
 
 
+#: The pattern of the byte-level pre-tokenizer.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranks(tokenizer: bytes) -> dict[bytes, int] | None:
+    """Ids by token bytes if merging the neighbours whose joined bytes have the smallest id gives the
+    tokenizer's own tokens; else None.
+
+    Both ways do so when ids ascend as the merges do and every token's own bytes are encoded as that
+    token. For a pair that is next to each other and whose bytes are a token's was merged from those
+    bytes alone, as their encoding merges them; its last two parts are the ones of the token's rule."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (not any(spec.get(x) for x in ("normalizer", "post_processor", "truncation", "padding"))
+             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+             and all(x["special"] for x in spec.get("added_tokens") or ()) and model.get("type") == "BPE"
+             and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                                                "fuse_unk", "byte_fallback", "ignore_merges")))
+    byte_of, vocab = _byte_of_char(), model["vocab"]
+    if not plain or not all(c in vocab for c in byte_of):
+        return None
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(x >= y for x, y in zip(merged, merged[1:])) or len(merged) + len(byte_of) != len(vocab):
+        return None
+    own = Tokenizer.from_str(tokenizer.decode("utf-8")).model
+    if any([x.id for x in own.tokenize(t)] != [i] for t, i in vocab.items()):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+
+
+def _fast(tokenizer: bytes) -> dict[bytes, int] | None:
+    """``_ranks``, if the library that works on them classes each character up to U+FFFF alike."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    ranks = _ranks(tokenizer)
+    if ranks is None:
+        return None
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(tokenizer.decode("utf-8"))
+    own.encode_special_tokens = True
+    other = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    signs = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(signs), 4096):  # after a letter, a digit, a sign, and before a space
+        text = "".join(f"a{c}1{c}!{c} " for c in signs[at:at + 4096])
+        if own.encode(text, add_special_tokens=False).ids != other.encode_ordinary(text):
+            return None
+    return ranks
+
+
 def _byte_of_char() -> dict[str, int]:
     """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others, in order, for
     the characters from U+0100."""
@@ -72,7 +130,8 @@ def _byte_of_char() -> dict[str, int]:
 class Pair:
     """Both tokenizers and the bytes of their ids."""
 
-    def __init__(self, a: bytes, b: bytes):
+    def __init__(self, a: bytes, b: bytes, ranks: dict[bytes, int] | None = None):
+        """``ranks``: see ``_fast``; without them the tokenizer's own library encodes A."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -94,16 +153,26 @@ class Pair:
         width = len(str(top - 1))
         self.digits = np.array([list(str(i).zfill(width).encode()) for i in range(top)], np.uint8)
         self.n_digits = np.array([len(str(i)) for i in range(top)], np.int64)
+        self.fast = None
+        if ranks is not None:
+            import tiktoken
+            self.fast = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A."""
+        low = [self.fast is not None and len(t.encode("utf-16-le")) == 2 * len(t) for t in texts]  # all up to U+FFFF
+        rest = iter(self.a.encode_batch_fast([t for t, x in zip(texts, low) if not x], add_special_tokens=False))
+        return [self.fast.encode_ordinary(t) if x else next(rest).ids for t, x in zip(texts, low)]
 
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B by text; both empty for texts without tokens."""
         a, b = [[] for _ in texts], [[] for _ in texts]
         live = [i for i, t in enumerate(texts) if t]
         spaced = [" " + texts[i] for i in live]
-        got_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+        got_a = self.encode_a(spaced)
         got_b = self.b.encode([texts[i] for i in live], num_threads=1)
         for i, text, x, y in zip(live, spaced, got_a, got_b):
-            data, x = text.encode("utf-8"), x.ids
+            data = text.encode("utf-8")
             if b"".join([self.bytes_a[t] for t in x]) == data and b"".join([self.bytes_b[t] for t in y]) == data:
                 a[i], b[i] = x, y
         return a, b
@@ -122,7 +191,7 @@ class Alignment:
         n = len(self.a)
         start, end = np.concatenate([self.start_a, self.start_b]), np.concatenate([self.end_a, self.end_b])
         is_b = np.arange(len(start)) >= n
-        self.order = np.lexsort((is_b, start))
+        self.order = np.argsort(start, kind="stable")  # two sorted runs, A before B
         self._start, self._is_b = start[self.order], is_b[self.order]
         reach = np.maximum.accumulate(end[self.order]) if len(start) else end
         self.group = np.zeros(len(start), np.int64)  # of the tokens in order
@@ -148,7 +217,7 @@ class Alignment:
 
     def digests(self, pair: Pair) -> list[str]:
         """SHA-256 of `a1,a2|b1;a3|b2` by text; '' without tokens."""
-        order = np.lexsort((self._is_b, self.group))
+        order = np.argsort(2 * self.group + self._is_b, kind="stable")
         token, is_b, group = self.order[order], self._is_b[order], self.group[order]
         doc = self.doc_of_group[group]
         ids = np.concatenate([self.a, self.b])[token]
@@ -195,7 +264,7 @@ class _Files:
 def _files(docs: DataFrame, a: str | None, b: str | None) -> _Files:
     own = default_files() if a is None or b is None else (a, b)
     data = _file(a or own[0]), _file(b or own[1])
-    return _Files(docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data[0] + b"|" + data[1]).hexdigest())
+    return _Files(docs.sparkSession.sparkContext.broadcast((*data, _fast(data[0]))), hashlib.sha256(data[0] + b"|" + data[1]).hexdigest())
 
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
@@ -258,18 +327,16 @@ def _encoded(docs: DataFrame, files: _Files, sizes: tuple[int, int], key: str, t
                 x, y = al.links(links)
                 doc = al.doc_a[x]
                 code = al.a[x] * sizes[1] + al.b[y]
-                order = np.lexsort((code, doc))
-                doc_s, code_s = doc[order], code[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (doc_s[1:] != doc_s[:-1]) | (code_s[1:] != code_s[:-1])
-                at = np.flatnonzero(new)
-                count = np.diff(np.append(at, len(order)))
-                offsets = pa.array(np.searchsorted(doc_s[at], np.arange(len(texts) + 1)), pa.int32())
+                both = np.sort(doc * (sizes[0] * sizes[1]) + code)
+                at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+                count = np.diff(np.append(at, len(both)))
+                doc_s, code_s = np.divmod(both[at], sizes[0] * sizes[1])
+                offsets = pa.array(np.searchsorted(doc_s, np.arange(len(texts) + 1)), pa.int32())
                 per_doc = lambda d: pa.array(np.bincount(d, minlength=len(texts)), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)),
                      pa.array(al.n_a), pa.array(al.n_b), per_doc(al.doc_of_group), per_doc(doc), pa.array(al.digests(pair), pa.string()),
-                     pa.ListArray.from_arrays(offsets, pa.array(code_s[at], pa.int32() if code_type == "int" else pa.int64())),
+                     pa.ListArray.from_arrays(offsets, pa.array(code_s, pa.int32() if code_type == "int" else pa.int64())),
                      pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))],
                     names=["key", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "ns"])
         give_back()

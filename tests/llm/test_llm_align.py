@@ -108,3 +108,24 @@ def test_without_tokens(spark, pair):
     assert sorted(tuple(r) for r in T.link_statistics(d).collect()) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
     assert T.link_statistics(d.limit(0)).count() == 0 and T.align(d.limit(0)).count() == 0
     assert np.array_equal(al.doc_of_group, [])
+
+
+def test_merging_on_ids_gives_the_tokens_of_the_file(pair):
+    file_a, file_b = map(T._file, T.default_files())
+    fast = T.Pair(file_a, file_b, T._fast(file_a))
+    assert fast.fast is not None
+    rng = random.Random(5)
+    parts = ["a", "b", " ", "  ", "\n", "\t", " ", "　", "'s", "'", "é", "中", "٣", "½", "_", "!", "<|endoftext|>",
+             "\U0001f642", "\x00", "́", "Ⅷ", "1", "'ll", "then", "ing", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    assert fast.encode_a(texts) == [x.ids for x in pair.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_other_files_keep_their_own_library():
+    import json
+
+    spec = json.loads(T._file(T.default_files()[0]))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]  # ids do not ascend as the merges do
+    assert T._ranks(json.dumps(spec).encode()) is None
+    spec = json.loads(T._file(T.default_files()[0])) | {"normalizer": {"type": "Lowercase"}}
+    assert T._ranks(json.dumps(spec).encode()) is None
