@@ -6,14 +6,21 @@
    combines before the shuffle; a host with a third of all pages is a key like any other.
 2. Pages of a host with the same html count as one. Tokens of a host with equal vectors form an
    equivalence class. Classes whose tokens occur in at least ``support`` of the host's pages, three
-   pages or more, and that have at least ``least`` tokens are valid; the
-   tokens of all of them are the host's template, a set without nesting. (A token can be in at most 1 / ``support`` times
+   pages or more, and that have at least ``least`` tokens are kept. (A token can be in at most 1 / ``support`` times
    as many template places as a page has tokens, which bounds the template.)
-3. Each page is read again beside its host's template. Elements with a whole class or id name of
+3. A class must be ordered: on every page its tokens follow each other as on its first page, once in each
+   repeat of the class. Tokens that do not are put into smaller classes that are ordered.
+4. Classes must be nested: an occurrence of a class lies between two tokens of the class around it, or outside
+   all of it. Of two classes that cross, the one on fewer pages is broken there.
+5. A token in no class gets a role of its own at each place of the class that encloses it, named by the
+   template token before it, and classes are sought again (2 to 4) with the roles as tokens, until no more
+   tokens are found, ``MAX_ROUNDS`` times at most. A role that is in a class stays in one.
+6. Each page is read again beside its host's nested classes. What is no member of a class is in a slot, which is data.
+   Elements with a whole class or id name of
    a list (menus, sidebars, notices, adverts, comments) are no content where they are themselves in
    the template, and hosts without a template go by the name alone; headers, footers, forms and
    scripts are none by their tags. The text of an article or main element is the page's; without
-   one, it is all that is left but the text nodes that are themselves template.
+   one, it is the text of all slots that are left.
 
 Text in an article is never dropped for being frequent: a line that repeats on many pages is still
 that page's text.
@@ -26,9 +33,13 @@ rows and equal keys are rows of their own.
 from __future__ import annotations
 
 import html
+import itertools
 import re
+import struct
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,17 +139,138 @@ def _hash(s: str) -> int:
     return (xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))) - (1 << 63)
 
 
+def _token(kind: str, path: tuple, value: str) -> int | None:
+    """The token of a node: start tags, named elements and text nodes, each with the path above it."""
+    if kind == "tag" and value[:1] == "/":
+        return None
+    value = " ".join(value.split()) if kind == "text" else value
+    return _hash(f"{kind} {path_text(path)} {value}") if value else None
+
+
+def sequence(page: str | None) -> list[int]:
+    """The tokens of a page in their order."""
+    return [t for t in (_token(*node) for node in nodes(page)) if t is not None]
+
+
 def tokens(page: str | None) -> dict[int, int]:
-    """How often each token occurs: start tags, named elements and text nodes, each with the path
-    above it."""
-    out: dict[int, int] = {}
-    for kind, path, value in nodes(page):
-        if kind == "tag" and value[:1] == "/":
-            continue
-        value = " ".join(value.split()) if kind == "text" else value
-        if value:
-            h = _hash(f"{kind} {path_text(path)} {value}")
-            out[h] = out.get(h, 0) + 1
+    """How often each token occurs."""
+    return dict(Counter(sequence(page)))
+
+
+def _split_role(role: int, anchor: int) -> int:
+    import xxhash
+    return xxhash.xxh3_64_intdigest(struct.pack("<qq", role, anchor)) - (1 << 63) if anchor else role
+
+
+class Level:
+    """Ordered classes of one round."""
+
+    def __init__(self, classes: list[list[int]]):
+        self.classes = classes
+        self.at = {r: (c, i) for c, roles in enumerate(classes) for i, r in enumerate(roles)}
+
+    def walk(self, seq: list[int]) -> tuple[list[int], set[tuple[int, int]]]:
+        """Of each place, the class token that it follows inside the innermost open class (0: outside all);
+        and the crossings: the last tokens of two classes of which neither encloses the other."""
+        open_: list[list[int]] = []  # class, its last token
+        inside: set[int] = set()
+        before, crossings = [], set()
+        for role in seq:
+            c, i = self.at.get(role, (-1, 0))
+            if i and c in inside:
+                while open_[-1][0] != c:
+                    other, last = open_.pop()
+                    inside.discard(other)
+                    crossings.add((last, next(b for a, b in open_ if a == c)))
+                open_[-1][1] = role
+            before.append(open_[-1][1] if open_ else 0)
+            if c < 0:
+                continue
+            if i == len(self.classes[c]) - 1:
+                if c in inside:
+                    open_.pop()
+                    inside.discard(c)
+            elif not i and c not in inside:
+                open_.append([c, role])
+                inside.add(c)
+        return before, crossings
+
+    def split(self, seq: list[int]) -> list[int]:
+        """Roles: a token that is in no class is told apart by the class token before it."""
+        return [r if r in self.at else _split_role(r, b) for r, b in zip(seq, self.walk(seq)[0])]
+
+    def conflicts(self, seq: list[int]) -> set[tuple[int, int]]:
+        """Pairs of tokens of a class that do not take turns on a page in the order of the class."""
+        places: dict[int, dict[int, list[int]]] = {}
+        due: dict[int, int] = {}
+        bad = set()
+        for n, role in enumerate(seq):
+            if role in self.at:
+                c, i = self.at[role]
+                places.setdefault(c, {}).setdefault(role, []).append(n)
+                if i != due.get(c, 0):
+                    bad.add(c)
+                due[c] = (i + 1) % len(self.classes[c])
+        out = set()
+        for c in bad:
+            roles = self.classes[c]
+            p = np.array([places[c][r] for r in roles])
+            for i in range(len(roles) - 1):
+                turns = (p[i] < p[i + 1:]).all(axis=1) & (p[i + 1:, :-1] < p[i, 1:]).all(axis=1)
+                out.update((roles[i], roles[i + 1 + j]) for j in np.flatnonzero(~turns))
+        return out
+
+
+class Template:
+    """The nested classes of a host: those of each round tell the roles of the next apart."""
+
+    def __init__(self, levels: list[list[list[int]]]):
+        self.levels = [Level(classes) for classes in levels]
+
+    def roles(self, seq: list[int]) -> list[int]:
+        for level in self.levels[:-1]:
+            seq = level.split(seq)
+        return seq
+
+    def members(self, seq: list[int]) -> list[bool]:
+        """Which places are template; the others are in slots."""
+        return [r in self.levels[-1].at for r in self.roles(seq)]
+
+
+def ordered(classes: list[list[int]], conflicts: set[tuple[int, int]]) -> list[list[int]]:
+    """Classes in pieces without conflicts: each token goes into the first piece that it fits."""
+    out = []
+    for roles in classes:
+        pieces: list[list[int]] = []
+        for r in roles:
+            piece = next((p for p in pieces if not any((q, r) in conflicts for q in p)), None) if conflicts else pieces and pieces[0]
+            if piece:
+                piece.append(r)
+            else:
+                pieces.append([r])
+        out += pieces
+    return out
+
+
+def uncrossed(classes: list[list[int]], pages: dict[int, int], crossings: set[tuple[int, int]], single: bool) -> list[list[int]]:
+    """Classes of which the one on fewer pages is broken behind the token where it crosses another; with
+    ``single``, both fall into single tokens."""
+    of = {r: c for c, roles in enumerate(classes) for r in roles}
+    cut: dict[int, set[int]] = {}
+    for pair in crossings:
+        weak = min(pair, key=lambda r: (pages[r], len(classes[of[r]]), classes[of[r]][0]))
+        for r in pair if single else (weak,):
+            cut.setdefault(of[r], set()).update(classes[of[r]] if single else (r,))
+    out = []
+    for c, roles in enumerate(classes):
+        piece: list[int] = []
+        for r in roles:
+            piece.append(r)
+            if r in cut.get(c, ()):
+                out.append(piece)
+                piece = []
+        if piece:
+            out.append(piece)
     return out
 
 
@@ -151,20 +283,23 @@ def _role(tag: str, names: tuple[str, ...], inside: bool, supported: Callable[[]
     return tag != "header" or inside
 
 
-def extract(page: str | None, template: frozenset[int]) -> str:
-    """The text of the content slots of a page."""
+def extract(page: str | None, template: Template | frozenset) -> str:
+    """The text of the content slots of a page; an empty set is no template."""
     runs: list[tuple[bool, bool, str]] = []  # in an article, template text, text
     has_article = False
     known: dict[tuple, bool] = {}
+    found = list(nodes(page))
+    seq = [_token(*node) for node in found] if template else []
+    member = iter(template.members([t for t in seq if t is not None]) if template else ())
+    fixed = [t is not None and next(member) for t in seq] if template else [False] * len(found)
 
     def in_template(at: tuple) -> bool:
         """Whether the named element at the end of a path is in the template, if the host has one."""
-        if at not in known:
-            known[at] = not template or _hash(f"name {path_text(at[:-1])} {path_text(at[-1:])}") in template
-        return known[at]
+        return not template or known[at[:-1], path_text(at[-1:])]
 
-    for kind, path, value in nodes(page):
+    for (kind, path, value), is_fixed in zip(found, fixed):
         if kind == "name":
+            known[path, value] = is_fixed  # of elements with the same path only the last is open
             continue
         if kind == "tag":
             if value.lstrip("/") in BLOCK:
@@ -176,12 +311,8 @@ def extract(page: str | None, template: frozenset[int]) -> str:
             inside = inside or tag in ("article", "main") or tag not in ALWAYS and not MAIN_NAMES.isdisjoint(names)
         if not content:
             continue
-        frequent = False
-        if not inside and template:
-            flat = " ".join(value.split())
-            frequent = bool(flat) and _hash(f"text {path_text(path)} {flat}") in template
         has_article = has_article or inside and not value.isspace()
-        runs.append((inside, frequent, value))
+        runs.append((inside, not inside and is_fixed, value))
     text = "".join(t if t == "\n" or (inside if has_article else not frequent) else "\n"
                    for inside, frequent, t in runs)
     return " ".join(text.split())
@@ -207,65 +338,169 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
     return once.select("host", "uid", "html").unionByName(merged)
 
 
-def templates(pages: DataFrame, support: float = 0.5, least: int = 2) -> DataFrame:
-    """(host, classes, template) from rows (host, html): the number of valid classes and all their
-    tokens. Pages with the same html are one page here, so a text is not part of a template because
-    its page repeats."""
-    pages = distinct_pages(pages)
+#: Rounds in which roles are told apart and classes sought.
+MAX_ROUNDS = 4
+#: Up to so many template tokens of all hosts go to all executors instead of shuffling the pages.
+MAX_BROADCAST = 2_000_000
+_LEVELS = "array<array<array<long>>>"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _beside(rows: DataFrame, levels: DataFrame, how: str) -> DataFrame:
+    """Rows with the ``levels`` of their host."""
+    size = F.aggregate(F.flatten("levels"), F.lit(0).cast("long"), lambda n, c: n + F.size(c))
+    if (levels.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST:
+        levels = F.broadcast(levels)
+    return rows.join(levels, "host", how)
+
+
+class _Templates:
+    """Templates by host, each read once."""
+
+    def __init__(self):
+        self.known: dict[str, Template] = {}
+
+    def of(self, host: str, levels: pa.Scalar) -> Template | None:
+        if host not in self.known:
+            if len(self.known) > 1_000:
+                self.known.clear()
+            self.known[host] = Template(levels.as_py()) if levels.is_valid else None
+        return self.known[host]
+
+
+def _on_pages(pages: DataFrame, schema: str, what: Callable) -> DataFrame:
+    """The rows ``what(template, uid, sequence)`` of pages (host, uid, seq, levels), the same ones
+    of a slice of pages once, behind their host."""
+    types = [f.dataType.simpleString() for f in pages.sparkSession.createDataFrame([], schema).schema.fields]
+    types = [pa.string() if t == "string" else pa.int32() if t == "int" else pa.int64() for t in types]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = _Templates()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                host, uid, page = (batch.column(i).slice(at, 500).to_pylist() for i in range(3))
-                rows = [(h, u, k, n) for h, u, p in zip(host, uid, page) for k, n in tokens(p).items()]
-                cols = list(zip(*rows)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32()))],
-                    names=["host", "uid", "token", "n"])
-
-    of = pages.select("host", "uid", "html").mapInArrow(run, "host string, uid long, token long, n int")
-    vectors = of.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("uid", "n")).alias("vector"))
-    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+                part = batch.slice(at, 500)
+                rows = {(h, *row): None for i, (h, uid, seq) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3))))
+                        for row in what(templates.of(h, part.column(3)[i]), uid, seq)}
+                cols = list(zip(*rows)) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return pages.select("host", "uid", "seq", "levels").mapInArrow(run, schema)
+
+
+def _role_counts(template: Template | None, uid: int, seq: list[int]) -> list[tuple]:
+    if template:
+        seq = template.levels[-1].split(template.roles(seq))
+    counts, first = Counter(seq), {}
+    for i, role in enumerate(seq):
+        first.setdefault(role, i)
+    return [(uid, role, n, first[role]) for role, n in counts.items()]
+
+
+def _mend(classes: DataFrame, pairs: DataFrame, mend: Callable) -> DataFrame:
+    """(host, pages, classes) with the classes of each host after ``mend(classes, pages of tokens, pairs)``."""
+    pairs = pairs.distinct().groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, pages, cl = [], [], []
+            for h, n, c, p in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                of = {r: x for x, roles in zip(n, c) for r in roles}
+                got = mend(c, of, {(x["a"], x["b"]) for x in p or ()})
+                hosts.append(h)
+                pages.append([of[roles[0]] for roles in got])
+                cl.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.list_(pa.int64())),
+                                              pa.array(cl, pa.list_(pa.list_(pa.int64())))], names=["host", "pages", "classes"])
+
+    return classes.join(pairs, "host", "left").select("host", "pages", "classes", "pairs") \
+        .mapInArrow(run, "host string, pages array<long>, classes array<array<long>>")
+
+
+def _level(seqs: DataFrame, total: DataFrame, levels: DataFrame, support: float, least: int) -> DataFrame:
+    """(host, levels): one more level of ordered and nested classes."""
+    counts = _on_pages(_beside(seqs, levels, "left"), "host string, uid long, token long, n int, first int", _role_counts)
+    vectors = counts.groupBy("host", "token").agg(
+        F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("uid", "n")).alias("vector"),
+        F.min(F.struct("uid", "first")).alias("place"))
     frequent = vectors.filter(F.col("pages") >= LEAST_PAGES).join(total, "host").filter(F.col("pages") >= support * F.col("total"))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("t")) \
+    # tokens with equal vectors have the same first page, so their places there order them
+    equal = frequent.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("t")) \
         .filter(F.size("t") >= least)
-    return classes.groupBy("host").agg(F.count(F.lit(1)).alias("classes"),
-                                       F.flatten(F.collect_list("t")).alias("template"))
+    classes = _written(equal.groupBy("host").agg(F.collect_list(F.struct("pages", F.col("t.token").alias("roles"))).alias("c"))
+                       .select("host", F.col("c.pages").alias("pages"), F.col("c.roles").alias("classes")), "html-classes")
 
+    def with_last(classes: DataFrame) -> DataFrame:
+        return classes.join(levels, "host", "left").select("host", F.concat(
+            F.coalesce("levels", F.array().cast(_LEVELS)), F.array("classes")).alias("levels"))
 
-#: Up to so many template tokens of all hosts go to all executors instead of shuffling the pages.
-MAX_BROADCAST = 2_000_000
+    def pairs(classes: DataFrame, what: Callable) -> DataFrame:
+        return _written(_on_pages(_beside(seqs, with_last(classes), "inner"), "host string, a long, b long", what), "html-pairs")
+
+    conflicts = pairs(classes, lambda t, _, seq: t.levels[-1].conflicts(t.roles(seq)))
+    if not conflicts.isEmpty():
+        classes = _written(_mend(classes, conflicts, lambda c, _, p: ordered(c, p)), "html-classes")
+    for n in itertools.count():
+        crossings = pairs(classes, lambda t, _, seq: t.levels[-1].walk(t.roles(seq))[1])
+        if crossings.isEmpty():  # each time classes fall into more pieces, and single tokens cross nothing
+            return _written(with_last(classes), "html-levels")
+        single = n >= MAX_ROUNDS
+        classes = _written(_mend(classes, crossings, lambda c, of, p: uncrossed(c, of, p, single)), "html-classes")
+
+
+def templates(pages: DataFrame, support: float = 0.5, least: int = 2) -> DataFrame:
+    """(host, classes, template, levels) from rows (host, html): the number of classes and all their
+    tokens as told apart by their paths alone; and the ordered classes of each round, of roles.
+    Pages with the same html are one page here, so a text is not part of a template because
+    its page repeats."""
+    pages = distinct_pages(pages)
+    spark = pages.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                seqs = [sequence(p) for p in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seqs, pa.list_(pa.int64()))],
+                                                 names=["host", "uid", "seq"])
+
+    seqs = _written(pages.select("host", "uid", "html").mapInArrow(run, "host string, uid long, seq array<long>"), "html-tokens")
+    total = seqs.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    levels, known = spark.createDataFrame([], f"host string, levels {_LEVELS}"), 0
+    for _ in range(MAX_ROUNDS):
+        more = _level(seqs, total, levels, support, least)
+        last = F.element_at("levels", -1)
+        size = more.agg(F.sum(F.size(F.flatten(last)))).first()[0] or 0
+        if size <= known:
+            break
+        levels, known = more, size
+    return levels.select("host", F.size(F.col("levels")[0]).cast("long").alias("classes"),
+                         F.flatten(F.col("levels")[0]).alias("template"), "levels")
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html",
                  support: float = 0.5, least: int = 2) -> DataFrame:
     """A row per row: key, url, text (empty if there is none)."""
-    spark = pages.sparkSession
     host = F.lower(F.coalesce(F.try_parse_url(F.col(url_col), F.lit("HOST")), F.lit("")))
     base = pages.select(F.col(key).alias("key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host.alias("host"))
-    path = scratch_path(spark, "html-templates")
-    templates(base.filter("host <> ''"), support, least).write.parquet(path)
-    found = spark.read.parquet(path).select("host", "template")
-    if (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= MAX_BROADCAST:
-        found = F.broadcast(found)
+    found = templates(base.filter("host <> ''"), support, least).select("host", "levels")
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known = _Templates()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = []
-                for h, page, t in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
-                    if h not in known:
-                        if len(known) > 1_000:
-                            known.clear()
-                        known[h] = frozenset(t or ())
-                    out.append(extract(page, known[h]))
+                out = [extract(page, known.of(h, part.column(4)[i]) or frozenset())
+                       for i, (h, page) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3))))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())],
                                                  names=["key", "url", "text"])
 
-    return base.join(found, "host", "left").select("key", "url", "host", "html", "template") \
+    return _beside(base, found, "left").select("key", "url", "host", "html", "levels") \
         .mapInArrow(run, f"key {kind}, url string, text string").withColumnRenamed("key", key)

@@ -95,3 +95,39 @@ def test_edge_rows(spark):
     assert n[1] == "" and n[3] == "cut off &am" and n[5] == "deep" and n[8] == ""
     assert n[6] == ("word " * 40_000).strip()
     assert H.extract_text(pages(spark, [])).count() == 0
+
+
+SHOP = """<html><body><div class="row"><span>Share</span><p>{a}</p><b>Price</b></div><div class="row"><span>{b}</span><p>by us</p>
+</div><div class="row"><span>Terms</span></div>"""
+
+
+def test_roles_are_told_apart_by_the_class_around_them(spark):
+    """A text of the template that some pages have as data, too: by its path alone it is in no class."""
+    rows = [(i, "http://s.example.com/", SHOP.format(a=f"Item {i}", b="Share" if i % 3 == 0 else f"No {i}")) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in H.extract_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Item {i} " + ("Share" if i % 3 == 0 else f"No {i}") for i in range(9)}
+
+
+def test_classes_are_ordered_and_nested(spark):
+    a, b, c = "<div><i>One</i></div>", "<div><b>Two</b></div>", "<div><u>Three</u></div>"
+    rows = [("h", f"{x}<p>{i}</p>") for i, x in enumerate([a + b + c, b + a + c, a + b + c, b + a + c])]
+    rows += [("g", f"<ul>{'<li>x' * 2}</ul>{'<p><a>y</a>' * 2}{i}") for i in range(4)]
+    got = {r["host"]: r["levels"] for r in H.templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    for host, page in rows:
+        t = H.Template(got[host])
+        seq = H.sequence(page)
+        for n, level in enumerate(t.levels):
+            roles = H.Template(got[host][:n + 1]).roles(seq)
+            assert not level.conflicts(roles) and not level.walk(roles)[1]
+    one, two = (H.sequence(x)[-2:] for x in (a, b))
+    of = {r: c for c, roles in enumerate(got["h"][0]) for r in roles}
+    assert of[one[0]] == of[one[1]] != of[two[0]] == of[two[1]]  # they change places, so not one class
+
+
+def test_crossing_classes_are_broken():
+    level = H.Level([[1, 2, 3], [4, 5]])
+    assert level.walk([1, 4, 2, 5, 3])[1] == {(4, 1)}
+    assert H.uncrossed(level.classes, {1: 9, 2: 9, 3: 9, 4: 5, 5: 5}, {(4, 1)}, False) == [[1, 2, 3], [4], [5]]
+    assert H.uncrossed(level.classes, {1: 9, 2: 9, 3: 9, 4: 5, 5: 5}, {(4, 1)}, True) == [[1], [2], [3], [4], [5]]
+    before = level.walk([9, 1, 4, 9, 5, 9, 2, 9, 3, 9])[0]
+    assert [before[i] for i in (0, 3, 5, 7, 9)] == [0, 4, 1, 2, 0]
