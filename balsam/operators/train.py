@@ -299,12 +299,20 @@ def training_history(estimator, train: DataFrame, validation: DataFrame,
                      iterations=(1, 2, 4, 8, 16, 32)) -> DataFrame:
     """(iteration, part, loss, accuracy) of a logistic regression, or a pipeline that ends in one,
     after so many iterations, on the training rows and on rows it has not seen. The optimiser is
-    deterministic, so stopping it earlier gives the state at that iteration."""
-    last = estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
-    train, validation = cut_lineage(train), cut_lineage(validation)
+    deterministic, so stopping it earlier gives the state at that iteration. The stages before the
+    regression are fitted and applied once; what they give is checkpointed."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    last, before = stages[-1], stages[:-1]
+    if before:  # fitted and applied once: they are the same for each number of iterations
+        train = cut_lineage(train)
+        chain = Pipeline(stages=before).fit(train)
+        train, validation = chain.transform(train), chain.transform(validation)
+    used = [c for c in dict.fromkeys((last.getFeaturesCol(), last.getLabelCol(), "label",
+                                      *([last.getWeightCol()] if last.isDefined(last.weightCol) else []))) if c]
+    train, validation = cut_lineage(train.select(*used)), cut_lineage(validation.select(*used))
     out = None
     for i in iterations:
-        model = estimator.copy({last.maxIter: i}).fit(train)
+        model = last.copy({last.maxIter: i}).fit(train)
         for part, rows in (("train", train), ("validation", validation)):
             scored = model.transform(rows).select("label", vector_to_array("probability").alias("p"))
             one = log_loss(scored, "label", "p").select(F.lit(i).alias("iteration"), F.lit(part).alias("part"),

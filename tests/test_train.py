@@ -94,3 +94,20 @@ def test_encoder_is_built_once_per_name():
         return lambda texts: [[0.0]] * len(texts)
     assert TX._encoder("one", factory) is TX._encoder("one", factory) and len(built) == 1
     assert TX._encoder(None, factory) is not TX._encoder(None, factory)
+
+
+def test_training_history_fits_the_stages_before_the_model_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from balsam.operators.metrics import log_loss
+    from balsam.operators.prep import PopulationScaler
+    df = TR.add_weights(_data(spark).withColumn("label", F.col("target").cast("double")))
+    stages = [PopulationScaler(inputCol="x", outputCol="x"), TR.ArrayToVector(), LogisticRegression(weightCol="weight")]
+    fits, fit = [], PopulationScaler._fit
+    monkeypatch.setattr(PopulationScaler, "_fit", lambda self, d: fits.append(1) or fit(self, d))
+    got = TR.training_history(Pipeline(stages=stages), df, df, (1, 4)).collect()
+    assert len(fits) == 1 and len(got) == 4
+    whole = Pipeline(stages=[*stages[:2], LogisticRegression(weightCol="weight", maxIter=4)]).fit(df).transform(df)
+    want = log_loss(whole.select("label", vector_to_array("probability").alias("p")), "label", "p").first()
+    assert [r["loss"] for r in got if r["iteration"] == 4] == [pytest.approx(want["loss"], rel=1e-9)] * 2
