@@ -129,6 +129,34 @@ def test_near_copies_match_all_pairs(spark):
     assert all((1 - 0.7 ** r) ** FT.bands_for(0.7, r) < 1e-6 for r in (1, 2, 3, 4))
 
 
+def test_near_copies_join_the_sets_of_likely_pairs_only(spark, monkeypatch):
+    """The order and the copies come out the same beyond the bounds, and sketches never lose a pair."""
+    import random
+    rnd = random.Random(7)
+    shared = [[f"s{rnd.randint(0, 10**6)}" for _ in range(12)] for _ in range(3)]
+    rows = []
+    for i in range(60):  # strangers that share a passage, long and short, some with a near and an exact copy
+        b = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([20, 60, 200]))] + shared[i % 3]
+        rows.append(b)
+        if i % 4 == 0:
+            rows += [b[:-1] + ["other"], list(b), b[:rnd.choice([2, 16])]]
+    sets = [{tuple(r[i:i + 3]) for i in range(len(r) - 2)} or {tuple(r)} for r in rows]
+    first = [i for i, r in enumerate(rows) if r not in rows[:i]]
+    want = [i for i in first if not any(j < i and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) for j in first)]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "k long, t string")
+    of_keys, asked = FT._among, []
+    monkeypatch.setattr(FT, "_among", lambda d, keys, key: (asked.append(keys.count()), of_keys(d, keys, key))[1])
+    assert sorted(r["k"] for r in FT.dedupe_near(df, "t", "k").collect()) == want
+    assert max(asked) < len(rows) / 3  # a set goes to a join only where a pair is likely
+    plain = FT._shingle_sets(df, "t", "k", 3)
+    order = lambda: {r["k"]: (r["shingles"], r["sketch"]) for r in FT.rare_first(plain, "k").collect()}
+    inside = order()
+    monkeypatch.setattr(FT, "MAX_COMMON", 0)
+    monkeypatch.setattr(FT, "MAX_KEYS", 0)
+    assert order() == inside and len(inside) == len(rows)
+    assert sorted(r["k"] for r in FT.dedupe_near(df, "t", "k").collect()) == want
+
+
 def test_rows_of_one_time_do_not_count_for_each_other(spark):
     rows = [(1, 1, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:00"), (3, 1, "2024-01-01 12:00:00"),
             (4, 1, "2024-01-02 00:00:00"), (5, 2, "2024-01-01 06:00:00")]
