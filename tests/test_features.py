@@ -208,6 +208,34 @@ def test_tfidf_equals_a_plain_count(spark, frequent):
     assert FT.tfidf(empty, "text", "doc_id", frequent=frequent).count() == 0
 
 
+def test_tfidf_writes_words_in_chunks_and_no_row_of_a_term(spark, monkeypatch):
+    """Many chunks and buckets give the plain counts; what is written has a row for each chunk."""
+    import random
+    from balsam.operators import chunks as CH
+    rnd = random.Random(3)
+    rows = [(None if i % 17 == 0 else f"k{i % 50}", None if i % 13 == 0 else " ".join(rnd.choice("aé bb ccc 4 dddd e f".split()) for _ in range(rnd.randint(0, 40))))
+            for i in range(120)]
+    written, cut = [], FT.cut_lineage
+    monkeypatch.setattr(CH, "CHUNK_TOKENS", 100)
+    monkeypatch.setattr(FT, "BUCKET_BYTES", 2_000, raising=False)
+    monkeypatch.setattr(FT, "cut_lineage", lambda df, *a: (out := cut(df, *a), written.append(out.count()))[0])
+    d = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    for ngrams in ((1, 2), (3,), (1, 1), ()):
+        counts, df = [], {}
+        for k, t in rows:
+            w, c = (t or "").split(), {}
+            for n in ngrams:
+                for x in zip(*(w[j:] for j in range(n))):
+                    c[" ".join(x)] = c.get(" ".join(x), 0) + 1
+            counts.append((k, c))
+            for x in c:
+                df[x] = df.get(x, 0) + 1
+        want = sorted((str(k), x, n, round(n * math.log((len(rows) + 1) / (df[x] + 1)), 9)) for k, c in counts for x, n in c.items())
+        got = FT.tfidf(d, "t", "k", ngrams).collect()
+        assert sorted((str(r["k"]), r["term"], r["tf"], round(r["tfidf"], 9)) for r in got) == want
+    assert 5 < max(written) < 60
+
+
 def test_encode_sequences_row_by_row(spark):
     from balsam.operators.text import build_vocabulary, encode_sequences
     rows = [("a", "one two two three"), ("b", None), ("b", ""), (None, "two one two three four five six seven"), ("a", "two")]
