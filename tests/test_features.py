@@ -157,6 +157,35 @@ def test_near_copies_join_the_sets_of_likely_pairs_only(spark, monkeypatch):
     assert sorted(r["k"] for r in FT.dedupe_near(df, "t", "k").collect()) == want
 
 
+def test_near_copies_write_no_full_sets(spark, monkeypatch):
+    """Short hashes, packed counts and a higher cut where too many shingles are common give all pairs' result."""
+    import random
+    rnd = random.Random(11)
+    shared = [[f"s{rnd.randint(0, 10**6)}" for _ in range(9)] for _ in range(12)]
+    rows = []
+    for i in range(300):
+        rows.append([f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([0, 2, 15, 30]))] + shared[int(12 * rnd.random() ** 2)] * (i % 3 > 0))
+        if i % 5 == 0:
+            rows.append(rows[-1][:-1] + ["other"])
+    sets = [{tuple(r[i:i + 3]) for i in range(len(r) - 2)} or {tuple(r)} for r in rows]
+    first = [i for i, r in enumerate(rows) if r not in rows[:i]]
+    want = [i for i in first if not any(j < i and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) for j in first)]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "k long, t string").repartition(3)
+    plain = FT._shingle_sets(df, "t", "k", 3)
+    times = {}
+    for r in plain.collect():
+        for h in r["shingles"]:
+            times[h >> 24] = times.get(h >> 24, 0) + 1
+    assert {r["h"]: r["df"] for r in FT.shingle_counts(plain, 8).collect()} == {h: n for h, n in times.items() if n > 8}
+    written, commons, cut, arranged = [], [], FT.cut_lineage, FT._arranged
+    monkeypatch.setattr(FT, "cut_lineage", lambda d, *a: (written.append(d.columns), cut(d, *a))[1])
+    monkeypatch.setattr(FT, "_arranged", lambda s, k, c=None: (commons.append(c if c is None else len(c[0])), arranged(s, k, c))[1])
+    for most in (1_000_000, sum(n > 16 for n in times.values()) + 1):
+        monkeypatch.setattr(FT, "MAX_COMMON", most)
+        assert sorted(r["k"] for r in FT.dedupe_near(df, "t", "k").collect()) == want
+    assert commons[0] > commons[1] > 0 and not any("shingles" in c for c in written)
+
+
 def test_rows_of_one_time_do_not_count_for_each_other(spark):
     rows = [(1, 1, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:00"), (3, 1, "2024-01-01 12:00:00"),
             (4, 1, "2024-01-02 00:00:00"), (5, 2, "2024-01-01 06:00:00")]
