@@ -269,3 +269,20 @@ def test_knn_copies_and_repeated_ids(spark):
     q = df.where("id = 60")
     got = [(r["nn_id"], r["rank"]) for r in knn(q, twice, 4).orderBy("rank").collect()]
     assert got == [(0, 1), (0, 2), (40, 3), (40, 4)]
+
+
+def test_resample_summary_searches_the_same_rows_once(spark, monkeypatch):
+    """Every method is called and counts as it does by itself; no search is made twice."""
+    df, _, _ = _vecs(spark, n=150, pos=30)
+    names = ["smote", "adasyn", "smote_enn", "smote_tomek"]
+    alone = {(n, r["target"]): r["n"] for n in names for r in RS.resample_by_name(df, n, "42").groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    searches, exact, called = [], RS._knn_exact, []
+    monkeypatch.setattr(RS, "_knn_exact", lambda q, r, k, **kw: (searches.append((q.count(), r.count())), exact(q, r, k, **kw))[1])
+    by_name = RS.resample_by_name
+    monkeypatch.setattr(RS, "resample_by_name", lambda d, n, *a, **kw: (called.append(n), by_name(d, n, *a, **kw))[1])
+    got = {(r["method"], r["target"]): r["n"] for r in RS.resample_summary(df, names).collect()}
+    assert got == alone and called == names
+    assert sorted(searches) == [(30, 30), (30, 150), (240, 240)]
+    RS.tomek_links(df)
+    RS.tomek_links(df)
+    assert len(searches) == 5  # nothing is kept for later calls
